@@ -28,7 +28,7 @@ NO_LETTERS = re.compile(r"[\W\d_]+")
 
 #: The fit takes at most so many texts in all, and of each language; so many languages (the most
 #: frequent); so many landmarks.
-SAMPLE, SAMPLE_PER_LANGUAGE, LANGUAGES, LANDMARKS = 2048, 512, 256, 512
+SAMPLE, SAMPLE_PER_LANGUAGE, LANGUAGES, LANDMARKS = 1024, 256, 256, 256
 RIDGE = 1e-3
 
 
@@ -63,28 +63,36 @@ class Model:
         return best, np.where(total > 0, positive[np.arange(len(best)), best] / np.where(total > 0, total, 1), 0.0)
 
 
-def fit_model(vectors: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """Nyström kernel ridge regression, one against the rest. None without texts."""
-    if not len(vectors):
+def unpacked(bits: list[bytes]) -> np.ndarray:
+    """Presence vectors of unit length, one row for each packed vector."""
+    rows = np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8)).reshape(len(bits), DIMS).astype(np.float32)
+    rows /= np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+    return rows
+
+
+def fit_model(bits: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
+    """Nyström kernel ridge regression, one against the rest, on packed presence vectors. None without
+    texts. Only the landmarks are unpacked as a whole; the others pass by in blocks."""
+    if not bits:
         return None
     languages = sorted(set(labels))
-    x = vectors.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
     # Landmarks: as many of each language, in the order of the sample.
-    seen: dict[str, int] = {}
-    chosen = [i for i, label in enumerate(labels) if (seen.update({label: seen.get(label, 0) + 1}) or seen[label]) <= max(1, landmarks // len(languages))]
-    marks = x[chosen]
-    values, vecs = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    each, taken, chosen = max(1, landmarks // len(languages)), dict.fromkeys(languages, 0), []
+    for row, label in zip(bits, labels, strict=True):
+        if taken[label] < each:
+            taken[label] += 1
+            chosen.append(row)
+    marks = unpacked(chosen)
+    kernel = np.concatenate([unpacked(bits[k : k + 64]) @ marks.T for k in range(0, len(bits), 64)]).astype(np.float64)
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-8 * values[-1]
-    root = vecs[:, keep] / np.sqrt(values[keep])
-    features = (x @ marks.T).astype(np.float64) @ root
-    target = np.array([[label == language for language in languages] for label in labels], dtype=np.float64)
-    target /= np.sqrt(target.sum(axis=0))  # languages with few texts count as much as those with many
-    weight = (target**2).sum(axis=1)
-    goal = (target > 0).astype(np.float64)
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    features = kernel @ root
+    goal = np.array([[label == language for language in languages] for label in labels], dtype=np.float64)
+    weight = (goal / goal.sum(axis=0)).sum(axis=1)  # languages with few texts count as much as those with many
     gram = features.T @ (features * weight[:, None]) + ridge * np.eye(features.shape[1])
     beta = np.linalg.solve(gram, features.T @ (goal * weight[:, None]))
-    return Model(languages, (marks.T @ (root @ beta)).astype(np.float32))
+    return Model(languages, marks.T @ (root @ beta).astype(np.float32))
 
 
 def presence_rows(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -119,8 +127,7 @@ def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
     picked = [r[0] for r in ids.select(id_col).collect()]
     sample = presence_rows(rows.where(F.col(id_col).isin(picked) & F.col(label_col).isin(labels)), text_col, [id_col, label_col])
     found = sample.dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(each * len(labels)).collect()
-    vectors = np.array([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in found])
-    return fit_model(vectors, [r[label_col] for r in found])
+    return fit_model([bytes(r["bits"]) for r in found], [r[label_col] for r in found])
 
 
 def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", batch_rows: int = 64) -> DataFrame:
