@@ -66,6 +66,8 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
 
     def of(self, token: Token) -> float:
+        if token.never:
+            return 0.0  # left out in any case, so it must not part what stands around it
         if token.words is None:
             return self.tags.get(token.key, TAG_WEIGHT if not self.tags else -0.5)
         return len(token.words) * self.words.get(token.key, WORD_WEIGHT)
@@ -98,11 +100,12 @@ def tokens(page: str) -> Iterator[Token]:
             continue
         name = m[2].lower()
         if m[1]:
+            never = bool(stack) and stack[-1][2]
             if any(name == s[0] for s in stack):
                 while stack.pop()[0] != name:
                     pass
             block += name in BLOCK
-            yield Token(f"/{name}", None, block)
+            yield Token(f"/{name}", None, block, never)
             continue
         if name in CLOSES_P:
             close_within(stack, ("p",))
@@ -110,18 +113,18 @@ def tokens(page: str) -> Iterator[Token]:
             close_within(stack, SIBLINGS[name])
         block += name in BLOCK
         labels = label_words(m[3]) if "=" in m[3] else set()
-        yield Token(name, None, block)
+        _, key, never, main = stack[-1] if stack else ("", "", False, False)
+        inside = main or any(s[0] in ("article", "main") for s in stack)
+        never = never or name in NEVER or bool(labels & NEVER_WORDS) or (name == "header" and not inside) or bool(m[3] and HIDDEN.search(m[3]))
+        yield Token(name, None, block, never)
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, position)
             position = end.start() if end else len(page)
             continue
         if name in VOID:
             if name == "br":
-                yield Token("", [], block, False, False, " ")
+                yield Token("", [], block, never, main, " ")
             continue
-        _, key, never, main = stack[-1] if stack else ("", "", False, False)
-        inside = main or any(s[0] in ("article", "main") for s in stack)
-        never = never or name in NEVER or bool(labels & NEVER_WORDS) or (name == "header" and not inside) or bool(m[3] and HIDDEN.search(m[3]))
         if name in BLOCK or labels & NEVER_WORDS:
             key = " ".join([name, *sorted(labels & NEVER_WORDS)])
         stack.append((name, key, never, main or name == "article"))
@@ -162,14 +165,15 @@ def extract(page: str, weights: Weights) -> str:
 
 
 def counts(page: str) -> dict[tuple[str, str], list[int]]:
-    """How many words of each element, and how many of each tag, lie inside and outside the main text."""
-    sequence = list(tokens(page))
-    inside = [i for i, t in enumerate(sequence) if t.main and t.words is not None and not t.never]
+    """How many words of each element, and how many of each tag, lie inside and outside the main text;
+    without what is left out in any case."""
+    sequence = [t for t in tokens(page) if not t.never]
+    inside = [i for i, t in enumerate(sequence) if t.main and t.words]
     first, last = (inside[0], inside[-1]) if inside else (0, -1)
     found: dict[tuple[str, str], list[int]] = {}
     for i, token in enumerate(sequence):
         key = ("tag" if token.words is None else "word", token.key)
-        part = first <= i <= last if token.words is None else token.main and not token.never
+        part = first <= i <= last if token.words is None else token.main
         found.setdefault(key, [0, 0])[0 if part else 1] += 1 if token.words is None else len(token.words)
     return found
 
