@@ -85,7 +85,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The documents that ``deduplicate`` keeps, with all their columns. Rows that repeat both id and
     text are the same document and all stay."""
     kept = deduplicate(docs, id_col=id_col, text_col=text_col, table=table).where("kept")
-    # Through structs, because null ids are to meet as well.
-    keep = kept.select(F.struct(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("digest")).alias("_keep")).distinct()
-    marked = docs.withColumn("_own", F.struct(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest")))
-    return marked.join(keep, F.col("_own") == F.col("_keep"), "left_semi").select(*docs.columns)
+    # Keys are structs, because null ids are to meet as well; rows are structs, so that no name can clash.
+    keep = kept.select(F.struct(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("digest")).alias("keep")).distinct()
+    own = F.struct(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), own.alias("own"))
+    return rows.join(keep, F.col("own") == F.col("keep"), "left_semi").select("row.*")
