@@ -16,6 +16,11 @@ from ..functions import numbers, paths, text
 
 ORDER = ["commit_seq", "file_seq"]
 
+#: Commits whose file changes one task sorts together.
+BLOCK_COMMITS = 4096
+
+TWO_DAYS = 48 * 3600
+
 
 def path_language_join(changes: DataFrame, extensions: DataFrame) -> DataFrame:
     """File changes with their language, by an extension table (ext, lang): a table of fixed small size,
@@ -30,17 +35,26 @@ def with_language(changes: DataFrame) -> DataFrame:
     return changes.withColumn("lang", paths.language_from_path(F.col("path"))).where("lang is not null")
 
 
-def running_net_lines(changes: DataFrame) -> DataFrame:
+def running_net_lines(changes: DataFrame, block: int = BLOCK_COMMITS) -> DataFrame:
     """Net lines of each (repo, lang) after every file, never below zero: repo, lang, commit_seq,
     file_seq, net.
 
     A sum that is clamped at zero after each step is the plain running sum less its lowest value so far,
-    where that is negative. Both frames share one window, so there is one shuffle and one sort.
+    where that is negative. Both are prefixes of an associative operation, so a long history need not
+    pass through one task: sums and lows are taken within blocks of commits (one shuffle, one sort),
+    carried over the blocks of a repository (one row each), and added back by the same key.
     """
-    so_far = Window.partitionBy("repo", "lang").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    summed = changes.withColumn("_s", F.sum(F.col("added") - F.col("removed")).over(so_far))
-    net = F.col("_s") - F.least(F.lit(0), F.min("_s").over(so_far))
-    return summed.select("repo", "lang", *ORDER, net.alias("net"))
+    key = ["repo", "lang", "block"]
+    rows = changes.withColumn("block", F.floor(F.col("commit_seq") / F.lit(block)))
+    inside = Window.partitionBy(*key).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("s", F.sum(F.col("added") - F.col("removed")).over(inside)).withColumn("low", F.min("s").over(inside))
+    earlier = Window.partitionBy("repo", "lang").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*key).agg(F.sum(F.col("added") - F.col("removed")).alias("total"), F.min("s").alias("lowest"))
+    blocks = blocks.withColumn("base", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
+    blocks = blocks.withColumn("base_low", F.coalesce(F.min(F.col("base") + F.col("lowest")).over(earlier), F.lit(0)))
+    whole = rows.join(blocks.select(*key, "base", "base_low"), key)
+    low = F.least(F.lit(0), F.col("base_low"), F.col("base") + F.col("low"))
+    return whole.select("repo", "lang", *ORDER, (F.col("base") + F.col("s") - low).alias("net"))
 
 
 def composition_samples(commits: DataFrame, points: int | Column = rules.SAMPLE_POINTS) -> DataFrame:
@@ -195,9 +209,15 @@ def ai_agents(commits: DataFrame) -> DataFrame:
 
 
 def commit_burst(window: DataFrame) -> DataFrame:
-    """repo, burst, burst_score: most commits within 48 hours, both ends included."""
-    two_days = Window.partitionBy("repo").orderBy("ts").rangeBetween(0, 48 * 3600)
-    most = window.withColumn("c", F.count(F.lit(1)).over(two_days)).groupBy("repo").agg(F.max("c").alias("burst"))
+    """repo, burst, burst_score: most commits within 48 hours, both ends included.
+
+    Counted in spans of 48 hours, each with the commits of the following one: no count reaches further,
+    and a long history is spread over many tasks."""
+    span = F.floor(F.col("ts") / F.lit(TWO_DAYS))
+    rows = window.select("repo", "ts", span.alias("own"), F.explode(F.array(span, span - 1)).alias("span"))
+    ahead = Window.partitionBy("repo", "span").orderBy("ts").rangeBetween(0, TWO_DAYS)
+    counted = rows.withColumn("c", F.count(F.lit(1)).over(ahead)).where("own = span")
+    most = counted.groupBy("repo").agg(F.max("c").alias("burst"))
     score = F.when(F.col("burst") >= 10, 0.25).when(F.col("burst") >= 5, 0.15).when(F.col("burst") >= 3, 0.08).otherwise(0.0)
     return most.select("repo", "burst", score.alias("burst_score"))
 
