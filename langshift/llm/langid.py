@@ -14,6 +14,7 @@ every whole text in place, without a shuffle.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -130,6 +131,24 @@ def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
     return fit_model([bytes(r["bits"]) for r in found], [r[label_col] for r in found])
 
 
+def judge(texts: pa.Array, model: Model | None, rows: np.ndarray) -> tuple[list[str], list[float]]:
+    """Language and score of each text; ``rows`` is the room for as many presence vectors as are scored
+    at once."""
+    best, score = [], []
+    for start in range(0, len(texts), len(rows)):
+        part = texts.slice(start, len(rows))
+        rows[:] = 0
+        letters = [presence(t.as_py() or "", rows[i]) for i, t in enumerate(part)]
+        if model is None:
+            best += ["und"] * len(part)
+            score += [0.0] * len(part)
+            continue
+        which, share = model.score(rows[: len(part)])
+        best += [model.languages[w] if ok else "und" for w, ok in zip(which.tolist(), letters, strict=True)]
+        score += [float(s) if ok else 0.0 for s, ok in zip(share.tolist(), letters, strict=True)]
+    return best, score
+
+
 def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", batch_rows: int = 64) -> DataFrame:
     """All columns of ``docs`` but the text, and lang_pred and score (0 to 1) of each whole text.
 
@@ -142,18 +161,7 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", bat
     def run(batches):
         rows = np.zeros((batch_rows, DIMS), dtype=np.float32)
         for batch in batches:
-            best, score = [], []
-            for start in range(0, batch.num_rows, batch_rows):
-                texts = batch.column(len(keep)).slice(start, batch_rows)
-                rows[:] = 0
-                letters = [presence(t.as_py() or "", rows[i]) for i, t in enumerate(texts)]
-                if model is None:
-                    best += ["und"] * len(texts)
-                    score += [0.0] * len(texts)
-                    continue
-                which, share = model.score(rows[: len(texts)])
-                best += [model.languages[w] if ok else "und" for w, ok in zip(which.tolist(), letters, strict=True)]
-                score += [float(s) if ok else 0.0 for s, ok in zip(share.tolist(), letters, strict=True)]
+            best, score = judge(batch.column(len(keep)), model, rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(best, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     return docs.select(*keep, text_col).mapInArrow(run, f"{fields}lang_pred string, score double")
@@ -169,9 +177,15 @@ def identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     ``und``, and the best language holds at least ``min_score`` of the positive scores. Without any
     labelled row there is no model, and nothing to reject by but missing letters."""
     model = fit(docs, ~held_out(F.col(id_col)), id_col=id_col, text_col=text_col, label_col=label_col)
-    columns = docs.columns
-    marked = docs.withColumn("_whole", F.struct(*columns)).select(F.col("_whole"), F.col(text_col).alias("_text"))
     if model is None:
         return docs.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
-    kept = predict(marked, model, text_col="_text").where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return kept.select("_whole.*")
+
+    # A predicate: the text goes to Python, and only a flag comes back.
+    @F.arrow_udf("boolean")
+    def recognised(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        rows = np.zeros((64, DIMS), dtype=np.float32)
+        for texts in batches:
+            best, score = judge(texts, model, rows)
+            yield pa.array([b != "und" and s >= min_score for b, s in zip(best, score, strict=True)], pa.bool_())
+
+    return docs.where(recognised(F.col(text_col)))
