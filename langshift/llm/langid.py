@@ -119,15 +119,20 @@ def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
     frequent. Rows that repeat an id count once. None if there is no such row.
     """
     rows = docs.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    labels = [r[0] for r in rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(LANGUAGES).collect()]
-    if not labels:
+    counted = rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(LANGUAGES).collect()
+    if not counted:
         return None
+    labels = [r[0] for r in counted]
     each = max(8, min(SAMPLE_PER_LANGUAGE, SAMPLE // len(labels)))
-    order = F.row_number().over(Window.partitionBy(label_col).orderBy(F.xxhash64(id_col), id_col))
-    ids = rows.where(F.col(label_col).isin(labels)).select(id_col, label_col).withColumn("_n", order).where(F.col("_n") <= each)
-    picked = [r[0] for r in ids.select(id_col).collect()]
+    # Each language's share of ids below a bound on their hash: a few times as many as are taken, however
+    # many there are, so that the ranking meets few rows.
+    share = F.create_map(*(F.lit(x) for r in counted for x in (r[0], min(1.0, (4 * each + 64) / r["count"]))))
+    place = F.shiftrightunsigned(F.xxhash64(id_col), 33)
+    few = rows.where(place < F.element_at(share, F.col(label_col)) * float(1 << 31)).select(id_col, label_col, place.alias("_place"))
+    order = F.row_number().over(Window.partitionBy(label_col).orderBy("_place", id_col))
+    picked = [r[0] for r in few.withColumn("_n", order).where(F.col("_n") <= each).select(id_col).collect()]
     sample = presence_rows(rows.where(F.col(id_col).isin(picked) & F.col(label_col).isin(labels)), text_col, [id_col, label_col])
-    found = sample.dropDuplicates([id_col]).orderBy(F.xxhash64(id_col), id_col).limit(each * len(labels)).collect()
+    found = sample.dropDuplicates([id_col]).orderBy(place, id_col).limit(each * len(labels)).collect()
     return fit_model([bytes(r["bits"]) for r in found], [r[label_col] for r in found])
 
 
@@ -172,9 +177,9 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_score: float = 0.3) -> DataFrame:
+def identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", min_score: float = 0.0) -> DataFrame:
     """The documents whose language is recognised, with all their columns: the prediction is not
-    ``und``, and the best language holds at least ``min_score`` of the positive scores. Without any
+    ``und``, and the best language holds more than ``min_score`` of the positive scores. Without any
     labelled row there is no model, and nothing to reject by but missing letters."""
     model = fit(docs, ~held_out(F.col(id_col)), id_col=id_col, text_col=text_col, label_col=label_col)
     if model is None:
@@ -186,6 +191,6 @@ def identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         rows = np.zeros((64, DIMS), dtype=np.float32)
         for texts in batches:
             best, score = judge(texts, model, rows)
-            yield pa.array([b != "und" and s >= min_score for b, s in zip(best, score, strict=True)], pa.bool_())
+            yield pa.array([b != "und" and s > min_score for b, s in zip(best, score, strict=True)], pa.bool_())
 
     return docs.where(recognised(F.col(text_col)))
