@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from functools import lru_cache
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut_lineage, shared_dir  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Rows that go to Python at once. A batch is held in memory whole, so that it has to stay small
@@ -26,24 +25,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one that driver and executors share (``spark.checkpoint.dir``)."""
-    sc: SparkContext = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = sc.getCheckpointDir() if sc.getCheckpointDir() else tempfile.mkdtemp(prefix="spark-shared-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as written to the shared folder: lost executors don't undo them."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z alone in lower case; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
