@@ -37,8 +37,8 @@ SAMPLE = 4096
 
 
 def candidates_wanted(n: int) -> int:
-    """Entries over all trees to which a query ascends: in proportion to n ** 0.9, about 2.2 times 500 for 500."""
-    return math.ceil(4.1 * n**0.9)
+    """Entries over all trees to which a query ascends: in proportion to n ** 0.9."""
+    return math.ceil(3.0 * n**0.9)
 
 
 def usable(vector: Column) -> Column:
@@ -72,7 +72,7 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     k: int = 5,
-    trees: int = 16,
+    trees: int = 8,
     seed: int = 20,
     wanted=candidates_wanted,
 ) -> DataFrame:
