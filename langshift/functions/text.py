@@ -69,8 +69,8 @@ def named_migration_verb(text: Column) -> Column:
     for verb, end in rules.NAMED_VERBS:
         # One group: empty without a match, and a blank gap names nothing either.
         gap = F.regexp_extract(text, rf"(?s){verb}(.*?){end}", 1)
-        # The first verb decides, also where no end follows it.
-        found = found | (~trim_space(gap).isin("", "in", "to"))
+        # The plain searches come first, because most texts have no such phrase.
+        found = found | (F.contains(text, F.lit(verb)) & F.contains(text, F.lit(end)) & ~trim_space(gap).isin("", "in", "to"))
     return F.coalesce(found, F.lit(False))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules
+from . import rules, shared
 from .adapters import Tables
 from .functions import numbers, paths, text, vectorized
 from .jobs import workflows
@@ -409,7 +409,8 @@ def path_language_join(t: Tables) -> DataFrame:
 
 def composition(t: Tables, points: int = 100) -> tuple[DataFrame, DataFrame]:
     samples = history.composition_samples(t.commits, points)
-    return history.composition_asof(history.running_net_lines(history.with_language(t.changes)), samples, t.commits), samples
+    mix = history.composition_asof(history.running_net_lines(history.with_language(t.changes)), samples, t.commits)
+    return shared.cut_lineage(mix), samples  # small, and read by several steps
 
 
 def series(t: Tables) -> DataFrame:
