@@ -217,3 +217,14 @@ def test_each_known_sentence_has_a_hint_and_a_rule():
     assert all(re.search(license_scan.HINTS, s) for s in license_scan.SENTENCES)
     used = {i for _, ids in license_scan.RULES for i in ids}
     assert used <= set(license_scan.SENTENCES.values())
+
+
+def test_texts_of_unlearned_languages_are_not_identified(spark):
+    rng = random.Random(8)
+    learned = {"aa": ["lorum", "opsit", "dalor", "remit", "sanct", "velon"], "bb": ["kwixz", "zyqqk", "wvixk", "qkyzz", "xwqik", "qxzzk"]}
+    rows = [(i, " ".join(rng.choice(learned[x]) for _ in range(60)), x) for i in range(120) for x in [rng.choice(["aa", "bb"])]]
+    rows += [(120 + i, " ".join(rng.choice(["pfumg", "jubbh", "gyfpu", "hpujm"]) for _ in range(60)), None) for i in range(5)]
+    rows += [(130 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(400)), None) for i in range(5)]
+    rows += [(140, "это простой текст на языке которого никто не учил", None), (141, "lorum opsit dalor remit", None), (142, "12 34", None)]
+    found = langid.identified(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert {r.doc_id for r in found.collect()} == {*range(120), 141}
