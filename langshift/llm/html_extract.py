@@ -10,6 +10,7 @@ on, by element or by class) is left out.
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 #: Comments, declarations, tags.
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 LABELS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+NOT_SHOWN = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 #: Fixed values of HTML: elements without content, elements whose content is no markup, blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +46,16 @@ NEVER_WORDS = frozenset(
     "signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 
+#: Class names tell of a thing, not that they are it, from one of these parts on. These elements are never left
+#: out by a label; the first of ``HOLDERS`` on a page, or a form's first heading, keeps what holds it.
+TELLING = frozenset("no not has with without hide".split())
+KEPT = frozenset("html body main article".split())
+HOLDERS = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
+HEADING = re.compile(r"<h1(?=[\s/>])", re.I)
+
+#: Raw elements that run to the page's end if nothing closes them. The others end at their own tag.
+TO_THE_END = frozenset("script style textarea title iframe noscript".split())
+
 #: Weights without labelled pages, as published for this method.
 WORD_WEIGHT, TAG_WEIGHT = 1.0, -3.25
 
@@ -75,13 +88,30 @@ class Weights:
 
 def label_words(attributes: str) -> set[str]:
     found = " ".join(next(filter(None, m.groups()), "") for m in LABELS.finditer(attributes))
-    return {w for name in re.split(r"[\s_]+", found.lower()) for w in [name, *name.split("-")] if w}
+    return {w for name in re.split(r"[\s_]+", found.lower()) for w in [name, *itertools.takewhile(lambda x: x not in TELLING, name.split("-"))] if w}
+
+
+def hidden(attributes: str) -> bool:
+    return bool(HIDDEN.search(QUOTED.sub('""', attributes)) or NOT_SHOWN.search(attributes))
+
+
+def holds(page: str, name: str, start: int, inner: int | None) -> bool:
+    """Whether ``inner`` lies in the element ``name`` whose content begins at ``start``."""
+    if inner is None or inner < start:
+        return False
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.I).finditer(page, start, inner):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return False
+    return True
 
 
 def tokens(page: str) -> Iterator[Token]:
     """The page's words and tags. ``key`` of words: the nearest block element and its labels."""
     stack: list[tuple[str, str, bool, bool]] = []  # name, key, never, main
     block = position = 0
+    holder, heading = (m.start() if m else None for m in (HOLDERS.search(page), HEADING.search(page)))
 
     def text(raw: str) -> Iterator[Token]:
         _, key, never, main = stack[-1] if stack else ("", "", False, False)
@@ -115,11 +145,16 @@ def tokens(page: str) -> Iterator[Token]:
         labels = label_words(m[3]) if "=" in m[3] else set()
         _, key, never, main = stack[-1] if stack else ("", "", False, False)
         inside = main or any(s[0] in ("article", "main") for s in stack)
-        never = never or name in NEVER or bool(labels & NEVER_WORDS) or (name == "header" and not inside) or bool(m[3] and HIDDEN.search(m[3]))
+        marked = bool(labels & NEVER_WORDS) and name not in KEPT or name == "form"
+        if marked and (holds(page, name, position, holder) or name == "form" and holds(page, name, position, heading)):
+            marked = False
+        never = never or name in NEVER - {"form"} or marked or (name == "header" and not inside) or bool(m[3] and hidden(m[3]) and name not in KEPT)
         yield Token(name, None, block, never)
         if name in RAW:
+            if name in ("svg", "math") and m[0].endswith("/>"):
+                continue
             end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, position)
-            position = end.start() if end else len(page)
+            position = end.start() if end else len(page) if name in TO_THE_END else position
             continue
         if name in VOID:
             if name == "br":
