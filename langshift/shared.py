@@ -8,14 +8,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; where that is unset, below a temporary one."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir``. Where that is unset, local mode takes a temporary one; on a
+    cluster there is none that all machines see, and this raises."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A fresh folder of this application below the shared one. The file system deletes it when the
+    application ends (a driver that is killed leaves it behind)."""
+    sc = spark.sparkContext
+    own = f"{shared_root(spark)}/langshift-{sc.applicationId}"
+    if getattr(sc, "_langshift_dir", None) != own:
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        sc._langshift_dir = own
+    return f"{own}/{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
