@@ -1,8 +1,10 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a table of text digests, bucketed and sorted by digest. New documents are reduced to
-digests, deduplicated among themselves by aggregation, held against the index by a sort-merge
-anti-join that reads the index as it lies (no exchange on its side), and the new digests appended.
+digests once, deduplicated among themselves by aggregation, held against the index by a sort-merge
+anti-join that reads the index as it lies (no exchange on its side), and the new digests are appended
+once the batch's output is written. Digests carry the name of the batch that brought them: a batch that
+runs again, for whatever reason, is held against the others alone and gives the same rows.
 """
 
 from __future__ import annotations
@@ -21,32 +23,42 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A digest table: digest binary, keep_id, group_size long. ``buckets`` is fixed when it is made."""
+    """A digest table: digest binary, keep_id, batch string. The number of buckets is fixed when it is made.
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int | None = None):
+    ``location`` is a folder that all machines see; without one, the table lies in the warehouse."""
+
+    def __init__(self, spark: SparkSession, table: str):
         self.spark, self.table = spark, table
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.table)
+    @classmethod
+    def open(cls, spark: SparkSession, table: str, id_type: str = "bigint", *, buckets: int | None = None, location: str | None = None) -> DigestIndex:
+        """The table as it is, or an empty one of ``buckets`` buckets (the session's shuffle partitions)."""
+        if not spark.catalog.tableExists(table):
+            n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            place = f"LOCATION '{location}'" if location else ""
+            spark.sql(f"CREATE TABLE {table} (digest BINARY, keep_id {id_type}, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {n} BUCKETS {place}")
+        return cls(spark, table)
+
+    @property
+    def buckets(self) -> int:
+        described = self.spark.sql(f"DESCRIBE EXTENDED {self.table}").where("col_name = 'Num Buckets'").first()
+        return int(described["data_type"])
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, groups: DataFrame) -> None:
-        """Add digests that are not there yet: one sorted file in each bucket."""
-        rows = groups.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
-        rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
+    def others(self, batch: str) -> DataFrame:
+        return self.read().where(F.col("batch") != batch).select("digest", "keep_id")
 
-    def unseen(self, groups: DataFrame) -> DataFrame:
-        """The groups whose digest the index lacks."""
-        return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti") if self.exists() else groups
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Add the digests that no batch has brought yet, one sorted file in each bucket. Appending a batch
+        again adds nothing."""
+        new = groups.select("digest", "keep_id").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        rows = common.cut_lineage(new).repartition(self.buckets, "digest").withColumn("batch", F.lit(batch))
+        rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
 
-    def add(self, groups: DataFrame) -> DataFrame:
-        """Append the unseen of ``groups`` and return them, reread from the shared folder."""
-        new = common.cut_lineage(self.unseen(groups))
-        self.append(new)
-        return new
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def digest_groups(digests: DataFrame, id_col: str) -> DataFrame:
@@ -54,39 +66,69 @@ def digest_groups(digests: DataFrame, id_col: str) -> DataFrame:
     return digests.groupBy("digest").agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", table: str | None = None) -> DataFrame:
+def held_against(groups: DataFrame, index: DigestIndex, batch: str) -> DataFrame:
+    """``groups`` with ``fresh``: whether no other batch brought the digest. If one did, keep_id is its."""
+    older = index.others(batch)
+    fresh = groups.join(older.select("digest").hint("merge"), "digest", "left_anti").withColumn("fresh", F.lit(True))
+    known = groups.drop("keep_id").join(older.hint("merge"), "digest").withColumn("fresh", F.lit(False))
+    return fresh.unionByName(known)
+
+
+def marked(docs: DataFrame, index: DigestIndex | None, batch: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(``id_col``, digest, keep_id, group_size, fresh) of each document, and the groups behind it."""
+    digests = common.cut_lineage(docs.select(F.col(id_col), text_digest(F.col(text_col)).alias("digest")))
+    groups = common.cut_lineage(digest_groups(digests, id_col))
+    held = groups.withColumn("fresh", F.lit(True)) if index is None else held_against(groups, index, batch)
+    return common.attach_group(digests, held, "digest", "group_size", digests.count()), groups
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, batch: str = "") -> DataFrame:
     """One row for each document: ``id_col``, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z only. Of equal texts of this batch the row
-    with the largest id stays. With ``table``, an index that outlives the call, a text that an earlier
-    batch brought is dropped whole: its keep_id is that of the index, group_size that of its first batch.
+    with the largest id stays; group_size counts the rows of this batch. With ``index``, a text that
+    another batch brought is dropped whole, and its keep_id is that of the index. The index is only read:
+    write the result, then ``append`` (``add_batch`` does both).
 
     Null text equals empty text. A null id is smaller than any other; if a group has no other, its
     rows are all kept with keep_id null. Rows that repeat the id that stays are the same document and
-    all marked kept. No rows: none out. Other columns are not read.
+    all marked kept. A text of any length is one digest. No rows: none out. Other columns are not read.
     """
+    return shown(marked(docs, index, batch, id_col, text_col)[0], id_col)
+
+
+def shown(rows: DataFrame, id_col: str) -> DataFrame:
+    kept = F.col(id_col).eqNullSafe(F.col("keep_id")) & F.col("fresh")
+    return rows.select(id_col, "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def add_batch(docs: DataFrame, index: DigestIndex, batch: str, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write what ``deduplicate`` says of this batch below ``path``, then append its digests to the index;
+    returns the rows as written. If it ends anywhere in between, running it again gives the same."""
+    rows, groups = marked(docs, index, batch, id_col, text_col)
+    out = shown(rows, id_col)
+    out.write.mode("overwrite").parquet(path)
+    index.append(groups, batch)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def deduplicate_whole(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``deduplicate`` of documents that are one batch in themselves, through an index of their own that
+    goes away afterwards."""
     spark = docs.sparkSession
-    digests = docs.select(F.col(id_col), text_digest(F.col(text_col)).alias("digest"))
-    index = DigestIndex(spark, table or f"digest_index_{uuid.uuid4().hex}")
-    groups = digest_groups(digests, id_col)
-    if index.exists():
-        fresh = index.add(groups).select("digest", F.lit(True).alias("fresh"))
-        known = index.read().join(fresh, "digest", "left")
-    else:
-        index.append(groups)
-        known = index.read().withColumn("fresh", F.lit(True))
-    total = known.agg(F.sum("group_size")).first()[0] or 0
-    out = common.attach_group(digests, known, "digest", "group_size", total, id_col)
-    kept = F.col(id_col).eqNullSafe(F.col("keep_id")) & F.coalesce(F.col("fresh"), F.lit(False))
-    return out.select(id_col, "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-
-
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", table: str | None = None) -> DataFrame:
+    folder = common.shared_dir(spark)
+    index = DigestIndex.open(spark, f"digests_{uuid.uuid4().hex}", docs.schema[id_col].dataType.simpleString(), location=f"{folder}/index")
+    try:
+        return add_batch(docs, index, "all", f"{folder}/rows", id_col=id_col, text_col=text_col)
+    finally:
+        index.drop()
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, batch: str = "") -> DataFrame:
     """The documents that ``deduplicate`` keeps, with all their columns. Rows that repeat both id and
-    text are the same document and all stay."""
-    kept = deduplicate(docs, id_col=id_col, text_col=text_col, table=table).where("kept")
-    # Keys are structs, because null ids are to meet as well; rows are structs, so that no name can clash.
-    keep = kept.select(F.struct(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("digest")).alias("keep")).distinct()
+    text are the same document and all stay. What is dropped is looked up, so that the texts stay where
+    they are as long as few are dropped (see ``common.without``)."""
+    found = deduplicate(docs, id_col=id_col, text_col=text_col, index=index, batch=batch)
+    gone = found.where(~F.col("kept")).select(F.struct(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("digest")).alias("gone")).distinct()
     own = F.struct(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), own.alias("own"))
-    return rows.join(keep, F.col("own") == F.col("keep"), "left_semi").select("row.*")
+    return common.without(docs, own, gone)

@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Roots are few copies of long values: the smallest id of each component, then back to its fingerprints.
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.join(least, "root").select("fp", "copies", "component_id")
-    out = common.attach_group(marks, named, "fp", "copies", marks.count(), id_col)
+    out = common.attach_group(marks, named, "fp", "copies", marks.count())
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -250,6 +250,6 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The documents whose id is the smallest of their component, with all their columns. Rows that
     repeat that id are the same document and all stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, radius=radius)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.struct(F.col(id_col).alias("id")).alias("keep")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(id_col).alias("id")).alias("own"))
-    return rows.join(keep, F.col("own") == F.col("keep"), "left_semi").select("row.*")
+    kept = F.bool_or(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("kept")
+    gone = found.groupBy(id_col).agg(kept).where("not kept").select(F.struct(F.col(id_col).alias("id")).alias("gone"))
+    return common.without(docs, F.struct(F.col(id_col).alias("id")), gone)

@@ -188,7 +188,7 @@ def write_packages(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     groups = rows.where(F.octet_length("payload") >= LEAST_REVISIT).select("same", "id").groupBy("same").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first_id is not null")
     groups = common.cut_lineage(groups)
     total = pages.count()
-    marked = common.attach_group(rows, groups, "same", "copies", total, "id").drop("same", "copies")
+    marked = common.attach_group(rows, groups, "same", "copies", total).drop("same", "copies")
     marked = marked.withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("first_id")), F.col("first_id")))
 
     def run(batches):
