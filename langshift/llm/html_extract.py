@@ -10,9 +10,9 @@ on, by element or by class) is left out.
 from __future__ import annotations
 
 import html
-import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,9 +46,16 @@ NEVER_WORDS = frozenset(
     "signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 
-#: Class names tell of a thing, not that they are it, from one of these parts on. These elements are never left
-#: out by a label; the first of ``HOLDERS`` on a page, or a form's first heading, keeps what holds it.
-TELLING = frozenset("no not has with without hide".split())
+#: A class, id or role marks an element only if each of its parts is one of the words above or one of these:
+#: ``share-bar`` does, ``has-sidebar``, ``share-enabled`` and ``overflow-hidden`` don't.
+NEUTRAL = frozenset(
+    "a alert area article articles bar blob block blocks body bottom box btn button buttons by card center col column container content cta desktop dialog entry fixed float form "
+    "gdpr global google group header heading icon icons inner item items label large law leave left legal link links list lists main media message mobile outer overlay page panel "
+    "policy post posts primary reader readers respond right row secondary section settings site slot small sticky stories story tab tabs text thread title toggle top trail unit user users "
+    "wrap wrapper".split()
+)
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+(?:x\d+)?|[^\W\d_]+")
+#: These are never left out by a label; the first of ``HOLDERS`` on a page, or a form's first heading, keeps what holds it.
 KEPT = frozenset("html body main article".split())
 HOLDERS = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
 HEADING = re.compile(r"<h1(?=[\s/>])", re.I)
@@ -59,8 +66,10 @@ TO_THE_END = frozenset("script style textarea title iframe noscript".split())
 #: Weights without labelled pages, as published for this method.
 WORD_WEIGHT, TAG_WEIGHT = 1.0, -3.25
 
-#: Pages that the fit takes at most, about, and the largest size of a weight.
-SAMPLE, LARGEST = 1000, 4.0
+#: Pages that the fit takes at most, about; the largest size of a weight; how often an element or tag has to
+#: occur in these pages for a weight of its own. The rarer ones share one.
+SAMPLE, LARGEST, COMMON = 1000, 4.0, 5
+RARE = "*"
 
 
 @dataclass
@@ -82,97 +91,150 @@ class Weights:
         if token.never:
             return 0.0  # left out in any case, so it must not part what stands around it
         if token.words is None:
-            return self.tags.get(token.key, TAG_WEIGHT if not self.tags else -0.5)
-        return len(token.words) * self.words.get(token.key, WORD_WEIGHT)
+            return self.tags.get(token.key, self.tags.get(RARE, TAG_WEIGHT if not self.tags else -0.5))
+        return len(token.words) * self.words.get(token.key, self.words.get(RARE, WORD_WEIGHT))
 
 
 def label_words(attributes: str) -> set[str]:
+    """The words of ``NEVER_WORDS`` in those labels that consist of such and neutral words alone."""
     found = " ".join(next(filter(None, m.groups()), "") for m in LABELS.finditer(attributes))
-    return {w for name in re.split(r"[\s_]+", found.lower()) for w in [name, *itertools.takewhile(lambda x: x not in TELLING, name.split("-"))] if w}
+    words = set()
+    for name in found.split():
+        parts = [p.lower() for p in PARTS.findall(name)]
+        if all(p in NEVER_WORDS or p in NEUTRAL or p[0].isdigit() for p in parts):
+            words |= NEVER_WORDS.intersection(parts)
+    return words
 
 
 def hidden(attributes: str) -> bool:
     return bool(HIDDEN.search(QUOTED.sub('""', attributes)) or NOT_SHOWN.search(attributes))
 
 
-def holds(page: str, name: str, start: int, inner: int | None) -> bool:
-    """Whether ``inner`` lies in the element ``name`` whose content begins at ``start``."""
-    if inner is None or inner < start:
-        return False
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.I).finditer(page, start, inner):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return False
-    return True
-
-
-def tokens(page: str) -> Iterator[Token]:
-    """The page's words and tags. ``key`` of words: the nearest block element and its labels."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, key, never, main
+@dataclass
+class Element:
+    name: str
+    key: str
+    never: bool
+    main: bool
+    start: int
+
+
+class Open:
+    """The open elements, with counts by name in all and since the innermost scope, so that no tag has
+    to look through them."""
+
+    def __init__(self):
+        self.stack, self.count, self.scopes = [], Counter(), [("", Counter())]
+
+    def push(self, element: Element) -> None:
+        self.stack.append(element)
+        self.count[element.name] += 1
+        self.scopes[-1][1][element.name] += 1
+        if element.name in SCOPES:
+            self.scopes.append((element.name, Counter()))
+
+    def pop(self) -> Element:
+        element = self.stack.pop()
+        if element.name in SCOPES:
+            self.scopes.pop()
+        self.scopes[-1][1][element.name] -= 1
+        self.count[element.name] -= 1
+        return element
+
+    def close(self, name: str) -> None:
+        """An end tag: closes the innermost element of that name, if there is one."""
+        if self.count[name]:
+            while self.pop().name != name:
+                pass
+
+    def close_within(self, names: tuple[str, ...]) -> None:
+        """Close the innermost of ``names`` that no container shields."""
+        scope, inside = self.scopes[-1]
+        if scope in names or any(inside[n] for n in names):
+            while self.pop().name not in names:
+                pass
+
+
+def ancestors(page: str, position: int | None) -> frozenset[int]:
+    """Where the tags of the elements begin that are open at ``position``."""
+    if position is None:
+        return frozenset()
+    opened = Open()
+    for _ in tokens(page, opened, position):
+        pass
+    return frozenset(e.start for e in opened.stack)
+
+
+def tokens(page: str, opened: Open | None = None, stop: int | None = None) -> Iterator[Token]:
+    """The page's words and tags, up to the tag at ``stop``. ``key`` of words: the nearest block element
+    and its labels. One pass; what marks elements may take a second one up to the first article."""
+    opened = Open() if opened is None else opened
     block = position = 0
-    holder, heading = (m.start() if m else None for m in (HOLDERS.search(page), HEADING.search(page)))
+    unclosed: set[str] = set()
+    kept: dict[str, frozenset[int]] = {}
+
+    def top() -> Element:
+        return opened.stack[-1] if opened.stack else Element("", "", False, False, 0)
 
-    def text(raw: str) -> Iterator[Token]:
-        _, key, never, main = stack[-1] if stack else ("", "", False, False)
+    def text(raw: str) -> Token:
         plain = html.unescape(raw)
-        yield Token(key, plain.split(), block, never, main, plain)
+        return Token(top().key, plain.split(), block, top().never, top().main, plain)
+
+    def shielded(name: str, start: int) -> bool:
+        """Whether a marked element holds the page's first article, or a form its first heading."""
+        if stop is not None:
+            return True
+        if not kept:
+            kept["article"], kept["form"] = (ancestors(page, m.start() if m else None) for m in (HOLDERS.search(page), HEADING.search(page)))
+        return start in kept["article"] or name == "form" and start in kept["form"]
 
     while position < len(page):
         m = MARKUP.search(page, position)
         if m is None:
-            yield from text(page[position:])
+            yield text(page[position:])
+            return
+        if stop is not None and m.start() >= stop:
             return
         if m.start() > position:
-            yield from text(page[position : m.start()])
+            yield text(page[position : m.start()])
         position = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
         if m[1]:
-            never = bool(stack) and stack[-1][2]
-            if any(name == s[0] for s in stack):
-                while stack.pop()[0] != name:
-                    pass
+            never = top().never
+            opened.close(name)
             block += name in BLOCK
             yield Token(f"/{name}", None, block, never)
             continue
         if name in CLOSES_P:
-            close_within(stack, ("p",))
+            opened.close_within(("p",))
         if name in SIBLINGS:
-            close_within(stack, SIBLINGS[name])
+            opened.close_within(SIBLINGS[name])
         block += name in BLOCK
         labels = label_words(m[3]) if "=" in m[3] else set()
-        _, key, never, main = stack[-1] if stack else ("", "", False, False)
-        inside = main or any(s[0] in ("article", "main") for s in stack)
-        marked = bool(labels & NEVER_WORDS) and name not in KEPT or name == "form"
-        if marked and (holds(page, name, position, holder) or name == "form" and holds(page, name, position, heading)):
-            marked = False
-        never = never or name in NEVER - {"form"} or marked or (name == "header" and not inside) or bool(m[3] and hidden(m[3]) and name not in KEPT)
+        around = top()
+        inside = around.main or opened.count["article"] or opened.count["main"]
+        never = around.never
+        if not never:
+            marked = bool(labels) and name not in KEPT or name == "form"
+            unseen = name in NEVER - {"form"} or (name == "header" and not inside) or bool(m[3] and hidden(m[3]) and name not in KEPT)
+            never = unseen or marked and not shielded(name, m.start())
         yield Token(name, None, block, never)
         if name in RAW:
             if name in ("svg", "math") and m[0].endswith("/>"):
                 continue
-            end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, position)
+            end = None if name in unclosed else re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, position)
+            if end is None:
+                unclosed.add(name)
             position = end.start() if end else len(page) if name in TO_THE_END else position
             continue
         if name in VOID:
             if name == "br":
-                yield Token("", [], block, never, main, " ")
+                yield Token("", [], block, never, around.main, " ")
             continue
-        if name in BLOCK or labels & NEVER_WORDS:
-            key = " ".join([name, *sorted(labels & NEVER_WORDS)])
-        stack.append((name, key, never, main or name == "article"))
-
-
-def close_within(stack: list, names: tuple[str, ...]) -> None:
-    """Close the innermost of ``names`` that no container shields."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in names:
-            del stack[k:]
-            return
-        if stack[k][0] in SCOPES:
-            return
+        key = " ".join([name, *sorted(labels)]) if name in BLOCK or labels else around.key
+        opened.push(Element(name, key, never, around.main or name == "article", m.start()))
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -216,15 +278,16 @@ def counts(page: str) -> dict[tuple[str, str], list[int]]:
 def learn(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Weights:
     """Weights from pages whose markup labels the main text: those with exactly one article element.
 
-    The fit takes about ``sample`` pages, those with the smallest hashes of their ids. Weights are log
-    odds with one count added, at most ``LARGEST`` in size, below zero for tags. Without a labelled
-    page the published weights hold.
+    The fit takes those among about ``sample`` pages, the ones with the smallest hashes of their ids.
+    Weights are log odds with one count added, at most ``LARGEST`` in size, below zero for tags.
+    Elements and tags that these pages hold fewer than ``COMMON`` times share one weight. Without a
+    labelled page the published weights hold.
     """
-    labelled = pages.where(F.regexp_count(F.lower(html_col), F.lit(r"<article[\s>]")) == 1)
-    total = labelled.count()
+    total = pages.count()
     if not total:
         return Weights()
-    slot = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(total))
+    few = pages.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(total)) < sample)
+    labelled = few.where(F.regexp_count(F.lower(html_col), F.lit(r"<article[\s>]")) == 1)
 
     def run(batches):
         for batch in batches:
@@ -232,10 +295,11 @@ def learn(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html",
             kind, key, inside, outside = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(key, pa.string()), pa.array(inside, pa.int64()), pa.array(outside, pa.int64())], ["kind", "key", "inside", "outside"])
 
-    found = labelled.where(slot < sample).select(html_col).mapInArrow(run, "kind string, key string, inside long, outside long")
-    rows = found.groupBy("kind", "key").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).orderBy(F.desc(F.col("inside") + F.col("outside")), "kind", "key").limit(10_000).collect()
+    sums = [F.sum("inside").alias("inside"), F.sum("outside").alias("outside")]
+    found = labelled.select(html_col).mapInArrow(run, "kind string, key string, inside long, outside long").groupBy("kind", "key").agg(*sums)
+    own = F.when(F.col("inside") + F.col("outside") >= COMMON, F.col("key")).otherwise(F.lit(RARE))
     weights = Weights()
-    for kind, key, inside, outside in rows:
+    for kind, key, inside, outside in found.groupBy("kind", own.alias("key")).agg(*sums).collect():  # at most what occurs COMMON times in the sample
         odds = max(-LARGEST, min(LARGEST, math.log((inside + 1) / (outside + 1))))
         if kind == "word":
             weights.words[key] = odds

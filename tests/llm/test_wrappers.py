@@ -28,3 +28,59 @@ def test_wrapped_text_stays(page):
 @pytest.mark.parametrize("page", [f'<div class="sidebar">{BODY}</div>', f"<div hidden>{BODY}</div>", f'<div class="site-nav">{BODY}</div>', f"<form>{BODY}</form>", f"<script>{BODY}"])
 def test_other_text_goes(page):
     assert html_extract.extract(page, html_extract.Weights()) == ""
+
+
+P1, P2 = "First paragraph of the main text with a good many words in it.", "Second paragraph, which goes on for about as long as the first one does."
+ARTICLE = f"<h1>The headline of it</h1><p>{P1}</p><p>{P2}</p>"
+TEXT = f"The headline of it\n{P1}\n{P2}"
+MENU = '<nav><ul><li><a href="/a">Menu one</a></li><li><a href="/b">Menu two</a></li></ul></nav>'
+FOOT = "<footer><p>All about us and our footer</p></footer>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<html><body class="has-sidebar">{MENU}<article>{ARTICLE}</article>{FOOT}</body></html>',
+        f'<body class="comments-open post-template">{MENU}<article class="post share-enabled">{ARTICLE}</article>{FOOT}',
+        f'<body class="nav-menu-left">{MENU}<main class="search">{ARTICLE}</main>{FOOT}',
+        f'<body class="overflow-hidden"><div class="hidden md:block flex">{ARTICLE}</div></body>',
+        f'<body><div id="page" class="site"><div class="sidebar-left"><p>Side words here</p></div><div class="entry-content">{ARTICLE}</div></div></body>',
+        f'<div class="modal-open menu-page-template">{ARTICLE}<div class="share-bar"><p>Share this page now</p></div></div>',
+        f'<div id="comments-and-article"><article>{ARTICLE}</article><section id="comments"><p>What a page, says a reader</p></section></div>',
+        f'<div class="widget"><div class="widget-area"><article>{ARTICLE}</article></div></div>',
+        f'<form id="aspnetForm" action="/x"><div>{ARTICLE}</div><input name="q"></form>',
+        f'<article>{ARTICLE}<form><label>Your mail address please</label></form></article>',
+        f'<article>{ARTICLE}</article><div class="cookieBanner"><p>We use many cookies here</p></div>',
+        f'<article>{ARTICLE}<div aria-hidden="true"><p>Not for reading at all</p></div></article>',
+        f"<article><svg><title>icon</title></svg>{ARTICLE}<select><option>One<option>Two</select></article>",
+        f'<article data-hidden="x" data-role="nav">{ARTICLE}</article>',
+        f"<header><h2>Site name and motto</h2></header><article>{ARTICLE}</article><aside><p>Also read this one</p></aside>",
+        f'<table><tr><td><div class="related-posts"><p>Another post here</p></div><td><article>{ARTICLE}</article></table>',
+        f'<ul class="breadcrumb"><li>Home<li>News</ul><div role="main"><article>{ARTICLE}</article></div><div class="ad-300x250 adslot"><p>Buy a thing now</p></div>',
+        f"<article>{ARTICLE.replace('first', '<b>first</b>').replace('<p>Second', '<p hidden>gone words</p><p>Second')}</article>",
+    ],
+)
+def test_templates(page):
+    assert html_extract.extract(page, html_extract.Weights(tags={html_extract.RARE: -0.5})) == TEXT
+
+
+def seconds(page):
+    import time
+
+    start = time.perf_counter()
+    found = html_extract.extract(page, html_extract.Weights(tags={"p": -0.1, "/p": -0.1}))
+    return found, time.perf_counter() - start
+
+
+@pytest.mark.parametrize("opening", ["<div>", "<b>", '<div class="menu">', "<dt><table><b>", "<object>", "<li>", "<p><span>", "<form>"])
+def test_depth_costs_no_more_than_length(opening):
+    seconds(opening * 500 + BODY)
+    _, short = seconds(opening * 10_000 + BODY)
+    _, long = seconds(opening * 100_000 + BODY)
+    assert long < 30 * short + 1.0
+
+
+def test_a_long_page_is_read_whole():
+    page = f"<nav>Menu</nav><article>{'<p>' + 'words of a long page ' * 50 + '</p>'}{('<p>' + P1 + '</p>') * 70_000}<p>the very end</p></article>"
+    found, _ = seconds(page)
+    assert len(page) > 4_500_000 and found.endswith("the very end") and found.count("\n") == 70_001
