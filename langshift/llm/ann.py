@@ -1,14 +1,17 @@
 """Approximate nearest neighbours by cosine with a hash-prefix forest.
 
 Each of ``trees`` trees gives every vector a long string of sign bits and keeps the vectors as an array
-sorted by it. A query descends to the vectors that share the longest prefix with its own string, and
-ascends, in all trees at once, to shorter prefixes until they hold enough candidates; these are scored
-exactly. Prefix lengths thus vary with the density around the query.
-
-On Spark the sorted arrays are cut into blocks by their first bits (and a salt where a prefix holds
-many vectors). One narrow aggregation counts how many vectors share each prefix; a query's counts over
-all trees give the depth to which it ascends, and so the blocks that it has to visit. A block is read
-once, its queries find their range by bisection and are scored by one product each.
+sorted by it. A query descends to the vectors that share the longest prefix with its own string and
+ascends, in all trees at once, to vectors with less and less in common, until enough candidates are
+found; these are scored exactly. The way up goes by what a differing bit costs: bits that the query
+itself hardly decides (its distance to their plane is small) are given up first. So the prefixes that
+a query visits vary in number and place with the query and the density around it.
+
+On Spark one narrow aggregation counts the entries of all cells (prefixes of ``CELL_BITS`` bits, a
+bounded number). Each query takes the cells of the smallest cost, over all trees, until they hold
+``wanted(n)`` entries. The sorted arrays are cut into blocks; a block is read once for each chunk of the
+queries that visit it, finds their cells by bisection and scores them by products. Blocks that hold many
+entries are salted, blocks with many visitors repeated, so that no group outgrows a task.
 
 Equal vectors are one entry with its smallest ids, which keeps large groups of copies in one row and
 ties exact.
@@ -26,19 +29,22 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Bits of a tree's strings, and of the part over which prefixes are counted.
-BITS, COUNTED = 48, 14
+#: Bits of a tree's strings, and of the cells that are counted at most.
+BITS, CELL_BITS = 48, 14
 
-#: Vectors of a block, about.
-BLOCK = 8192
+#: Entries of a block, about, and queries that one copy of it serves, about.
+BLOCK, CHUNK = 8192, 20_000
 
 #: Vectors over which the planes are fitted, at most.
 SAMPLE = 4096
 
+#: Up to so many entries, a search visits all of them.
+WHOLE = 1000
+
 
 def candidates_wanted(n: int) -> int:
-    """Entries over all trees to which a query ascends: in proportion to n ** 0.9."""
-    return math.ceil(3.0 * n**0.9)
+    """Entries, counted in each tree, to which a query ascends: in proportion to n ** 0.82."""
+    return max(WHOLE, math.ceil(2.3 * n**0.82))
 
 
 def usable(vector: Column) -> Column:
@@ -47,24 +53,64 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
-def fit_planes(sample: np.ndarray, trees: int, seed: int) -> np.ndarray:
-    """Random planes, stretched along the directions in which the sample varies."""
-    values, vectors = np.linalg.eigh(np.cov(sample.T) if len(sample) > 1 else np.eye(sample.shape[1]))
+def fit_planes(sample: np.ndarray, trees: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(planes, offsets): for each tree random directions, at right angles as far as there are so many,
+    stretched along the directions in which the sample varies, and parting the sample at its middle."""
+    dim, rng = sample.shape[1], np.random.default_rng(seed)
+    values, vectors = np.linalg.eigh(np.cov(sample.T).reshape(dim, dim) if len(sample) > 1 else np.eye(dim))
     stretch = np.sqrt(np.maximum(values, values.max() * 0.05 + 1e-12))
-    return vectors @ (stretch[:, None] * np.random.default_rng(seed).standard_normal((sample.shape[1], trees * BITS)))
+    turns = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(trees * -(-BITS // dim))]
+    each = -(-BITS // dim)
+    turned = np.concatenate([np.concatenate(turns[t * each : (t + 1) * each], axis=1)[:, :BITS] for t in range(trees)], axis=1)
+    planes = vectors @ (stretch[:, None] * turned)
+    planes /= np.linalg.norm(planes, axis=0)
+    return planes, sample.mean(axis=0) @ planes
 
 
-def hash_strings(vectors: np.ndarray, planes: np.ndarray, trees: int) -> np.ndarray:
-    """One row of ``trees`` non-negative numbers of ``BITS`` bits for each vector."""
-    bits = (vectors @ planes > 0).reshape(len(vectors), trees, BITS)
+def hash_strings(margins: np.ndarray, trees: int) -> np.ndarray:
+    """One row of ``trees`` non-negative numbers of ``BITS`` bits for each vector's distances to the planes."""
+    bits = (margins > 0).reshape(len(margins), trees, BITS)
     return bits.astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
+def cell_costs(margins: np.ndarray, depth: int) -> np.ndarray:
+    """Cost of each cell of each tree (trees x 2 ** depth) for a query's distances to the planes (trees x
+    bits): the sum of their squares over the bits in which the cell differs."""
+    cost = np.zeros((len(margins), 1), dtype=np.float32)
+    for bit in range(depth):
+        one = margins[:, bit] > 0
+        w = (margins[:, bit] ** 2).astype(np.float32)
+        step = np.stack([np.where(one, w, 0), np.where(one, 0, w)], axis=1)
+        cost = (cost[:, :, None] + step[:, None, :]).reshape(len(margins), -1)
+    return cost
+
+
+def chosen_cells(margins: np.ndarray, counts: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tree, cell) of the cells to which a query ascends, over all trees at once in order of their cost,
+    until they hold ``wanted`` entries; cells of equal cost go together. ``counts``: trees x cells."""
+    held = np.flatnonzero(counts)
+    cost, sizes = cell_costs(margins, counts.shape[1].bit_length() - 1).ravel()[held], counts.ravel()[held]
+    some = max(64, 2 * wanted * len(held) // int(sizes.sum()))
+    while True:  # the cheapest cells are enough, mostly twice as many as would be of average size
+        near = np.argpartition(cost, some)[:some] if some < len(held) else np.arange(len(held))
+        order = near[np.argsort(cost[near])]
+        total = np.cumsum(sizes[order])
+        if total[-1] >= wanted or len(order) == len(held):
+            break
+        some *= 2
+    last = cost[order[min(int(np.searchsorted(total, wanted)), len(order) - 1)]]
+    return np.divmod(held[cost <= last], counts.shape[1])
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -84,8 +130,9 @@ def nearest(
     several vectors is several candidates under one id, of which the best counts. Fewer candidates than
     ``k``: all of them. No rows: none out. Other columns are not read.
 
-    A query goes up until prefixes hold ``wanted(n)`` entries of the ``n`` over all trees, which keeps
-    recall at 0.9 or more on data without low-dimensional structure and grows slower than ``n``.
+    A query goes up until its cells hold ``wanted(n)`` of the ``n`` entries, counted in each tree, which keeps
+    recall at 0.9 or more even on data without low-dimensional structure and grows slower than ``n``. Up
+    to ``WHOLE`` entries, all are scored. Vectors of each length are searched by a plan of their own.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
@@ -105,75 +152,84 @@ def nearest(
 
 
 def _nearest(entries: DataFrame, asked: DataFrame, n: int, k: int, trees: int, seed: int, wanted, schema: str) -> DataFrame:
+    spark = entries.sparkSession
     sample = np.array([r[0] for r in entries.orderBy("entry").limit(SAMPLE).select("v").collect()], dtype=np.float64)
-    planes = fit_planes(sample / np.linalg.norm(sample, axis=1, keepdims=True), trees, seed)
+    planes, offsets = fit_planes(unit(sample), trees, seed)
     id_type = asked.schema["query_id"].dataType.simpleString()
+    array = "array<float>" if "float" in entries.schema["v"].dataType.simpleString() else "array<double>"
+    asked = asked.select(F.col("v").cast(array), "query_id")
+    depth = 0 if n <= WHOLE else max(0, min(CELL_BITS, n.bit_length()))
+    first = min(depth, (n // BLOCK).bit_length())
 
     def strings(batches):
         for batch in batches:
             if batch.num_rows:
-                found = hash_strings(matrix(batch.column(0)), planes, trees)
+                found = hash_strings(unit(matrix(batch.column(0))) @ planes - offsets, trees)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, trees), pa.int32()), pa.array(found.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, flat], [*batch.schema.names, "strings"])
 
-    array = "array<float>" if "float" in entries.schema["v"].dataType.simpleString() else "array<double>"
     entries = entries.select(F.col("v").cast(array), "ids", "entry").mapInArrow(strings, f"v {array}, ids array<{id_type}>, entry long, strings array<long>")
-    asked = asked.select(F.col("v").cast(array), "query_id").mapInArrow(strings, f"v {array}, query_id {id_type}, strings array<long>")
-    asked = common.cut_lineage(asked)
-
-    # How many entries share each prefix; a query's counts over all trees give its depth.
-    def spread(df, *more):
-        return df.select(*more, F.posexplode("strings").alias("tree", "hash"))
-
-    def prefix(depth):
-        return F.shiftright(F.col("hash"), BITS - COUNTED) if depth is None else F.expr(f"shiftright(hash, {BITS} - {depth})")
-
-    fine = spread(entries).groupBy("tree", prefix(None).alias("p")).agg(F.count(F.lit(1)).alias("c"))
-    depths = F.explode(F.sequence(F.lit(0), F.lit(COUNTED))).alias("depth")
-    counts = common.cut_lineage(
-        fine.select("tree", "c", "p", depths).select("tree", "depth", F.expr(f"shiftright(p, {COUNTED} - depth)").alias("p"), "c").groupBy("tree", "depth", "p").agg(F.sum("c").alias("c"))
-    )
-    paths = spread(asked, "query_id", F.xxhash64("v").alias("qe")).select("query_id", "qe", "tree", "hash", depths)
-    paths = paths.select("query_id", "qe", "tree", "depth", F.expr(f"shiftright(hash, {BITS} - depth)").alias("p"))
-    totals = paths.join(counts, ["tree", "depth", "p"]).groupBy("query_id", "qe", "depth").agg(F.sum("c").alias("c"))
-    enough = totals.where((F.col("c") >= min(wanted(n), n * trees)) | (F.col("depth") == 0)).groupBy("query_id", "qe").agg(F.max("depth").alias("depth"))
-
-    # Blocks: the first bits of a tree's strings, salted where a prefix holds many entries.
-    first = max(0, min(COUNTED, (n // BLOCK).bit_length()))
-    salts = counts.where(F.col("depth") == first).select("tree", F.col("p").alias("block"), F.ceil(F.col("c") / F.lit(BLOCK)).cast("int").alias("salts"))
-    in_block = spread(entries, "v", "ids", "entry").withColumn("block", prefix(first)).join(salts, ["tree", "block"])
-    in_block = in_block.select("tree", "block", F.pmod(F.col("entry"), F.col("salts")).cast("int").alias("salt"), "hash", "v", "ids", F.lit(None).cast(id_type).alias("query_id"), F.lit(None).cast("int").alias("depth"))
-    visits = spread(asked, "v", "query_id", F.xxhash64("v").alias("qe")).join(enough, ["query_id", "qe"])
-    reach = F.greatest(F.lit(first) - F.col("depth"), F.lit(0))
-    low = F.expr(f"shiftleft(shiftright(hash, {BITS - first} + {first} - least({first}, depth)), {first} - least({first}, depth))")
-    blocks = F.explode(F.sequence(low, low + F.expr(f"shiftleft(1L, greatest({first} - depth, 0))") - 1))
-    visits = visits.select("tree", "hash", "v", "query_id", "depth", blocks.alias("block")).join(salts, ["tree", "block"])
-    visits = visits.select("tree", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "hash", "v", F.lit(None).cast(f"array<{id_type}>").alias("ids"), "query_id", "depth")
+    spread = entries.select("v", "ids", "entry", F.posexplode("strings").alias("tree", "hash"))
+
+    # How many entries each cell holds: a bounded table, whatever n is.
+    counts = np.zeros((trees, 1 << depth), dtype=np.int64)
+    for tree, cell, c in spread.groupBy("tree", F.shiftright("hash", BITS - depth).alias("cell")).agg(F.count(F.lit(1))).collect():
+        counts[tree, cell] = c
+    per_block = counts.reshape(trees, 1 << first, -1).sum(axis=2)
+
+    def visits(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            margins = (unit(matrix(batch.column(0))) @ planes - offsets).reshape(-1, trees, BITS)
+            rows, tree, block, cells = [], [], [], []
+            for row, own in enumerate(margins):
+                t, c = chosen_cells(own, counts, wanted(n))
+                at = np.flatnonzero(np.r_[True, np.diff(t << first | c >> depth - first) != 0])
+                rows += [row] * len(at)
+                tree += t[at].tolist()
+                block += (c[at] >> depth - first).tolist()
+                cells += np.split(c, at[1:])
+            picked = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(tree, pa.int32()), pa.array(block, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], ["v", "query_id", "tree", "block", "cells"])
+
+    visits = common.cut_lineage(asked.mapInArrow(visits, f"v {array}, query_id {id_type}, tree int, block long, cells array<long>"))
+    visited = visits.groupBy("tree", "block").count().collect()  # at most as many as there are cells
+    sized = [(t, b, math.ceil(int(per_block[t, b]) / BLOCK), math.ceil(c / CHUNK)) for t, b, c in visited]
+    blocks = F.broadcast(spark.createDataFrame(sized, "tree int, block long, salts int, chunks int"))
+
+    in_block = spread.withColumn("block", F.shiftright("hash", BITS - first)).join(blocks, ["tree", "block"])
+    in_block = in_block.select("tree", "block", F.pmod("entry", "salts").cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "hash", "v", "ids", F.lit(None).cast(id_type).alias("query_id"), F.lit(None).cast("array<long>").alias("cells"))
+    chunk = F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int").alias("chunk")
+    asking = visits.join(blocks, ["tree", "block"]).select("tree", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), chunk, F.lit(None).cast("long").alias("hash"), "v", F.lit(None).cast(f"array<{id_type}>").alias("ids"), "query_id", "cells")
 
     def search(table: pa.Table) -> pa.Table:
         query = np.array(table.column("query_id").is_valid())
         empty = pa.table({"query_id": pa.array([], table.schema.field("query_id").type), "vec_id": pa.array([], table.schema.field("query_id").type), "score": pa.array([], pa.float64())})
         if query.all() or not query.any():
             return empty
-        hashes = table.column("hash").to_numpy()
         x = matrix(table.column("v").combine_chunks())
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         entry = np.flatnonzero(~query)
-        entry = entry[np.argsort(hashes[entry], kind="stable")]
-        array, points, lengths, ids = hashes[entry], x[entry], norm[entry], table.column("ids")
-        keys, depth, out = table.column("query_id"), table.column("depth").to_pylist(), []
+        hashes = table.column("hash").take(pa.array(entry)).to_numpy()
+        order = np.argsort(hashes, kind="stable")
+        entry, cell = entry[order], hashes[order] >> BITS - depth
+        points, lengths, ids = x[entry], norm[entry], table.column("ids")
+        keys, wanted_cells, out = table.column("query_id"), table.column("cells"), []
         for q in np.flatnonzero(query).tolist():
-            shift = BITS - depth[q]
-            lo, hi = np.searchsorted(array, [hashes[q] >> shift << shift, (hashes[q] >> shift) + 1 << shift])
-            if lo == hi:
+            own_cells = wanted_cells[q].values.to_numpy()
+            low, high = np.searchsorted(cell, own_cells), np.searchsorted(cell, own_cells, side="right")
+            sizes = high - low
+            at = np.repeat(low - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+            if not len(at):
                 continue
-            score = np.einsum("ij,j->i", points[lo:hi], x[q]) / (lengths[lo:hi] * norm[q])
+            score = np.einsum("ij,j->i", points[at], x[q]) / (lengths[at] * norm[q])
             # One entry more than asked for, as the query's own may be among them, and all that tie with it.
-            least = np.partition(score, -(k + 1))[-(k + 1)] if hi - lo > k + 1 else -np.inf
+            least = np.partition(score, -(k + 1))[-(k + 1)] if len(at) > k + 1 else -np.inf
             own, found = keys[q].as_py(), {}
             best = np.flatnonzero(score >= least)
             for i in best[np.argsort(-score[best], kind="stable")].tolist():
-                for other in ids[int(entry[lo + i])].as_py():
+                for other in ids[int(entry[at[i]])].as_py():
                     if other != own:
                         found[other] = max(found.get(other, -2.0), float(score[i]))
             top = sorted(found.items(), key=lambda f: (-f[1], f[0]))[:k]
@@ -181,7 +237,7 @@ def _nearest(entries: DataFrame, asked: DataFrame, n: int, k: int, trees: int, s
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
         return pa.table({name: pa.array(c, empty.schema.field(name).type) for name, c in zip(empty.schema.names, columns, strict=True)})
 
-    found = in_block.unionByName(visits).groupBy("tree", "block", "salt").applyInArrow(search, f"query_id {id_type}, vec_id {id_type}, score double")
+    found = in_block.unionByName(asking).groupBy("tree", "block", "salt", "chunk").applyInArrow(search, f"query_id {id_type}, vec_id {id_type}, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -225,6 +225,53 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(vectors.where("false"), F.lit(True)).count() == 0
 
 
+def test_cells_in_order_of_their_cost():
+    rng = np.random.default_rng(1)
+    for wanted in (1, 40, 300, 10_000):
+        margins, counts = rng.standard_normal((3, ann.BITS)), rng.integers(0, 4, (3, 64))
+        cost = np.array([[sum(m[b] ** 2 for b in range(6) if (c >> 5 - b & 1) != (m[b] > 0)) for c in range(64)] for m in margins])
+        assert np.allclose(ann.cell_costs(margins, 6), cost, rtol=1e-5)
+        tree, cell = ann.chosen_cells(margins, counts, wanted)
+        chosen = np.zeros_like(counts, dtype=bool)
+        chosen[tree, cell] = True
+        assert counts[chosen].sum() >= min(wanted, counts.sum())
+        held = counts > 0
+        if (held & ~chosen).any():
+            assert cost[chosen].max() <= cost[held & ~chosen].min() and counts[chosen & (cost < cost[chosen].max() - 1e-5)].sum() < wanted
+
+
+def test_nearest_where_the_forest_prunes(spark, monkeypatch):
+    """Against the SQL that compares all vectors, with many salts and chunks, and a dense cluster of nearly equal
+    vectors that holds a third of all."""
+    import duckdb
+
+    from langshift.llm import oracles
+
+    monkeypatch.setattr(ann, "BLOCK", 500)
+    monkeypatch.setattr(ann, "CHUNK", 10)
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((3000, 32)).astype(np.float32)
+    x[::3] = x[0] + 1e-3 * rng.standard_normal((1000, 32)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    out = ann.nearest(vectors, F.col("vec_id") % 50 == 0).toPandas()
+    con = duckdb.connect()
+    con.register("given", vectors.toPandas())
+    con.execute("CREATE TABLE embeddings AS SELECT vec_id, embedding::FLOAT[] AS embedding FROM given")
+    truth = con.execute(oracles.NEAREST).df()
+    assert len(out) == len(truth) == 60 * 5
+    worst = truth.groupby("query_id")["score"].min()
+    assert (out["score"] >= out["query_id"].map(worst) - 1e-9).mean() >= 0.9
+    both = out.merge(truth, on=["query_id", "vec_id"], suffixes=("", "_sql"))
+    assert np.allclose(both["score"], both["score_sql"], atol=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 6])
+def test_few_vectors_are_all_found(spark, n):
+    rows = [(50 * i, [float(i + 1), 1.0, 0.5]) for i in range(n)]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.lit(True)).collect()
+    assert len(out) == n * min(5, n - 1)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>A title here</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
 <header><h2>Site name and motto</h2></header><nav><ul><li><a href="/a">Menu one</a></li><li><a href=/b>Menu two</a></li></ul></nav><!-- ad -->
 <div class="ad">Buy this thing now</div><article><h1>The   headline &amp; more</h1><p><b>First paragraph of the text with many words in it.<br><p>Second &eacute;l&#233;ment
