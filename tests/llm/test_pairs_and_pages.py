@@ -311,7 +311,12 @@ def test_zip_members_are_found_and_read_in_place(zip64):
     writer = warc_zip.ZipWriter(file, zip64)
     members = {"a/one.bin": b"x" * 1000, "empty": b"", "ünï.txt": "é".encode() * 50}
     for name, data in members.items():
-        writer.add(name, len(data), zlib.crc32(data), iter([data]))
+        writer.add(name, data)
+    writer.begin("streamed")
+    for part in (b"one", b"", b"two" * 100):
+        writer.append(part)
+    writer.end()
+    members["streamed"] = b"one" + b"two" * 100
     writer.close()
     found = warc_zip.directory(file, len(file.getvalue()))
     for name, data in members.items():
@@ -340,7 +345,9 @@ def test_warc_round_trip(spark):
     table = pages(spark, values).withColumn("url", F.when(F.col("page_id") != 7, F.concat("url", F.lit("?a b\n c"))))
     folder = common.shared_dir(spark)
     manifest = warc_zip.write_packages(table, folder, zip64=True, records_per_package=3)
-    out = warc_zip.read_packages(manifest, folder, "bigint").collect()
+    raw = warc_zip.read_packages(manifest, folder).collect()
+    out = warc_zip.read_packages(manifest, folder).withColumns({"page_id": warc_zip.page_key("record_id", "bigint"), "refers_to": warc_zip.page_key("refers_to", "bigint")}).collect()
+    assert len(raw) == len(out) and all(r.record_id.startswith("<urn:page:") for r in raw)
     assert len(out) == len(values)
     for r in out:
         revisit = r.payload_digest == hashlib.sha256(long.encode()).hexdigest() and r.page_id != 2
@@ -351,6 +358,64 @@ def test_warc_round_trip(spark):
     assert warc_zip.round_trip(pages(spark, [])).count() == 0
 
 
+def test_package_by_the_published_format(spark, tmp_path):
+    """A package made by hand: a deflated gzipped index with a header line, records of other types, SHA-1 in
+    Base32, chunked coding, no digest, an uncompressed archive."""
+    import base64
+    import gzip
+    import json
+
+    body = b"<p>hello there</p>" * 9
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+
+    def raw(fields, block):
+        lines = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", len(block))])
+        return f"WARC/1.0\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"
+
+    http = ("Content-Type", "application/http; msgtype=response")
+    ok = b"HTTP/1.1 200 OK\r\nX: y\r\n"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"%x\r\n" % len(body) + body + b"\r\n0\r\n\r\n"
+    records = [
+        raw([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:0>"), ("Content-Type", "application/warc-fields")], b"software: hands\r\n"),
+        raw([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("WARC-Target-URI", "http://x/1"), ("WARC-Payload-Digest", sha1), http], ok + b"\r\n" + body),
+        raw([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:2>"), ("WARC-Target-URI", "http://x/2"), ("WARC-Payload-Digest", sha1), http], chunked),
+        raw([("WARC-Type", "metadata"), ("WARC-Record-ID", "<urn:uuid:3>"), ("Content-Type", "text/plain")], b"note"),
+        raw([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:uuid:4>"), ("WARC-Refers-To", "<urn:uuid:1>"), http], ok + b"\r\n"),
+        raw([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:5>"), http], ok + b"\r\n" + b"no digest"),
+    ]
+    archives = {"one.warc.gz": [gzip.compress(r) for r in records[:4]], "two.warc": records[4:]}
+    lines = []
+    for name, held in archives.items():
+        at = 0
+        for r in held:
+            lines.append(f"com,x)/ 2020 {json.dumps({'url': 'http://x', 'filename': name, 'offset': str(at), 'length': str(len(r))})}")
+            at += len(r)
+    index = gzip.compress(b'!meta {"format": "cdxj"}\n') + gzip.compress("\n".join(sorted(lines)).encode())
+    with zipfile.ZipFile(f"{tmp_path}/hand.wacz", "w") as archive:
+        for name, held in archives.items():
+            archive.writestr(f"archive/{name}", b"".join(held))
+        archive.writestr("indexes/index.cdx.gz", index, zipfile.ZIP_DEFLATED)
+        archive.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+    manifest = spark.createDataFrame([("hand.wacz", 5000)], "package string, bytes long")
+    out = {r.record_id[-2]: r for r in warc_zip.read_packages(manifest, str(tmp_path), records_per_row=2).collect()}
+    assert sorted(out) == list("012345")
+    assert [out[i].payload for i in "012345"] == [b"software: hands\r\n", body, body, b"note", None, b"no digest"]
+    assert out["1"].payload_digest == sha1 and out["5"].payload_digest is None and out["4"].payload_bytes is None
+    assert [out[i].record_type for i in "034"] == ["warcinfo", "metadata", "revisit"] and out["4"].refers_to == "<urn:uuid:1>"
+    broken = raw([("WARC-Type", "response"), ("WARC-Payload-Digest", sha1), http], ok + b"\r\nother")
+    with zipfile.ZipFile(f"{tmp_path}/broken.wacz", "w") as archive:
+        archive.writestr("archive/a.warc", broken)
+        archive.writestr("indexes/index.cdx", f'x 1 {json.dumps({"filename": "a.warc", "offset": 0, "length": len(broken)})}\n')
+    with pytest.raises(Exception, match="not what was written"):
+        warc_zip.read_packages(spark.createDataFrame([("broken.wacz", 1)], "package string, bytes long"), str(tmp_path)).collect()
+
+
+def test_records_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc_zip, "TASK_BYTES", 2000)
+    out = warc_zip.round_trip(pages(spark, [(i, f"{i} " * 400) for i in range(300)]))
+    assert out.rdd.getNumPartitions() > 4 and out.count() == 300
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(11)
     vocabulary = {"aa": ["lorum", "opsit", "dalor", "remit", "sanct", "velon"], "bb": ["kwixz", "zyqqk", "wvixk", "qkyzz", "xwqik", "qxzzk"]}
