@@ -4,12 +4,16 @@ Lengths fall into reciprocal-capacity classes: class ``j`` takes pieces of more
 ``capacity / (j + 1)`` and at most ``capacity / j`` tokens, and each of its bins is filled with
 exactly ``j`` pieces. A bin depends on nothing but its class, so every task fills its own bins as the
 documents come by: no shuffle, no state beyond one open bin for each class, no coordination.
+
+A document is cut at the capacity, and what remains lies in its class as it is, if it nearly fills its
+share of a bin; if not, it is cut once more, so that both parts do.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +27,38 @@ from . import common
 SPECIAL = (("<|endoftext|>", 50256),)
 
 
+#: A remainder that leaves more than this share of its room empty is cut, into parts of so many tokens at least.
+EMPTY, LEAST = 0.02, 32
+
+
 def token_ids(text: str | None, encoding, end: int) -> np.ndarray:
     """The ids of a whole text and the id ``end``; special strings inside become their token."""
-    parts = [encoding.encode(part, allowed_special="all") for part in common.safe_chunks(text or "")]
-    return np.fromiter((x for part in [*parts, [end]] for x in part), dtype="<u4")
+    parts = [np.array(encoding.encode(part, allowed_special="all"), dtype="<u4") for part in common.safe_chunks(text or "")]
+    return np.concatenate([*parts, np.array([end], dtype="<u4")])
+
 
+def empty(length: int, capacity: int) -> float:
+    """What a piece leaves of its share of a bin."""
+    return capacity / (capacity // length) - length
 
-def dyadic_pieces(n: int, capacity: int) -> list[int]:
-    """``n`` as lengths that each fill their class to the upper edge: powers of two, falling."""
+
+@lru_cache(maxsize=4)
+def remainders(capacity: int) -> list[tuple[int, ...]]:
+    """The pieces of each length below ``capacity``: one, or two of which the first ends its class."""
+    edges = sorted({capacity // j for j in range(2, capacity // LEAST + 1)}, reverse=True)
+    found: list[tuple[int, ...]] = [()]
+    for n in range(1, capacity):
+        ways = [(n,)]
+        if empty(n, capacity) > EMPTY * n:
+            ways += [(e, n - e) for e in edges if n - e >= LEAST]
+        found.append(min(ways, key=lambda way: sum(empty(x, capacity) for x in way)))
+    return found
+
+
+def harmonic_pieces(n: int, capacity: int) -> list[int]:
+    """``n`` as full lengths and at most two more."""
     full, rest = divmod(n, capacity)
-    return [capacity] * full + [1 << bit for bit in range(rest.bit_length() - 1, -1, -1) if rest >> bit & 1]
+    return [capacity] * full + [*remainders(capacity)[rest]]
 
 
 def whole_pieces(n: int, capacity: int) -> list[int]:
@@ -62,27 +88,21 @@ class Bins:
             offset += length
         self.next_id += 1
 
-    def finish(self, dyadic: bool) -> Iterator[tuple]:
-        """Give out what is left in open bins.
-
-        Powers of two in falling order fill bins without a gap, and what remains falls apart into
-        sequences whose lengths are powers of two. Whole lengths stay in the bin of their class.
-        """
-        if not dyadic:
-            for per_bin in sorted(self.open):
-                yield from self.close(self.open[per_bin])
-            return
-        rest = [x for per_bin in sorted(self.open) for x in self.open[per_bin]]
-        left = sum(length for _, length in rest)
-        held, room = [], 0
+    def finish(self) -> Iterator[tuple]:
+        """Give out what is left: less than a bin of each class. These few pieces fill bins together, the
+        longest first, each the first bin that has room."""
+        rest = sorted((x for held in self.open.values() for x in held), key=lambda x: -x[1])
+        bins: list[tuple[list, int]] = []
         for row, length in rest:
-            if not room:
-                room = min(self.capacity, 1 << (left.bit_length() - 1))
+            at = next((i for i, (_, room) in enumerate(bins) if room >= length), len(bins))
+            if at == len(bins):
+                bins.append(([], self.capacity))
+            held, room = bins[at]
             held.append((row, length))
-            room, left = room - length, left - length
-            if not room:
-                yield from self.close(held)
-                held = []
+            bins[at] = (held, room - length)
+        self.open = {}
+        for held, _ in bins:
+            yield from self.close(held)
 
 
 def pack(
@@ -99,20 +119,18 @@ def pack(
 ) -> DataFrame:
     """One row for each piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset, per_bin.
 
-    ``cut=True`` (``capacity`` a power of two) cuts a document so that every piece fills its class to
-    the upper edge: complete bins have no padding, and each task ends with at most one sequence for
-    each power of two below ``capacity``. ``cut=False`` keeps documents whole where they fit.
-    ``with_ids`` adds the piece's token ids.
+    A document of up to ``capacity`` tokens is one piece or two, a longer one has its full pieces besides.
+    ``cut=False`` keeps documents whole where they fit, and leaves more room empty. ``with_ids`` adds the
+    piece's token ids.
 
     Null and empty text: one piece of the id ``end_id``. A null or repeated id is carried along as it
-    is, each row being packed by itself. No rows: no pieces. Other columns are not read. Sequence ids
+    is, each row being packed by itself. A text of any length is encoded in parts, and as many full pieces as
+    it has. No rows: no pieces. Other columns are not read. Sequence ids
     hold the number of the input partition, so a task that runs again gives the same ids.
     """
-    if cut and capacity & (capacity - 1):
-        raise ValueError("cut=True needs a capacity that is a power of two")
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, per_bin int" + ", ids array<int>" * with_ids
-    pieces = dyadic_pieces if cut else whole_pieces
+    pieces = harmonic_pieces if cut else whole_pieces
 
     def run(batches):
         encoding = common.rank_encoding(ranks_path, pattern, SPECIAL)
@@ -141,6 +159,6 @@ def pack(
                     out = []
             yield table(out)
         if types is not None:
-            yield table(list(bins.finish(cut)))
+            yield table(list(bins.finish()))
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
