@@ -1,118 +1,124 @@
 """Token counts of texts of any length, by overlap resynchronisation.
 
-A long text is encoded in overlapping chunks with offsets. In the overlap of two chunks lies an edge
-at which the text's words part whatever stands around it; if both encodings have a word end exactly
-there, the left one counts up to it and the right one from it on, which is what the library counts
-over the whole text. If there is no such edge in the overlap, or the encodings don't agree on it, the
-left chunk is encoded again with a wider overlap.
-
-Encoding a chunk means its words with their end offsets and token counts. A worker keeps the counts
-of words that the library has encoded, because text repeats its words; text outside the
-plain range (where normalisation can cross word ends) and special strings go to the library whole.
+A text longer than a chunk is encoded by the library in overlapping chunks with offsets. In the overlap of
+two chunks lies an edge at which the tokenizer's words part whatever stands around it; if both encodings
+have the end of a token exactly there, the left one counts up to it and the right one from it on, which
+is what the library counts over the whole text. If there is no such edge in the overlap, or the encodings
+don't agree on it, the left chunk is encoded again with a wider overlap.
+
+That an edge is stable is proven for tokenizers whose parts are known (see ``parts_known``). Texts of any
+other tokenizer go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from bisect import bisect_left
 from functools import lru_cache
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Characters that normalisation maps one by one, and whose class is the same in every Unicode
-#: version: ASCII and the precomposed letters of Latin-1 and Latin Extended-A without the dotted I.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
+#: Word patterns of which no match holds a character other than white space and, right after
+#: it, white space.
+WORD_PATTERNS = [
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+]
 
-#: Fixed value: the split pattern of the word-end vocabulary, for plain text.
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Texts that the library encodes at once.
+TOGETHER = 64
 
-#: Words whose counts a worker keeps at most; beyond that they are forgotten and counted anew.
-KEPT_WORDS = 500_000
+
+def state(part) -> dict | None:
+    return None if part is None else json.loads(part.__getstate__())
+
+
+def parts_known(library) -> bool:
+    """Whether ``common.BLANK_EDGE`` parts the words of this tokenizer wherever it matches: normalisers that
+    leave white space white space and don't compose across it, words by a pattern of ``WORD_PATTERNS``, and
+    no added token with white space inside."""
+
+    def normaliser(s: dict | None) -> bool:
+        if s is None or s["type"] in ("NFC", "NFD", "Lowercase"):
+            return True
+        if s["type"] == "Sequence":
+            return all(map(normaliser, s["normalizers"]))
+        return s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} and s["content"] == " "
+
+    def words(s: dict | None) -> bool:
+        if s is None:
+            return False
+        if s["type"] == "Sequence":
+            return words(s["pretokenizers"][0])
+        if s["type"] == "Split":
+            return s["pattern"].get("Regex") in WORD_PATTERNS
+        return s["type"] == "ByteLevel" and s["use_regex"]
+
+    added = (token.content for token in library.get_added_tokens_decoder().values())
+    return normaliser(state(library.normalizer)) and words(state(library.pre_tokenizer)) and not any(c.isspace() for content in added for c in content)
 
 
 class Counter:
-    """Chunks of text to (word ends, running token counts)."""
+    """Counts the tokens of texts with one tokenizer file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), {}
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [token.content for token in self.library.get_added_tokens_decoder().values()]
-
-    def plain(self, text: str) -> bool:
-        return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
-
-    def counts(self, words: list[str]) -> list[int]:
-        """The token counts of words of plain text."""
-        counts = list(map(self.known.get, words))
-        if None in counts:
-            if len(self.known) > KEPT_WORDS:
-                self.known = {}
-            new = list({w for w, c in zip(words, counts, strict=True) if c is None})
-            self.known.update(zip(new, (len(e) for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            counts = [self.known[w] if c is None else c for w, c in zip(words, counts, strict=True)]
-        return counts
-
-    def chunk(self, text: str) -> tuple[list[int], list[int]]:
-        """End offset of each word, and the tokens up to it."""
-        if self.plain(text):
-            found = [(m[0], m.end()) for m in WORD.finditer(text.lower())]
-            return [end for _, end in found], list(accumulate(self.counts([word for word, _ in found])))
-        encoded = self.library.encode(text, add_special_tokens=False)
-        last = [i for i, token in enumerate(encoded.tokens) if token.endswith("</w>") or token in self.special]
-        offsets = encoded.offsets
-        return [offsets[i][1] for i in last], [i + 1 for i in last]
-
-    def count(self, text: str, size: int, overlap: int) -> int:
-        if len(text) <= size:
-            return sum(self.counts(WORD.findall(text.lower()))) if self.plain(text) else len(self.library.encode(text, add_special_tokens=False))
-        total, start, counted_from = 0, 0, 0
-        ends, sums = self.chunk(text[:size])
-        stop = size
+        self.stable = parts_known(self.library)
+
+    def ends(self, chunk: str) -> np.ndarray:
+        """Where each token ends, in characters."""
+        return np.array([end for _, end in self.library.encode(chunk, add_special_tokens=False).offsets], dtype=np.int64)
+
+    def counts(self, texts: list[str], size: int, overlap: int) -> list[int]:
+        found = [0] * len(texts)
+        short = [k for k, text in enumerate(texts) if len(text) <= size or not self.stable]
+        for at in range(0, len(short), TOGETHER):
+            some = short[at : at + TOGETHER]
+            for k, encoded in zip(some, self.library.encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
+                found[k] = len(encoded)
+        for k in set(range(len(texts))).difference(short):
+            found[k] = self.long(texts[k], size, overlap)
+        return found
+
+    def long(self, text: str, size: int, overlap: int) -> int:
+        total, start, stop, counted = 0, 0, size, 0
+        left = self.ends(text[:size])
         while stop < len(text):
-            wide = overlap
-            following = stop - wide if stop - wide > start else start
+            wide, following = overlap, max(start, stop - overlap)
             next_stop = min(len(text), following + size)
-            right = self.chunk(text[following:next_stop])
-            while (cut := self.splice(text, start, ends, stop, following, right[0])) is None:
+            right = self.ends(text[following:next_stop])
+            while (edge := self.splice(text, start, left, stop, following, right)) is None:
                 # Widen: the left chunk reaches further, until the whole rest belongs to it.
                 stop = min(len(text), stop + wide)
-                ends, sums = self.chunk(text[start:stop])
+                left = self.ends(text[start:stop])
                 if stop == len(text):
-                    break
+                    return total + len(left) - counted
                 wide *= 2
                 if stop >= next_stop:
                     next_stop = min(len(text), stop + size)
-                    right = self.chunk(text[following:next_stop])
-            if cut is None:
-                break
-            total += self.upto(ends, sums, cut - start) - counted_from
-            ends, sums = right
-            start, stop = following, next_stop
-            counted_from = self.upto(ends, sums, cut - start)
-        return total + (sums[-1] if sums else 0) - counted_from
-
-    @staticmethod
-    def upto(ends: list[int], sums: list[int], at: int) -> int:
-        return sums[bisect_left(ends, at)]
+                    right = self.ends(text[following:next_stop])
+            total += int(np.searchsorted(left, edge - start, side="right")) - counted
+            counted = int(np.searchsorted(right, edge - following, side="right"))
+            left, start, stop = right, following, next_stop
+        return total + len(left) - counted
 
     @staticmethod
-    def splice(text: str, start: int, ends: list[int], stop: int, following: int, right_ends: list[int]) -> int | None:
-        """The first edge in the overlap at which both chunks have a word end."""
-        for edge in common.BLANK_EDGE.finditer(text, following + 1, stop):
-            at = edge.start()
-            a, b = bisect_left(ends, at - start), bisect_left(right_ends, at - following)
-            if a < len(ends) and b < len(right_ends) and ends[a] == at - start and right_ends[b] == at - following:
-                return at
+    def splice(text: str, start: int, left: np.ndarray, stop: int, following: int, right: np.ndarray) -> int | None:
+        """The first edge in the overlap at which both chunks end a token."""
+        for found in common.BLANK_EDGE.finditer(text, following + 1, stop):
+            edge = found.start()
+            if all(at < len(ends) and ends[at] == wanted for ends, wanted in ((left, edge - start), (right, edge - following)) for at in [int(np.searchsorted(ends, wanted))]):
+                return edge
         return None
 
 
@@ -133,8 +139,9 @@ def count_tokens(
 ) -> DataFrame:
     """``id_col``, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > ``limit``) for each whole text.
 
-    Null and empty text: 0, 0 and false. Null and repeated ids are carried along; no rows: none out.
-    Other columns are not read. There is no shuffle; a task holds one text and one chunk's words.
+    Null and empty text: 0, 0 and false. Null and repeated ids are carried along; no rows: none out. A text
+    of any length is encoded in chunks of ``chunk_chars`` characters (more where nothing parts its words).
+    Other columns are not read. There is no shuffle; a task holds one batch of texts and one chunk's tokens.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -142,7 +149,7 @@ def count_tokens(
         own = counter(tokenizer_path)
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
-            n = [own.count(t, chunk_chars, overlap_chars) for t in texts]
+            n = own.counts(texts, chunk_chars, overlap_chars)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 [id_col, "n_bytes", "n_tokens", "over_limit"],

@@ -127,21 +127,36 @@ def test_encode_decode_rows(spark):
     assert sorted(r.text for r in back) == sorted(r[1] or "" for r in rows)
 
 
+@pytest.mark.parametrize("path", [WORDS, P.path("byte_bpe_50k.json")])
 @pytest.mark.parametrize(("size", "overlap"), [(40, 8), (64, 16), (30, 12), (7, 2)])
-def test_counts_are_the_library_s(size, overlap):
-    counter = token_count.counter(WORDS)
+def test_counts_are_the_library_s(path, size, overlap):
+    counter = token_count.counter(path)
     rng = random.Random(size)
-    cases = texts(400, size, 150) + ["".join(rng.choice(["the ", "a", "b'", "'s ", "\n", "é", "Don't ", "12 ", "!? "]) for _ in range(rng.randint(0, 150))) for _ in range(300)] + ["x" * 500, "a b " * 300 + "y" * 200 + " c d" * 300]
-    for text in cases:
-        assert counter.count(text, size, overlap) == len(counter.library.encode(text, add_special_tokens=False))
+    cases = texts(400, size, 150) + ["".join(rng.choice(["the ", "a", "b'", "'s ", "\n", "é", "Don't ", "12 ", "!? "]) for _ in range(rng.randint(0, 150))) for _ in range(300)]
+    cases += ["x" * 500, "a b " * 300 + "y" * 200 + " c d" * 300, "don't PANIC now", "ΟΔΟΣ ΟΔΟΣ, " * 30, "中文没有空格。" * 90, "a <|endoftext|> b<|startoftext|> " * 20, "e\u0301 \u0301 " * 60]
+    assert counter.stable
+    assert counter.counts(cases, size, overlap) == [len(counter.library.encode(text, add_special_tokens=False)) for text in cases]
+
+
+def test_a_tokenizer_of_other_parts_gets_whole_texts(tmp_path):
+    import json
+
+    with open(P.path("byte_bpe_50k.json")) as file:
+        other = json.load(file)
+    other["pre_tokenizer"] = {"type": "Split", "pattern": {"String": "q"}, "behavior": "Isolated", "invert": False}
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    counter = token_count.Counter(str(tmp_path / "other.json"))
+    assert not counter.stable
+    assert counter.counts(["one two q " * 40], 16, 4) == [len(counter.library.encode("one two q " * 40, add_special_tokens=False))]
 
 
-def test_count_rows(spark):
-    docs, rows = frame(spark, [*texts(30, 5), "many words " * 4000])
-    counter = token_count.counter(WORDS)
+@pytest.mark.parametrize("path", [WORDS, P.path("byte_bpe_50k.json")])
+def test_count_rows(spark, path):
+    docs, rows = frame(spark, [*texts(30, 5), "many words " * 4000, "x" * 20_000, "12 ab, " * 30_000])
+    counter = token_count.counter(path)
     expected = [(r[0], len((r[1] or "").encode()), n := len(counter.library.encode(r[1] or "", add_special_tokens=False)), n > 2048) for r in rows]
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    assert sorted(map(tuple, token_count.count_tokens(docs, tokenizer_path=WORDS).collect()), key=key) == sorted(expected, key=key)
+    assert sorted(map(tuple, token_count.count_tokens(docs, tokenizer_path=path).collect()), key=key) == sorted(expected, key=key)
 
 
 LANGUAGES = {"aa": ["lorum", "opsit", "dalor", "remit", "sanct"], "bb": ["kwixz", "zyqqk", "wvixk", "qkyzz", "xwqik"], "cc": ["être", "çalou", "éauré", "ouêtr", "éléça"]}
