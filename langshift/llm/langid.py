@@ -13,23 +13,26 @@ every whole text in place, without a shuffle.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DIMS = 1 << 16
 LENGTHS = (1, 2, 3, 4)
-NO_LETTERS = re.compile(r"[\W\d_]+")
+LETTER, NO_LETTERS = regex.compile(r"\p{L}"), regex.compile(r"[^\p{L}\p{M}]+")
 
-#: The fit takes at most so many texts in all, and of each language; so many languages (the most
-#: frequent); so many landmarks.
-SAMPLE, SAMPLE_PER_LANGUAGE, LANGUAGES, LANDMARKS = 1024, 256, 256, 256
+#: The fit takes at most so many texts in all (or one of each language, if that is more), and of each
+#: language; so many landmarks (or one of each language).
+SAMPLE, SAMPLE_PER_LANGUAGE, LANDMARKS = 1024, 256, 256
+
+#: With more labels than this the fit raises an error: the model has a column for each.
+MOST_LANGUAGES = 4096
 RIDGE = 1e-3
 
 #: A text of a learned language has at least this value of its language, out of 1: on sf0.1 held-out labelled
@@ -39,12 +42,12 @@ LEAST_VALUE, LOST = 0.25, 0.01
 
 
 def presence(text: str, out: np.ndarray) -> bool:
-    """Set the slots of the text's n-grams in ``out``. False if it has no letters.
+    """Set the slots of the text's n-grams in ``out``. False if it has no letters (Unicode category L).
 
-    Case is folded, and whatever is no letter counts as one blank."""
-    letters = NO_LETTERS.sub(" ", text.lower()).strip()
-    if not letters:
+    Case is folded, and whatever is neither letter nor mark counts as one blank."""
+    if not LETTER.search(text):
         return False
+    letters = NO_LETTERS.sub(" ", text.lower()).strip()
     codes = np.frombuffer(f" {letters} ".encode("utf-32-le"), dtype="<u4")
     hashed = np.zeros(len(codes), dtype=np.uint32)
     for n in range(1, max(LENGTHS) + 1):
@@ -132,25 +135,29 @@ def fit(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str
     """A model of the rows for which ``train`` holds and that have a label and an id.
 
     The fit is on a bounded sample: of each language the documents with the smallest hash of their id,
-    ``SAMPLE_PER_LANGUAGE`` or ``SAMPLE`` over the number of languages, of the ``LANGUAGES`` most
-    frequent. Rows that repeat an id count once. None if there is no such row. ``bounded``: the model
-    has a bound of the best value (``least_value``).
+    ``SAMPLE_PER_LANGUAGE`` or ``SAMPLE`` over the number of languages, one at least, so that every label
+    can be predicted. Rows that repeat an id and label count once: the one whose presence vector is the
+    smallest as bytes, so that the same rows always give the same model. None if there is no such row.
+    ``bounded``: the model has a bound of the best value (``least_value``).
     """
     rows = docs.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    counted = rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(LANGUAGES).collect()
+    counted = rows.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(MOST_LANGUAGES + 1).collect()
     if not counted:
         return None
-    labels = [r[0] for r in counted]
-    each = max(8, min(SAMPLE_PER_LANGUAGE, SAMPLE // len(labels)))
+    if len(counted) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels in {label_col}")
+    each = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // len(counted)))
     # Each language's share of ids below a bound on their hash: a few times as many as are taken, however
     # many there are, so that the ranking meets few rows.
     share = F.create_map(*(F.lit(x) for r in counted for x in (r[0], min(1.0, (4 * each + 64) / r["count"]))))
     place = F.shiftrightunsigned(F.xxhash64(id_col), 33)
     few = rows.where(place < F.element_at(share, F.col(label_col)) * float(1 << 31)).select(id_col, label_col, place.alias("_place"))
-    order = F.row_number().over(Window.partitionBy(label_col).orderBy("_place", id_col))
-    picked = [r[0] for r in few.withColumn("_n", order).where(F.col("_n") <= each).select(id_col).collect()]
-    sample = presence_rows(rows.where(F.col(id_col).isin(picked) & F.col(label_col).isin(labels)), text_col, [id_col, label_col])
-    found = sample.dropDuplicates([id_col]).orderBy(place, id_col).limit(each * len(labels)).collect()
+    order = F.dense_rank().over(Window.partitionBy(label_col).orderBy("_place", id_col))
+    picked = few.withColumn("_n", order).where(F.col("_n") <= each).select(id_col, label_col).distinct().collect()
+    # At most as many as the sample has texts.
+    wanted = docs.sparkSession.createDataFrame(picked, rows.select(id_col, label_col).schema)
+    sample = presence_rows(rows.join(F.broadcast(wanted), [id_col, label_col], "left_semi"), text_col, [id_col, label_col])
+    found = sample.groupBy(id_col, label_col).agg(F.min("bits").alias("bits")).orderBy(place, id_col, label_col).collect()
     bits, labels = [bytes(r["bits"]) for r in found], [r[label_col] for r in found]
     model = fit_model(bits, labels)
     if bounded and model is not None:

@@ -183,6 +183,42 @@ def test_language_of_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_texts_without_letters_are_und(spark):
+    row = np.zeros(langid.DIMS, dtype=np.uint8)
+    assert not any(langid.presence(text, row) for text in ["", "² ½", "Ⅷ ①", "12 _ !", "\u0301", "٣"])
+    assert all(langid.presence(text, row) for text in ["ª", "中", "हिन्दी", "x²", "ʰ"])
+
+
+def test_every_label_can_be_predicted(spark, monkeypatch):
+    rng = random.Random(5)
+    own = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)] for k in range(300)}
+    rows = [(k * 10 + j, " ".join(rng.choice(words) for _ in range(40)), label) for k, (label, words) in enumerate(own.items()) for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert len(model.languages) == 300
+    out = langid.predict(docs, model).collect()
+    assert sum(r.lang_pred == r.lang for r in out) > 0.95 * len(out)
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 299)
+    with pytest.raises(ValueError):
+        langid.fit(docs, F.lit(True))
+
+
+def test_the_fit_is_repeatable_with_repeated_ids(spark):
+    rows = corpus(120) + [(i, text[::-1], lang) for i, text, lang in corpus(120, seed=9)]
+    models = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame(random.Random(parts).sample(rows, len(rows)), "doc_id bigint, text string, lang string").repartition(parts)
+        models.append(langid.fit(docs, F.lit(True)).weights)
+    assert (models[0] == models[1]).all()
+
+
+def test_language_of_very_long_texts(spark):
+    rows = [*corpus(200), (900, "lorum opsit dalor remit " * 50_000, None), (901, "1 " * 300_000 + "kwixz zyqqk", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    out = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs, F.col("lang").isNotNull())).collect()}
+    assert (out[900], out[901]) == ("aa", "bb")
+
+
 def test_folded_model_equals_the_kernel_expansion():
     rows = corpus(60)
     bits, vectors = [], []
