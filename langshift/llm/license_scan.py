@@ -3,61 +3,53 @@
 A text is cut into sentences, each sentence is normalised and mapped to the identifier of a known
 licence sentence, and the document's sequence of identifiers is matched against ordered rules. A rule
 that matches takes its identifiers out of the sequence, so later, more general rules see what is left.
+
+A sentence may be wrapped over lines, or lines without an end mark (titles, code) may stand around it. So
+within each piece of text between two end marks or empty lines, a known sentence is any run of lines that
+reads like it; a run within a longer one doesn't count.
 """
 
 from __future__ import annotations
 
+import json
+import re
+import zlib
+from collections.abc import Iterable
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known licence sentences, normalised (lower case, other characters than letters,
+#: Sentences of licence texts, normalised (lower case, other characters than letters,
 #: digits as one blank), with their identifiers.
-SENTENCES = {
-    "licensed under the apache license version 2 0": "ApacheRef2",
-    "this file is licensed under the apache license version 2 0": "ApacheRef2",
+TEXTS = {
     "licensed under the apache license version 2 0 the license": "ApacheHead2",
     "you may not use this file except in compliance with the license": "ApacheUse",
     "you may obtain a copy of the license at": "ApacheCopy",
     "you may obtain a copy of the license at http www apache org licenses license 2 0": "ApacheCopy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "ApacheAsIs",
     "see the license for the specific language governing permissions and limitations under the license": "ApacheSee",
-    "released under the mit license": "MITRef",
-    "licensed under the mit license": "MITRef",
-    "this software is released under the mit license": "MITRef",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MITGrant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MITNotice",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MITAsIs",
     "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MITLiable",
-    "this work is licensed under the gnu general public license version 3": "GPLRef3",
-    "licensed under the gnu general public license version 3": "GPLRef3",
-    "licensed under the gnu general public license version 2": "GPLRef2",
-    "licensed under the gnu lesser general public license version 3": "LGPLRef3",
-    "licensed under the gnu affero general public license version 3": "AGPLRef3",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPLHead3Plus",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPLHead2Plus",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPLHope",
     "see the gnu general public license for more details": "GPLSee",
     "you should have received a copy of the gnu general public license along with this program": "GPLCopy",
-    "licensed under cc by nc 4 0": "CCBYNC4",
-    "licensed under cc by 4 0": "CCBY4",
-    "licensed under cc by sa 4 0": "CCBYSA4",
-    "this work is licensed under a creative commons attribution 4 0 international license": "CCBY4",
-    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "CCBYNC4",
-    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "CCBYSA4",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BSDGrant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSDSource",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSDBinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDEndorse",
-    "licensed under the bsd 3 clause license": "BSDRef3",
-    "licensed under the bsd 2 clause license": "BSDRef2",
     "this source code form is subject to the terms of the mozilla public license v": "MPLHead2",
-    "licensed under the mozilla public license version 2 0": "MPLRef2",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCGrant",
     "all rights reserved": "AllRights",
 }
 
-#: Rules in order, most specific first; each is a licence and a run of identifiers.
-RULES = [
+#: Rules of several sentences or of one, in order, most specific first; each is a licence and a
+#: run of identifiers.
+TEXT_RULES = [
     ("Apache-2.0", ["ApacheHead2", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee"]),
     ("Apache-2.0", ["ApacheHead2", "ApacheUse", "ApacheCopy"]),
     ("MIT", ["MITGrant", "MITNotice", "MITAsIs", "MITLiable"]),
@@ -70,31 +62,130 @@ RULES = [
     ("GPL-3.0-or-later", ["GPLHead3Plus"]),
     ("GPL-2.0-or-later", ["GPLHead2Plus"]),
     ("MPL-2.0", ["MPLHead2"]),
-    ("Apache-2.0", ["ApacheRef2"]),
-    ("MIT", ["MITRef"]),
-    ("GPL-3.0-only", ["GPLRef3"]),
-    ("GPL-2.0-only", ["GPLRef2"]),
-    ("LGPL-3.0-only", ["LGPLRef3"]),
-    ("AGPL-3.0-only", ["AGPLRef3"]),
-    ("CC-BY-4.0", ["CCBY4"]),
-    ("CC-BY-NC-4.0", ["CCBYNC4"]),
-    ("CC-BY-SA-4.0", ["CCBYSA4"]),
-    ("BSD-3-Clause", ["BSDRef3"]),
-    ("BSD-2-Clause", ["BSDRef2"]),
-    ("MPL-2.0", ["MPLRef2"]),
-    ("Proprietary", ["AllRights"]),
 ]
+LAST_RULES = [("Proprietary", ["AllRights"])]
+
+#: How licences are called, as SPDX identifier and names (normalised).
+NAMES = {
+    "MIT": ["the mit license", "the mit licence", "the expat license", "mit"],
+    "Apache-2.0": ["the apache license version 2 0", "the apache license 2 0", "apache license 2 0", "apache 2 0"],
+    "BSD-2-Clause": ["the bsd 2 clause license", "the simplified bsd license", "bsd 2 clause"],
+    "BSD-3-Clause": ["the bsd 3 clause license", "the new bsd license", "the modified bsd license", "bsd 3 clause"],
+    "MPL-2.0": ["the mozilla public license version 2 0", "the mozilla public license 2 0", "mpl 2 0"],
+    "EPL-2.0": ["the eclipse public license version 2 0", "the eclipse public license 2 0", "epl 2 0"],
+    "BSL-1.0": ["the boost software license version 1 0", "the boost software license 1 0"],
+    "ISC": ["the isc license"],
+    "Zlib": ["the zlib license"],
+    "Unlicense": ["the unlicense"],
+    "CC0-1.0": ["cc0 1 0", "cc0", "the creative commons zero v1 0 universal license"],
+}
+
+#: The families whose names follow one pattern.
+GNU = {"GPL": ("gnu general public license", ["2.0", "3.0"]), "LGPL": ("gnu lesser general public license", ["2.1", "3.0"]), "AGPL": ("gnu affero general public license", ["3.0"])}
+LATER = ["or later", "or any later version", "or at your option any later version"]
+CREATIVE = {"BY": "attribution", "BY-SA": "attribution sharealike", "BY-NC": "attribution noncommercial", "BY-ND": "attribution noderivatives", "BY-NC-SA": "attribution noncommercial sharealike", "BY-NC-ND": "attribution noncommercial noderivatives"}
+
+#: How a text says what it is licensed under.
+SUBJECTS = ["", "this file is ", "this software is ", "this program is ", "this project is ", "this work is ", "this code is "]
+VERBS = ["licensed under", "released under", "distributed under", "available under"]
+
+
+def normal(text: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+
+
+def licence_names() -> dict[str, list[str]]:
+    """The names of each licence, families included."""
+    found = {licence: list(names) for licence, names in NAMES.items()}
+    for short, (long, versions) in GNU.items():
+        for version in versions:
+            number = normal(version.removesuffix(".0"))
+            names = [f"the {long} version {number}", f"the {long} v{number}", f"the gnu {short.lower()} version {number}", f"the gnu {short.lower()} v{number}", f"the {short.lower()} v{number}", f"{short.lower()} {normal(version)}"]
+            found[f"{short}-{version}-only"] = names
+            found[f"{short}-{version}-or-later"] = [f"{name} {later}" for name in names for later in LATER]
+    for short, long in CREATIVE.items():
+        for version in ("3.0", "4.0"):
+            v, kind = normal(version), "unported" if version == "3.0" else "international"
+            found[f"CC-{short}-{version}"] = [f"cc {normal(short)} {v}", f"the cc {normal(short)} {v} license", f"a creative commons {long} {v} {kind} license", f"the creative commons {long} {v} {kind} license"]
+    return found
 
-#: A sentence ends at an end mark before white space (of ASCII). By lines, it also ends at each line
-#: end; by paragraphs, only at an empty line, because licence texts are often wrapped.
-BY_LINES = r"[.!?:;][ \t\r\f]+|\n"
-BY_PARAGRAPHS = r"[.!?:;][ \t\r\f\n]+|\n[ \t\r\f]*\n"
 
-#: Each sentence of the table, and each with ``LICENCE_WORDS``, has one of these.
-HINTS = "licen|permi|redistribut|rights reserved|software|copy|gnu|warrant"
+def references() -> dict[str, str]:
+    """Each sentence that only names a licence, with the identifier of that licence."""
+    found = {}
+    for licence, names in licence_names().items():
+        own = licence.replace("-", "").replace(".", "") + "Ref"
+        for name in names:
+            found |= {f"{subject}{verb} {name}": own for subject in SUBJECTS for verb in VERBS}
+        found[f"spdx license identifier {normal(licence)}"] = own
+    return found
 
-#: A sentence that no table knows counts as licence talk if it has one of these words.
+
+#: Known sentences with their identifiers, and the rules in order.
+SENTENCES = TEXTS | references()
+RULES = [*TEXT_RULES, *((licence, [licence.replace("-", "").replace(".", "") + "Ref"]) for licence in licence_names()), *LAST_RULES]
+
+#: A piece of text ends at an end mark before white space (of ASCII), or at a line without letters and digits.
+#: The colon of an SPDX line is none.
+ENDS = r"[.!?:;][ \t\r\f\n]+|\n[^a-zA-Z0-9\n]*\n"
+SPDX, SPDX_OPEN = r"(?i)(spdx-licen[cs]e-identifier):", "$1 "
+
+#: A piece without any known sentence counts as licence talk if it has one of these words, each of which
+#: begins with one of the stems.
 LICENCE_WORDS = r"(^| )(licen[cs]ed?|licen[cs]es|copyright|redistribut(e|ion))( |$)"
+STEMS = ["licen", "copyright", "redistribut"]
+
+#: Sentences or rules of a table at most: they are part of the plan.
+MOST = 100_000
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Known sentences (any text, to identifiers without commas and bars) and ordered rules."""
+
+    sentences: dict[str, str] = field(default_factory=lambda: SENTENCES)
+    rules: Iterable[tuple[str, list[str]]] = field(default_factory=lambda: RULES)
+
+    @classmethod
+    def of(cls, sentences: DataFrame, rules: DataFrame) -> Tables:
+        """From tables (sentence, identifier) and (place, licence, identifiers). More than ``MOST`` rows: an error."""
+        known, ordered = sentences.select("sentence", "identifier").limit(MOST + 1).collect(), rules.select("place", "licence", "identifiers").limit(MOST + 1).collect()
+        if max(len(known), len(ordered)) > MOST:
+            raise ValueError(f"a table of more than {MOST} sentences or rules")
+        return cls({r[0]: r[1] for r in known}, [(r[1], list(r[2])) for r in sorted(ordered)])
+
+    def normalised(self) -> dict[str, str]:
+        return {n: i for s, i in self.sentences.items() if (n := normal(s))}
+
+    def hints(self) -> list[str]:
+        """Strings of which each known sentence and each licence word has one: ``STEMS``, and words chosen
+        greedily among those of six letters or more (a sentence without such a word: its longest)."""
+        left = [s for s in self.normalised() if not any(stem in s for stem in STEMS)]
+        chosen = list(STEMS)
+        while left:
+            counts: dict[str, int] = {}
+            for s in left:
+                words = s.split()
+                for word in {w for w in words if len(w) >= 6} or {max(words, key=len)}:
+                    counts[word] = counts.get(word, 0) + 1
+            best = max(counts, key=lambda w: (counts[w], w))
+            chosen.append(best)
+            left = [s for s in left if best not in s]
+        return chosen
+
+
+class Lookup:
+    """A dictionary as one literal of the plan, found by hash: its size doesn't matter to a search."""
+
+    def __init__(self, values: dict[str, str]):
+        self.slots = max(1, len(values))
+        held: list[dict[str, str]] = [{} for _ in range(self.slots)]
+        for key, value in values.items():
+            held[zlib.crc32(key.encode()) % self.slots][key] = value
+        self.literal = F.from_json(F.lit(json.dumps(held)), "array<map<string,string>>")
+
+    def __call__(self, key: Column) -> Column:
+        return F.element_at(F.element_at(self.literal, (F.crc32(key) % self.slots + 1).cast("int")), key)
 
 
 def normalise(sentence: Column) -> Column:
@@ -105,43 +196,73 @@ def sequence_text(ids: list[str]) -> str:
     return "," + ",,".join(ids) + ","
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
+def beginnings(sentences: Iterable[str]) -> dict[str, str]:
+    """The first word, and the first two, of each sentence."""
+    return {" ".join(s.split()[:n]): "" for s in sentences for n in (1, 2)}
+
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tables: Tables | None = None) -> DataFrame:
     """``id_col``, sentence_ids (known identifiers in text order), licenses (distinct, in the order of
-    the rules), unmatched (identifiers that no rule took) and unknown_sentences (licence talk that no
-    table knows) for each document.
+    the rules), unmatched (identifiers that no rule took) and unknown_sentences (pieces of licence talk
+    without any known sentence) for each document.
 
-    Sentences are read by lines, or by paragraphs where that knows more of them.
     The tables are literals of the plan: one scan, no shuffle, no Python. Null and empty text: no
-    identifiers, no licences. Null and repeated ids are carried along; no rows: none out. Other
-    columns are not read.
+    identifiers, no licences. A text of any length is one array of its pieces that have a hint. Null and
+    repeated ids are carried along; no rows: none out. Other columns are not read.
     """
-    known = F.create_map(*(F.lit(x) for pair in sentences.items() for x in pair))
-    # Only texts and sentences with a hint are worked on further: the test is cheap, the rest is not.
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    text = F.when(F.lower(text).rlike(HINTS), text).otherwise(F.lit(""))
+    tables = tables or Tables()
+    sentences, hints = tables.normalised(), tables.hints()
+    known, begins = Lookup(sentences), Lookup(beginnings(sentences))
+    most_words = max((len(s.split()) for s in sentences), default=1)
 
-    def talk(ends: str) -> Column:
-        return F.transform(F.filter(F.split(text, ends), lambda s: F.lower(s).rlike(HINTS)), normalise)
+    # Only texts and pieces with a hint are worked on further: the test is cheap, the rest is not.
+    def hinted(text: Column) -> Column:
+        found = F.lit(False)
+        for hint in hints:
+            found = found | F.contains(text, F.lit(hint))
+        return found
 
-    def ids(sentences: str) -> Column:
-        return F.filter(F.transform(sentences, lambda s: F.element_at(known, s)), lambda i: i.isNotNull())
+    def lines(piece: Column) -> Column:
+        return F.filter(F.transform(F.split(piece, "\n"), normalise), lambda line: line != "")
 
-    docs = docs.select(F.col(id_col), talk(BY_LINES).alias("_lines"), talk(BY_PARAGRAPHS).alias("_paragraphs"))
-    docs = docs.withColumns({"_by_lines": ids("_lines"), "_by_paragraphs": ids("_paragraphs")})
-    wrapped = F.size("_by_paragraphs") > F.size("_by_lines")
+    def runs(own: Column) -> Column:
+        """(first line, last line) of the longest run of each line that reads like a known sentence."""
+
+        def longest(first: Column) -> Column:
+            # A run has a word in each line, so that it isn't longer than the longest sentence has words.
+            last = F.filter(F.sequence(first, F.least(F.size(own) - 1, first + (most_words - 1))), lambda j: known(F.array_join(F.slice(own, first + 1, j - first + 1), " ")).isNotNull())
+            return F.struct(first.alias("first"), F.array_max(last).alias("last"))
+
+        firsts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: begins(F.substring_index(F.get(own, i), " ", 2)).isNotNull())
+        return F.filter(F.transform(firsts, longest), lambda run: run["last"].isNotNull())
+
+    def outermost(own: Column, found: Column) -> Column:
+        """The identifiers of the runs that don't lie within an earlier one."""
+
+        def step(state: Column, run: Column) -> Column:
+            identifier = known(F.array_join(F.slice(own, run["first"] + 1, run["last"] - run["first"] + 1), " "))
+            longer = F.struct(run["last"].alias("top"), F.concat(state["ids"], F.array(identifier)).alias("ids"))
+            return F.when(run["last"] > state["top"], longer).otherwise(state)
+
+        return F.aggregate(found, F.struct(F.lit(-1).alias("top"), F.array().cast("array<string>").alias("ids")), step, lambda state: state["ids"])
+
+    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    text = F.when(hinted(text), F.regexp_replace(text, SPDX, SPDX_OPEN)).otherwise(F.lit(""))
+    pieces = F.filter(F.transform(F.filter(F.split(text, ENDS), hinted), lines), lambda own: F.size(own) > 0)
+    docs = docs.select(F.col(id_col), pieces.alias("_pieces"))
+    docs = docs.select(id_col, F.transform("_pieces", lambda own: F.struct(own.alias("own"), runs(own).alias("found"))).alias("_pieces"))
     docs = docs.select(
         id_col,
-        F.when(wrapped, F.col("_by_paragraphs")).otherwise(F.col("_by_lines")).alias("sentence_ids"),
-        F.when(wrapped, F.col("_paragraphs")).otherwise(F.col("_lines")).alias("_talk"),
+        F.flatten(F.transform("_pieces", lambda p: outermost(p["own"], p["found"]))).alias("sentence_ids"),
+        F.size(F.filter("_pieces", lambda p: (F.size(p["found"]) == 0) & F.array_join(p["own"], " ").rlike(LICENCE_WORDS))).cast("long").alias("unknown_sentences"),
     )
-    unknown = F.filter("_talk", lambda s: F.element_at(known, s).isNull() & s.rlike(LICENCE_WORDS))
-    docs = docs.select(id_col, "sentence_ids", F.size(unknown).cast("long").alias("unknown_sentences"))
-    left, found = F.concat_ws("", F.transform("sentence_ids", lambda i: F.concat(F.lit(","), i, F.lit(",")))), []
-    docs = docs.withColumn("_s0", left)
-    for n, (licence, wanted) in enumerate(rules):
-        run = sequence_text(wanted)
-        docs = docs.withColumn(f"_s{n + 1}", F.replace(F.col(f"_s{n}"), F.lit(run), F.lit("|")))
-        found.append(F.when(F.contains(F.col(f"_s{n}"), F.lit(run)), F.lit(licence)))
-    licenses = F.array_distinct(F.array_compact(F.array(*found)))
-    rest = F.filter(F.split(F.translate(F.col(f"_s{len(rules)}"), "|", ","), ","), lambda i: i != "")
-    return docs.select(id_col, "sentence_ids", licenses.alias("licenses"), rest.alias("unmatched"), "unknown_sentences")
+    ordered = F.from_json(F.lit(json.dumps([{"licence": licence, "run": sequence_text(ids)} for licence, ids in tables.rules if ids])), "array<struct<licence:string,run:string>>")
+
+    def apply(state: Column, rule: Column) -> Column:
+        taken = F.struct(F.replace(state["left"], rule["run"], F.lit("|")).alias("left"), F.concat(state["found"], F.array(rule["licence"])).alias("found"))
+        return F.when(F.contains(state["left"], rule["run"]), taken).otherwise(state)
+
+    start = F.struct(F.concat_ws("", F.transform("sentence_ids", lambda i: F.concat(F.lit(","), i, F.lit(",")))).alias("left"), F.array().cast("array<string>").alias("found"))
+    docs = docs.withColumn("_end", F.when(F.size("sentence_ids") > 0, F.aggregate(ordered, start, apply)).otherwise(start))
+    rest = F.filter(F.split(F.translate("_end.left", "|", ","), ","), lambda i: i != "")
+    return docs.select(id_col, "sentence_ids", F.array_distinct("_end.found").alias("licenses"), rest.alias("unmatched"), "unknown_sentences")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import BY_LINES, BY_PARAGRAPHS, HINTS, LICENCE_WORDS, RULES, SENTENCES, sequence_text
+from .license_scan import ENDS, LICENCE_WORDS, SPDX, Tables, sequence_text
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -36,37 +36,42 @@ WHERE rank <= 5
 
 
 def licenses() -> str:
-    """The licence scan: the same tables, written out as SQL."""
-    known = "MAP {" + ", ".join(f"'{s}': '{i}'" for s, i in SENTENCES.items()) + "}"
-
-    def sentences(ends: str) -> str:
-        return (
-            f"list_transform(list_filter(regexp_split_to_array(body, '{ends}'), lambda s: regexp_matches(lower(s), '{HINTS}')), "
-            "lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')))"
-        )
-
-    steps, found = "", []
-    for n, (licence, ids) in enumerate(RULES):
-        run = sequence_text(ids)
-        steps += f", s{n + 1} AS (SELECT *, replace(r{n}, '{run}', '|') AS r{n + 1} FROM s{n})"
-        found.append(f"CASE WHEN contains(r{n}, '{run}') THEN '{licence}' END")
-    # Distinct in the order of the rules: a licence counts where it is first found.
-    listed = f"list_filter([{', '.join(found)}], lambda x: x IS NOT NULL)"
+    """The licence scan by joins: each run of lines of a piece with the known sentences, each document's
+    sequence with one rule after the other."""
+    tables = Tables()
+    sentences = tables.normalised()
+    known = ", ".join(f"('{s}', '{i}')" for s, i in sentences.items())
+    ordered = ", ".join(f"({n}, '{licence}', '{sequence_text(ids)}')" for n, (licence, ids) in enumerate(tables.rules))
+    most = max(len(s.split()) for s in sentences)
+    normal = "trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g'))"
     return f"""
-WITH bodies AS (SELECT doc_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{HINTS}') THEN text ELSE '' END AS body FROM documents),
-talk AS (SELECT doc_id, {sentences(BY_LINES)} AS by_lines, {sentences(BY_PARAGRAPHS)} AS by_paragraphs FROM bodies),
-tables AS (SELECT {known} AS known),
-ids AS (SELECT *, list_filter(list_transform(by_lines, lambda s: known[s]), lambda i: i IS NOT NULL) AS line_ids,
-               list_filter(list_transform(by_paragraphs, lambda s: known[s]), lambda i: i IS NOT NULL) AS paragraph_ids FROM talk, tables),
-chosen AS (SELECT doc_id, known, CASE WHEN len(paragraph_ids) > len(line_ids) THEN paragraph_ids ELSE line_ids END AS sentence_ids,
-                  CASE WHEN len(paragraph_ids) > len(line_ids) THEN by_paragraphs ELSE by_lines END AS said FROM ids),
-s0 AS (SELECT *, array_to_string(list_transform(sentence_ids, lambda i: ',' || i || ','), '') AS r0 FROM chosen){steps},
-named AS (SELECT *, {listed} AS found FROM s{len(RULES)})
-SELECT doc_id, coalesce(array_to_string(sentence_ids, ','), '') AS sentence_ids,
+WITH RECURSIVE known(sentence, identifier) AS (VALUES {known}), rules(n, licence, run) AS (VALUES {ordered}),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '{SPDX}', '\\1 ', 'g') AS body FROM documents),
+pieces AS MATERIALIZED (
+  SELECT r, p, list_filter(list_transform(string_split(piece, chr(10)), lambda x: {normal.format("x")}), lambda x: x <> '') AS own
+  FROM (SELECT r, unnest(cut) AS piece, generate_subscripts(cut, 1) AS p FROM (SELECT r, regexp_split_to_array(body, '{ENDS}') AS cut FROM docs))),
+firsts AS (SELECT r, p, own, unnest(range(1, len(own) + 1)) AS i FROM pieces),
+runs AS (SELECT r, p, own, i, unnest(range(i, least(len(own), i + {most} - 1) + 1)) AS j FROM firsts),
+matched AS (
+  SELECT r, p, i, max(j) AS j, max_by(identifier, j) AS identifier
+  FROM runs JOIN known ON array_to_string(own[i:j], ' ') = sentence GROUP BY r, p, i),
+kept AS MATERIALIZED (
+  SELECT * FROM (SELECT *, max(j) OVER (PARTITION BY r, p ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM matched)
+  WHERE before IS NULL OR j > before),
+sequences AS (SELECT r, string_agg(identifier, ',' ORDER BY p, i) AS ids, string_agg(',' || identifier || ',', '' ORDER BY p, i) AS rest FROM kept GROUP BY r),
+steps AS (
+  SELECT r, 0 AS n, rest, '' AS found FROM sequences
+  UNION ALL
+  SELECT r, steps.n + 1, replace(rest, run, '|'), CASE WHEN contains(rest, run) THEN found || licence || ',' ELSE found END FROM steps JOIN rules ON rules.n = steps.n),
+ends AS (SELECT r, rest, list_filter(string_split(found, ','), lambda x: x <> '') AS found FROM steps WHERE n = {len(tables.rules)}),
+talk AS (
+  SELECT r, count(*) AS unknown FROM pieces
+  WHERE regexp_matches(array_to_string(own, ' '), '{LICENCE_WORDS}') AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.r = pieces.r AND k.p = pieces.p) GROUP BY r)
+SELECT doc_id, coalesce(ids, '') AS sentence_ids,
        coalesce(array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ','), '') AS licenses,
-       coalesce(array_to_string(list_filter(string_split(replace(r{len(RULES)}, '|', ','), ','), lambda i: i <> ''), ','), '') AS unmatched,
-       len(list_filter(said, lambda s: known[s] IS NULL AND regexp_matches(s, '{LICENCE_WORDS}'))) AS unknown_sentences
-FROM named
+       coalesce(array_to_string(list_filter(string_split(replace(e.rest, '|', ','), ','), lambda x: x <> ''), ','), '') AS unmatched,
+       coalesce(unknown, 0) AS unknown_sentences
+FROM docs LEFT JOIN sequences s USING (r) LEFT JOIN (SELECT r, rest AS rest, found FROM ends) e USING (r) LEFT JOIN talk USING (r)
 """
 
 

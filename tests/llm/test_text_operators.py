@@ -258,38 +258,76 @@ copies or substantial portions of the Software.
 """
 
 
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with
+# the License. You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#"""
+
+
+def same_as_sql(docs, out):
+    import duckdb
+
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    sql = con.execute(oracles.ORACLES["op10_licenses"]).fetchall()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(sql, key=key) == sorted([(r.doc_id, ",".join(r.sentence_ids), ",".join(r.licenses), ",".join(r.unmatched), r.unknown_sentences) for r in out], key=key)
+
+
 def test_licences(spark):
     cases = [
         ("Some text.\nLicensed under the Apache License, Version 2.0.\nMore text", ["Apache-2.0"], 0),
         ("RELEASED under the  MIT license.", ["MIT"], 0),
         (f"Copyright (c) 2020 X\n\n{MIT}", ["MIT"], 1),
+        (f"The MIT License\n{MIT}", ["MIT"], 0),
         ("This work is licensed under the GNU General Public License, version 3. Licensed under CC BY-NC 4.0.", ["GPL-3.0-only", "CC-BY-NC-4.0"], 0),
         ("Ask for the licence of this file.", [], 1),
         ("Nothing here about it. All quiet.", [], 0),
         ("Released under the MIT License.\nReleased under the MIT License.", ["MIT"], 0),
+        (f"Licensed under the MIT license\nint main() {{\n\n{APACHE}", ["Apache-2.0", "MIT"], 1),
+        (f"{APACHE}\nLicensed under the MIT license\nint main() {{", ["Apache-2.0", "MIT"], 1),
+        ("All rights\n * reserved.", ["Proprietary"], 0),
+        ("Licensed\nunder\nthe MIT\nlicense\nand more", ["MIT"], 0),
+        ("// SPDX-License-Identifier: Apache-2.0\ncode", ["Apache-2.0"], 0),
+        ("Released under GPL-2.0 or later.", ["GPL-2.0-or-later"], 0),
         ("", [], 0),
         (None, [], 0),
         ("word " * 200_000 + "\nAll rights reserved.\n" + "word " * 1000, ["Proprietary"], 0),
+        ("copyright\n" * 3000 + "All rights reserved", ["Proprietary"], 0),
     ]
     docs = spark.createDataFrame([(i, c[0], "x") for i, c in enumerate(cases)], "doc_id bigint, text string, licenses string")
     out = {r.doc_id: r for r in license_scan.scan(docs).collect()}
     for i, (_, licenses, unknown) in enumerate(cases):
         assert (out[i].licenses, out[i].unknown_sentences) == (licenses, unknown), i
-    import duckdb
+    assert out[8].sentence_ids == ["MITRef", "ApacheHead2", "ApacheUse", "ApacheCopy"]
+    same_as_sql(docs, out.values())
 
-    con = duckdb.connect()
-    table = docs.toPandas()  # noqa: F841
-    con.register("documents", table)
-    sql = {r[0]: (r[2], r[4]) for r in con.execute(oracles.ORACLES["op10_licenses"]).fetchall()}
-    assert sql == {i: (",".join(r.licenses), r.unknown_sentences) for i, r in out.items()}
 
+def test_licences_of_rows_without_an_id_or_twice(spark):
+    docs, _ = frame(spark, ["Released under the MIT License.", "Licensed under CC BY 4.0.\nAll rights reserved."])
+    out = license_scan.scan(docs).collect()
+    assert sorted((str(r.doc_id), *r.licenses) for r in out) == [("0", "MIT"), ("0", "MIT"), ("1", "CC-BY-4.0", "Proprietary"), ("10000",), ("10001",), ("None",), ("None",)]
+    same_as_sql(docs, out)
 
-def test_each_known_sentence_has_a_hint_and_a_rule():
-    import re
 
-    assert all(re.search(license_scan.HINTS, s) for s in license_scan.SENTENCES)
-    used = {i for _, ids in license_scan.RULES for i in ids}
-    assert used <= set(license_scan.SENTENCES.values())
+def test_licences_by_tables_of_one_s_own(spark):
+    sentences = spark.createDataFrame([("Do what, you want!", "WTF"), ("Ask me", "Ask")] + [(f"own licence number {k}", f"Own{k}") for k in range(3000)], "sentence string, identifier string")
+    rules = spark.createDataFrame([(2, "Free", ["WTF"]), (1, "Both", ["Ask", "WTF"])] + [(3 + k, f"Own-{k}", [f"Own{k}"]) for k in range(3000)], "place int, licence string, identifiers array<string>")
+    tables = license_scan.Tables.of(sentences, rules)
+    docs = spark.createDataFrame([(1, "do what you\nwant"), (2, "Ask me. Do what you want."), (3, "Own licence number 2999"), (4, "Own licence number 3000")], "doc_id bigint, text string")
+    out = {r.doc_id: (r.licenses, r.unknown_sentences) for r in license_scan.scan(docs, tables=tables).collect()}
+    assert out == {1: (["Free"], 0), 2: (["Both"], 0), 3: (["Own-2999"], 0), 4: ([], 1)}
+
+
+def test_each_known_sentence_has_a_hint_and_a_rule():
+    tables = license_scan.Tables()
+    hints = tables.hints()
+    assert len(tables.sentences) > 1000 and all(any(h in s for h in hints) for s in tables.normalised())
+    used = {i for _, ids in tables.rules for i in ids}
+    assert used <= set(tables.sentences.values())
+    assert all(license_scan.normal(s) == s for s in tables.sentences)
 
 
 def test_texts_of_unlearned_languages_are_not_identified(spark):
