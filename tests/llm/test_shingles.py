@@ -3,6 +3,7 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -60,6 +61,32 @@ def test_all_similar_pairs_are_linked(spark, monkeypatch, block):
     assert shingles.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_histograms_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 3, 17, 300, 5000):
+        for shared in (0, n // 2, n):
+            a, b = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, m, dtype=np.uint64) * np.uint64(2)])) for common in [rng.integers(0, 1 << 63, shared, dtype=np.uint64)] for m in (n - shared, n - shared + n // 8))
+            bound = shingles.overlap_bound(shingles.histogram(a), shingles.histogram(b))
+            assert bound >= len(np.intersect1d(a, b))
+    close = np.arange(3000, dtype=np.uint64)
+    assert shingles.histogram(close) == b"" and shingles.overlap_bound(b"", shingles.histogram(close[:20])) is None
+
+
+def test_no_set_with_a_partner_is_left_out():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 700, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([base[: int(rng.integers(10, 700))], rng.integers(0, 1 << 63, int(rng.integers(1, 120)), dtype=np.uint64) * np.uint64(2)])) for _ in range(150)]
+    groups = rng.integers(0, 40, len(sets))
+    sizes = np.array([len(s) for s in sets])
+    may = shingles.with_partner(sizes, [shingles.histogram(s) for s in sets], groups, Fraction(4, 5))
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if groups[i] != groups[j] and shared * 9 >= 4 * (sizes[i] + sizes[j]):
+                assert may[i] and may[j]
+    assert 0 < may.sum() < len(sets)
+
+
 def test_pipeline_stage_takes_five_words_and_similarity(spark):
     rng = random.Random(5)
     texts = made(rng)
