@@ -31,7 +31,7 @@ WORD_PATTERNS = [
 ]
 
 #: Texts that the library encodes at once.
-TOGETHER = 64
+TOGETHER = 16
 
 
 def state(part) -> dict | None:
