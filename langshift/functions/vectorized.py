@@ -1,16 +1,18 @@
-"""The two functions that Spark's own can't express: both on Arrow batches."""
+"""The two functions that Spark's own can't express, both on Arrow batches: a shard's hash, and reports in JSON."""
 
 from __future__ import annotations
 
 import json
-import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-METRIC = re.compile(r"([0-9]+)/([0-9]+)")
+from . import numbers
+
+#: The first token ``x/y`` of a line, after its start or white space and before white space or its end.
+METRIC = r"(?U)(?:^|\s)([0-9]+)/([0-9]+)(?=\s|$)"
 
 
 def shard_hash(keys: pd.Series) -> np.ndarray:
@@ -39,32 +41,34 @@ def unsafe_share(report: Column) -> Column:
     """Share of unsafe functions (%) in a report, as JSON or as text; null if it has no numbers.
 
     JSON of any shape: each object ``functions`` with whole numbers ``safe`` and ``unsafe_`` (or
-    ``unsafe``) counts. Text: the first token ``x/y`` of each line."""
+    ``unsafe``) counts. Only such reports go to Python. Text: the first token ``x/y`` of each line; a number
+    beyond a bigint counts 0."""
 
     @F.pandas_udf("double")
     def share(reports: pd.Series) -> pd.Series:
-        return reports.map(report_share)
+        return reports.map(json_share)
+
+    json_like = F.ltrim(report).startswith("{") | F.ltrim(report).startswith("[")
+    return F.coalesce(share(F.when(json_like, report)), text_share(report))
+
 
-    return share(report)
+def text_share(report: Column) -> Column:
+    def total(group: int) -> Column:
+        found = F.transform(F.split(report, "\n"), lambda line: F.coalesce(F.regexp_extract(line, METRIC, group).try_cast("bigint"), F.lit(0)))
+        return F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
+    return F.when(total(2) > 0, numbers.round_half_up(total(1) / total(2) * 100.0))
 
-def report_share(report: str | None) -> float | None:
+
+def json_share(report: str | None) -> float | None:
     if report is None:
         return None
     try:
-        found = list(function_counts(json.loads(report.strip())))
-        part, whole = sum(u for _, u in found), sum(s + u for s, u in found)
-        if whole:
-            return half_up(part, whole)
-    except ValueError:
-        pass
-    pairs = [next((m for t in line.split() if (m := METRIC.fullmatch(t))), None) for line in report.split("\n")]
-    part, whole = sum(int(m[1]) for m in pairs if m), sum(int(m[2]) for m in pairs if m)
-    return half_up(part, whole) if whole else None
-
-
-def half_up(part: int, whole: int) -> float:
-    return float(np.floor(part / whole * 100 * 100 + 0.5) / 100)
+        found = list(function_counts(json.loads(report)))
+    except (ValueError, RecursionError):
+        return None
+    part, whole = sum(u for _, u in found), sum(s + u for s, u in found)
+    return float(np.floor(part / whole * 100 * 100 + 0.5) / 100) if whole else None
 
 
 def function_counts(value):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules, shared
-from ..functions import numbers, text
+from ..functions import numbers, text, vectorized
 from ..operators import classify, discovery, history, listing, merge, scoring
 
 #: History and enrichment columns of a candidate without any.
@@ -92,12 +92,37 @@ def reclassify(projects: DataFrame, origins: DataFrame) -> DataFrame:
     return merge.merge_upsert_rules(kept.select(*rescored.columns), rescored)
 
 
-def backfill(projects: DataFrame, exemplars: DataFrame, origins: DataFrame, commits: DataFrame, changes: DataFrame, now: str, batch: int = 25, **pending) -> DataFrame:
+def with_unsafe_share(projects: DataFrame, reports: DataFrame | None) -> DataFrame:
+    """Projects with ``_slug`` and ``_unsafe``: the share that a landed report (repo, report) gives to one that is
+    unmeasured and mostly in the target language, else null. Of several reports, the one with the largest share."""
+    rows = projects.withColumn("_slug", text.normalize_slug(F.col("repo_url")))
+    if reports is None:
+        return rows.withColumn("_unsafe", F.lit(None).cast("double"))
+    wanted = F.col("unsafe_percentage").isNull() & (F.col("original_language").isNull() | (F.col("rust_percentage") >= 50.0))
+    asked = reports.join(rows.where(wanted).select(F.col("_slug").alias("repo")), "repo", "left_semi")
+    shares = asked.select("repo", vectorized.unsafe_share(F.col("report")).alias("_found")).groupBy("repo").agg(F.max("_found").alias("_found"))
+    joined = rows.join(shares, F.col("_slug") == F.col("repo"), "left")
+    return joined.select(*rows.columns, F.when(wanted, F.col("_found")).alias("_unsafe"))
+
+
+def backfill(
+    projects: DataFrame, exemplars: DataFrame, origins: DataFrame, commits: DataFrame, changes: DataFrame, now: str, batch: int = 25, *,
+    reports: DataFrame | None = None, max_stars: int = 0, force: bool = False, **pending
+) -> DataFrame:
     """The table after one batch of histories: analysed ones are rescored, those without commits are
-    marked as failed. ``commits`` and ``changes`` carry the repository's slug as ``repo``."""
-    flagged = merge.flag_exemplars(projects, exemplars)
-    chosen = merge.backfill_batch(flagged, batch, **pending)
-    chosen = shared.cut_lineage(chosen.where(~F.coalesce(F.col("history_status") == "ok", F.lit(False))))
+    marked as failed, and those whose history is done get their unsafe share. ``commits``, ``changes`` and
+    ``reports`` carry the repository's slug as ``repo``.
+
+    A project whose history is done waits only for its unsafe share, so it is part of a batch only where a
+    landed report gives one: what the job can't finish never takes another's place, run after run.
+    """
+    flagged = with_unsafe_share(merge.flag_exemplars(merge.star_cap_filter(projects, max_stars), exemplars), reports)
+    done = F.coalesce(F.col("history_status") == "ok", F.lit(False)) & F.lit(not force)
+    chosen = shared.cut_lineage(merge.backfill_batch(flagged.where(~done | F.col("_unsafe").isNotNull()), batch, force=force, measure_unsafe=reports is not None, **pending))
+    measured = chosen.where(done).select("repo_url", F.col("_unsafe").alias("_measured"))
+    projects = projects.join(measured, "repo_url", "left").withColumn("unsafe_percentage", F.coalesce("_measured", "unsafe_percentage")).select(*projects.columns)
+    shares = chosen.select("repo_url", "_unsafe")
+    chosen = chosen.where(~done).drop("_slug", "_unsafe")
     slugs = F.broadcast(chosen.select(text.normalize_slug(F.col("repo_url")).alias("repo"), "exemplar"))
     points = F.when(F.col("exemplar"), rules.EXEMPLAR_SAMPLE_POINTS).otherwise(rules.SAMPLE_POINTS)
     own = commits.join(slugs, "repo").withColumn("points", points).drop("exemplar")
@@ -109,7 +134,7 @@ def backfill(projects: DataFrame, exemplars: DataFrame, origins: DataFrame, comm
     fresh = fresh.withColumn("full_name", F.col("_name")).drop("_name").join(old, "_slug_")
     has_lines = F.col("lines_added").isNotNull()
     fresh = fresh.withColumns({c: F.when(has_lines, F.col(c)).otherwise(F.col(f"_old_{c}")) for c in scoring.HISTORY}).drop(*old.columns)
-    rescored = rescore(fresh, origins)
+    rescored = rescore(fresh, origins).join(shares, "repo_url", "left").withColumn("unsafe_percentage", F.col("_unsafe")).drop("_unsafe")
     rescored = shared.cut_lineage(rescored.withColumns({"history_status": F.lit("ok"), "history_attempted_at": F.lit(now), "history_attempts": F.lit(0).cast("bigint")}))
     written = merge.merge_upsert_rules(projects.select(*rescored.columns), rescored)
     failed = chosen.select("repo_url").join(rescored.select("repo_url"), "repo_url", "left_anti")

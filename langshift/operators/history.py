@@ -248,6 +248,10 @@ def analyse(commits: DataFrame, changes: DataFrame, points: int | Column = rules
     series = shared.cut_lineage(rust_share_series(composition, samples))
     transition = language_transition(segment_shares(composition, samples), series, commits)
     window = transition_window(series, steepest_rise(series))
-    inside = shared.cut_lineage(commit_lines(window_commits(commits, window, samples, transition_churn(changes)), changes))
+    window = shared.cut_lineage(window)  # one row for a repository with a clear slope
+    # Churn is asked for only where the slope is unclear, lines only of the commits that are left.
+    churn = transition_churn(changes.join(window, "repo", "left_anti"))
+    chosen = shared.cut_lineage(window_commits(commits, window, samples, churn))
+    inside = shared.cut_lineage(commit_lines(chosen, changes.join(chosen.select("repo", "commit_seq"), ["repo", "commit_seq"], "left_semi")))
     enriched = window_totals(inside).join(ai_assist_score(inside, commit_burst(inside)), "repo", "left")
     return transition.join(enriched, "repo", "left").join(ai_agents(commits), "repo", "left")

@@ -301,6 +301,14 @@ oracle("project_row", ["stored", "origin_lines"], f"""SELECT split_part(full_nam
 CASE WHEN strong THEN history_rust_before END AS history_rust_before, CASE WHEN total_commits_analyzed > 0 THEN total_commits_analyzed END AS total_commits_analyzed, sig[1].url AS source_url,
 len(list_filter(sig, lambda s: s.kind = 'pull-request' AND ({" + ".join(f"CASE WHEN {has_any('lower(' + title_of('s.detail') + ')', p)} THEN {n} ELSE 0 END" for n, p in rules.RELEVANCE)}) > 0))::INTEGER AS prs, '2025-01-01' AS first_detected
 FROM (SELECT *, coalesce(original_language, CASE WHEN strong THEN from_language END) AS ol FROM c5) p""", ORIGINS, CANDIDATES, _evidence())
+oracle("score_confidence", ["stored", "origin_lines"], f"SELECT full_name, kind3 AS kind, {confidence('kind3')} AS confidence FROM (SELECT *, CASE length(full_name) % 3 WHEN 0 THEN 'rewrite' WHEN 1 THEN 'replacement' ELSE 'neither' END AS kind3 FROM c5) p", ORIGINS, CANDIDATES, _evidence())
+oracle("select_migration_prs", SCANNED, f"""SELECT full_name, coalesce(urls, '') AS urls FROM sl LEFT JOIN (SELECT full_name, string_agg(url, ',' ORDER BY number, place) AS urls FROM (
+  SELECT *, row_number() OVER (PARTITION BY full_name ORDER BY number, place) AS rn FROM (
+    SELECT full_name, url, min(number) AS number, min(place) AS place FROM (
+      SELECT full_name, s.url AS url, coalesce(try_cast(regexp_extract(s.url, '/pull/([0-9]+)$', 1) AS BIGINT), 9223372036854775807) AS number, place
+      FROM (SELECT full_name, unnest(sig) AS s, generate_subscripts(sig, 1) AS place FROM sl) u
+      WHERE s.p.kind = 'pull-request' AND ({" + ".join(f"CASE WHEN {has_any('lower(' + title_of('s.detail') + ')', p)} THEN {n} ELSE 0 END" for n, p in rules.RELEVANCE)}) > 0) v
+    GROUP BY full_name, url) w) x WHERE rn <= 5 GROUP BY full_name) y USING (full_name)""", *ALL_SIGNALS, ONCE)
 oracle("source_link", ["stored"], f"""SELECT repo_url, coalesce(list_filter(sig, lambda s: s.kind = 'pull-request')[1].url, list_filter(sig, lambda s: s.kind = 'issue')[1].url, repo_url) AS link FROM (SELECT repo_url, {SIGNALS} AS sig FROM a_stored) s0""")
 
 # Filters and joins

@@ -106,12 +106,17 @@ def publish_listing(t: Tables) -> DataFrame:
 
 @query
 def unsafe_share(t: Tables) -> DataFrame:
+    return unsafe_reports(t).select("k", vectorized.unsafe_share(F.col("report")).alias("unsafe_percentage"))
+
+
+def unsafe_reports(t: Tables) -> DataFrame:
+    """A report for each repository: a third in JSON, a third as text, a third without numbers."""
     k = F.col("k")
     a, b, c = (k % 9).cast("string"), (k % 13).cast("string"), (k % 90).cast("string")
     tree = F.concat(F.lit('{"packages":[{"functions":{"safe":'), c, F.lit(',"unsafe_":'), a, F.lit('}},{"deep":[{"functions":{"safe":'), b, F.lit(',"unsafe":1}}]}]}'))
     lines = F.concat(F.lit("Functions  "), a, F.lit("/"), c, F.lit(" 9/9 x\n  none here\n"), b, F.lit("/20 x"))
     report = F.when(k % 3 == 0, tree).when(k % 3 == 1, lines).otherwise(F.lit("nothing to see"))
-    return t.repos.select("k", vectorized.unsafe_share(report).alias("unsafe_percentage"))
+    return t.repos.select("k", text.normalize_slug(F.col("full_name")).alias("repo"), report.alias("report"))
 
 
 # Scalar functions
@@ -533,7 +538,7 @@ def text_evidence(t: Tables) -> DataFrame:
 
 @query
 def score_confidence(t: Tables) -> DataFrame:
-    rows = workflows.candidates_of(t.projects()).withColumn("kind", F.element_at(F.array(*map(F.lit, ("rewrite", "replacement", "neither"))), F.pmod(F.crc32("full_name"), F.lit(3)).cast("int") + 1))
+    rows = workflows.candidates_of(t.projects()).withColumn("kind", F.element_at(F.array(*map(F.lit, ("rewrite", "replacement", "neither"))), F.length("full_name") % 3 + 1))
     return rows.select("full_name", "kind", scoring.confidence(F.col("kind"), F.col("signals"), F.col("description")).alias("confidence"))
 
 
@@ -609,7 +614,7 @@ def with_histories(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query
 def backfill(t: Tables) -> DataFrame:
     projects, commits, changes = with_histories(t)
-    return stored(workflows.backfill(projects, t.exemplars, t.origins, commits, changes, NOW, batch=200))
+    return stored(workflows.backfill(projects, t.exemplars, t.origins, commits, changes, NOW, batch=200, reports=unsafe_reports(t)))
 
 
 @query

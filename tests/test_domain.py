@@ -167,10 +167,33 @@ def test_stored_projects_of_any_age(spark, tmp_path):
     assert rows["b"].signals == [] and rows["b"].rewrite_pr.title == "x" and rows["b"].ai_agents == []
 
 
-def test_unsafe_reports():
+def test_unsafe_reports(spark):
     nested = '{"packages":[[{"id":1},{"unsafety":{"used":{"functions":{"safe":90,"unsafe_":10},"exprs":{"safe":1}},"unused":{"functions":{"safe":0,"unsafe_":0}}}}]]}'
     tree = "Functions  Expressions\n2/8        0/0   root\n1/2        0/0   dep"
-    assert [vectorized.report_share(r) for r in (nested, '{"packages": []}', tree, "", None, "1/0 x", "[" * 500 + "]" * 500)] == [10.0, None, 30.0, None, None, None, None]
+    cases = [(nested, 10.0), ('{"packages": []}', None), (tree, 30.0), ("", None), (None, None), ("1/0 x", None), ("[" * 500 + "]" * 500, None), ("[3/4 x\n 1/4", 25.0), ("a\u20031/4\t9/9", 25.0), ("x1/2 1/2y\n2/3/4", None)]
+    rows = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "i int, report string").select("i", vectorized.unsafe_share(F.col("report")).alias("share")).collect()
+    assert {r.i: r.share for r in rows} == {i: share for i, (_, share) in enumerate(cases)}
+
+
+def test_backfill_batches_are_not_filled_with_what_cannot_be_finished(spark):
+    waiting = {"history_status": "ok", "rust_percentage": 90.0, "stars": 100, "total_commits_analyzed": 5}
+    table = projects(spark, [{"repo_url": f"https://github.com/o/done{i}", **waiting} for i in range(5)] + [{"repo_url": "https://github.com/o/new", "stars": 1}, {"repo_url": "https://github.com/o/lost", "stars": 0}])
+    nobody, none = spark.createDataFrame([], "slug string"), spark.createDataFrame([], "slug string, label string")
+    commits = spark.createDataFrame([("o/new", i, 86400 * i, "add", []) for i in range(4)], "repo string, commit_seq bigint, ts bigint, subject string, coauthors array<string>")
+    changes = spark.createDataFrame([("o/new", i, 0, "a.py" if i < 2 else "b.rs", 300, 0) for i in range(4)], "repo string, commit_seq bigint, file_seq bigint, path string, added bigint, removed bigint")
+    own = (nobody, none, commits, changes, "now")
+
+    def shown(rows):
+        return {r.repo_url.rsplit("/", 1)[1]: (r.history_status, r.unsafe_percentage, r.history_attempts) for r in rows.collect()}
+
+    assert shown(workflows.backfill(table, *own, batch=1))["new"] == ("ok", None, 0)
+    reports = spark.createDataFrame([("o/done1", "1/4 x"), ("o/done2", "nothing"), ("o/new", "1/2 x"), ("o/other", "1/2")], "repo string, report string")
+    out = shown(workflows.backfill(table, *own, batch=2, reports=reports))
+    assert out["done1"] == ("ok", 25.0, None) and out["done2"] == ("ok", None, None) and out["new"] == ("ok", 50.0, 0) and out["lost"] == (None, None, None)
+    out = shown(workflows.backfill(table, *own, batch=3, reports=reports))
+    assert out["lost"] == ("failed", None, 1)
+    assert shown(workflows.backfill(table, *own, batch=9, max_stars=1))["new"] == (None, None, None)
+    assert shown(workflows.backfill(table, *own, batch=1, force=True))["done0"] == ("failed", None, 1)
 
 
 def test_shards_split_all_keys(spark):
