@@ -1,18 +1,17 @@
 """The three workflows: scan listings, backfill histories, merge and publish.
 
-Each takes and returns DataFrames. Tables are written by ``store``, beside the old ones.
+Each takes and returns DataFrames. Tables are written by ``upsert_projects``, beside the old ones.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules, shared
 from ..functions import numbers, text, vectorized
 from ..operators import classify, discovery, history, listing, merge, scoring
+from ..sources import tables
 
 #: History and enrichment columns of a candidate without any.
 NO_HISTORY = {
@@ -150,10 +149,9 @@ def published(projects: DataFrame, exemplars: DataFrame, origins: DataFrame) ->
     return rows.orderBy(*listing.listing_order())
 
 
-def store(table: DataFrame, root: str) -> str:
-    """Write a table under a new name below ``root``; returns its path. The caller moves its pointer there
-    afterwards, so a table is never written over while it is read."""
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    table.write.parquet(path)
-    return path
-
+def upsert_projects(batch: DataFrame, root: str, batch_no: int | None = None) -> str:
+    """Merge scored projects into the table below ``root`` and make the result current; returns its path. Of rows
+    with one repo_url the furthest counts."""
+    rows = merge.prefer_enriched(batch.withColumn("source_no", F.lit(0))).drop("source_no")
+    table = tables.current(batch.sparkSession, root)
+    return tables.replace(rows if table is None else merge.merge_upsert_rules(table.select(*rows.columns), rows), root, batch_no)

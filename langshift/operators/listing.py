@@ -80,9 +80,13 @@ def display_metrics(projects: DataFrame) -> DataFrame:
     )
 
 
+#: Columns that a published row has even where they are null.
+PRINTED_NULLS = ["description", "original_language", "unsafe_percentage"]
 
 
 def publish_listing(projects: DataFrame) -> DataFrame:
-    """Listing rows in order, each as a line of JSON in ``value``; lists are left out where empty, and so are nulls."""
+    """Listing rows in order, each as a line of JSON in ``value``. Lists are left out where empty, and so are nulls
+    but those of ``PRINTED_NULLS``."""
+    nulls = [F.when(F.col(c).isNull(), F.lit(f'"{c}":null,')) for c in PRINTED_NULLS if c in projects.columns]
     lists = {c: F.when(F.size(c) > 0, F.col(c)) for c in ("rewrite_prs", "ai_agents") if c in projects.columns}
-    return projects.orderBy(*listing_order()).withColumns(lists).select(F.to_json(F.struct(*projects.columns)).alias("value"))
+    return projects.orderBy(*listing_order()).withColumns(lists).select(F.concat(F.lit("{"), F.concat_ws("", *nulls), F.substring(F.to_json(F.struct(*projects.columns)), 2, 2**31 - 1)).alias("value"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text
 
@@ -71,6 +72,17 @@ def merge_shards(base: DataFrame, shards: list[DataFrame]) -> DataFrame:
     return merge_upsert_rules(base, prefer_enriched(rows).drop("source_no"))
 
 
+def merged_counts(base: DataFrame, shards: list[DataFrame]) -> DataFrame:
+    """source_no (of the shard, from 1) and merged: how many of its rows came further than the row that base and
+    earlier shards have for the same key."""
+    rows = base.select("repo_url", F.lit(0).alias("source_no"), shard_rank().alias("r"))
+    for n, shard in enumerate(shards):
+        rows = rows.unionByName(shard.select("repo_url", F.lit(n + 1).alias("source_no"), shard_rank().alias("r")))
+    earlier = Window.partitionBy("repo_url").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("further", F.coalesce(F.col("r") > F.max("r").over(earlier), F.lit(False)))
+    return rows.where("source_no > 0").groupBy("source_no").agg(F.count_if("further").alias("merged"))
+
+
 def mark_history_attempt(projects: DataFrame, attempts: DataFrame) -> DataFrame:
     """Projects after attempts (repo_url, ok, error, attempted_at): success resets the count, failure
     adds one. Rows without an attempt stay as they are."""

@@ -281,7 +281,7 @@ ISSUE_HITS = "ih AS (" + " UNION ALL ".join(
 ) + ")"
 oracle("match_repo_rules", ["repos"], "SELECT full_name, rule_no, label FROM rh", REPO_HITS)
 oracle("match_issue_rules", ["repos", "issues"], "SELECT full_name, url, rule_no, detail FROM ih", ISSUES, ISSUE_HITS)
-oracle("rule_top_k", ["repos"], "SELECT rule_no, rank, full_name, stars FROM (SELECT *, row_number() OVER (PARTITION BY rule_no ORDER BY stars DESC, full_name)::INTEGER AS rank FROM rh) r WHERE rank <= 20", REPO_HITS)
+oracle("rule_top_k", ["repos"], "SELECT rule_no, rank, full_name, stars FROM (SELECT *, row_number() OVER (PARTITION BY rule_no ORDER BY stars DESC, full_name)::INTEGER AS rank FROM rh) r WHERE rank <= 300", REPO_HITS)
 SEEDS = "'exemplar' AS kind, 'curated exemplar rewrite (priority target)' AS detail, concat('https://github.com/', slug) AS url"
 SIGNALS_OF = f"""sg AS (SELECT * FROM (SELECT full_name, rule_no, row_number() OVER (PARTITION BY rule_no ORDER BY stars DESC, full_name)::INTEGER AS rank, 'repo-search' AS kind, label AS detail, html_url AS url, stars, description FROM rh
   UNION ALL SELECT full_name, rule_no, row_number() OVER (PARTITION BY rule_no ORDER BY url, full_name)::INTEGER AS rank, kind, detail, url, 0, NULL FROM ih) s WHERE rank <= 300
@@ -347,7 +347,7 @@ LANG = f"lc AS (SELECT *, {language()} AS lang FROM a_changes)"
 NET = """rn AS (SELECT repo, lang, commit_seq, file_seq, s - least(0, min(s) OVER w) AS net FROM (SELECT *, sum(added - removed) OVER (PARTITION BY repo, lang ORDER BY commit_seq, file_seq) AS s FROM lc WHERE lang IS NOT NULL) q
   WINDOW w AS (PARTITION BY repo, lang ORDER BY commit_seq, file_seq))"""
 SAMPLES = """sp AS (SELECT repo, commit_seq, row_number() OVER (PARTITION BY repo ORDER BY commit_seq) - 1 AS sample_no FROM (SELECT repo, commit_seq, count(*) OVER (PARTITION BY repo) AS n FROM a_commits) c
-  WHERE commit_seq % greatest(n // 100, 1) = 0 OR commit_seq = n - 1)"""
+  WHERE commit_seq % greatest(n // {POINTS}, 1) = 0 OR commit_seq = n - 1)""".replace("{POINTS}", str(rules.SAMPLE_POINTS))
 ASOF = """co AS (SELECT repo, sample_no, commit_seq, lang, coalesce(net, 0)::BIGINT AS net FROM (SELECT g.repo, g.sample_no, g.commit_seq, g.lang,
   (SELECT max_by(net, {'c': r.commit_seq, 'f': r.file_seq}) FROM rn r WHERE r.repo = g.repo AND r.lang = g.lang AND r.commit_seq <= g.commit_seq) AS net
   FROM (SELECT sp.repo, sample_no, commit_seq, lang FROM sp JOIN (SELECT DISTINCT repo, lang FROM rn) l ON l.repo = sp.repo) g) h)"""
@@ -414,6 +414,9 @@ oracle("upsert_projects", ["stored", "shard_2"], upsert("a_stored", "a_shard_2")
 oracle("merge_upsert_rules", ["shard_1", "shard_2"], upsert("a_shard_1", "a_shard_2"))
 oracle("merge_shards", ["stored", "shard_1", "shard_2"], upsert("a_stored", "best"), """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_url ORDER BY CASE history_status WHEN 'ok' THEN 2 WHEN 'failed' THEN 1 ELSE 0 END DESC,
   coalesce(history_attempted_at, '') DESC, source_no) AS rn FROM (SELECT *, 0 AS source_no FROM a_stored UNION ALL SELECT *, 1 FROM a_shard_1 UNION ALL SELECT *, 2 FROM a_shard_2) u) v WHERE rn = 1)""")
+RANKED = "{'s': CASE history_status WHEN 'ok' THEN 2 WHEN 'failed' THEN 1 ELSE 0 END, 'at': coalesce(history_attempted_at, '')} AS r"
+oracle("merged_counts", ["stored", "shard_1", "shard_2"], f"""SELECT s.source_no, count(*) FILTER (WHERE s.r > (SELECT max(e.r) FROM a e WHERE e.repo_url = s.repo_url AND e.source_no < s.source_no)) AS merged FROM a s WHERE s.source_no > 0 GROUP BY s.source_no""",
+  f"a AS (SELECT repo_url, 0 AS source_no, {RANKED} FROM a_stored UNION ALL SELECT repo_url, 1, {RANKED} FROM a_shard_1 UNION ALL SELECT repo_url, 2, {RANKED} FROM a_shard_2)")
 oracle("kind_counts", ["stored"], "SELECT count(*) AS total, count(*) FILTER (WHERE project_kind = 'rewrite') AS rewrites, count(*) FILTER (WHERE project_kind = 'replacement') AS replacements, count(*) FILTER (WHERE project_kind = 'neither') AS dropped FROM a_stored")
 oracle("backlog_counts", ["stored", "exemplar_lines"], f"""SELECT count(*) FILTER (WHERE w) AS pending, count(*) FILTER (WHERE stars < 700 AND NOT w AND coalesce(history_status = 'ok', false)) AS skipped, count(*) FILTER (WHERE stars < 700 AND NOT w AND NOT coalesce(history_status = 'ok', false)) AS dead_lettered,
 count(*) FILTER (WHERE stars >= 700) AS star_capped, count(*) FILTER (WHERE history_status IS NULL OR (history_status = 'failed' AND coalesce(history_attempts, 0) < 3) OR (history_status = 'ok' AND unsafe_percentage IS NULL AND (original_language IS NULL OR rust_percentage >= 50))) AS watchdog_pending

@@ -16,6 +16,7 @@ from .sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NOW = "2025-01-01"
+LOG_COMMITS = 256
 SHOWN = ["repo_url", "stars", "confidence", "project_kind", "original_language", "unsafe_percentage", "lines_added", "history_status", "history_attempted_at", "history_attempts", "first_detected", "last_seen", "transition_magnitude", "history_from_language"]
 
 
@@ -61,13 +62,14 @@ def read_languages(t: Tables) -> DataFrame:
 
 
 def logs(t: Tables) -> DataFrame:
-    """One log text for each repository, as the log command prints it."""
+    """The log of each repository as the log command prints it, in parts of ``LOG_COMMITS`` commits."""
     nul = F.lit("\0")
     heads = t.commits.select("repo", "commit_seq", F.lit(-1).cast("bigint").alias("f"), F.concat(F.lit("abc"), nul, F.col("ts"), nul, "subject", nul, F.array_join("coauthors", "\u0001")).alias("line"))
     number = F.when(F.col("added") % 50 == 0, F.lit("-")).otherwise(F.col("added").cast("string"))
     files = t.changes.select("repo", "commit_seq", F.col("file_seq").cast("bigint").alias("f"), F.concat(number, F.lit("\t"), F.col("removed"), F.lit("\t"), "path").alias("line"))
     lines = F.sort_array(F.collect_list(F.struct("commit_seq", "f", "line")))
-    return heads.unionByName(files).groupBy("repo").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("log"))
+    part = F.floor(F.col("commit_seq") / LOG_COMMITS).alias("part")
+    return heads.unionByName(files).groupBy("repo", part).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("log"))
 
 
 @query
@@ -412,7 +414,7 @@ def path_language_join(t: Tables) -> DataFrame:
 # History
 
 
-def composition(t: Tables, points: int = 100) -> tuple[DataFrame, DataFrame]:
+def composition(t: Tables, points: int = rules.SAMPLE_POINTS) -> tuple[DataFrame, DataFrame]:
     samples = history.composition_samples(t.commits, points)
     mix = history.composition_asof(history.running_net_lines(history.with_language(t.changes)), samples, t.commits)
     return shared.cut_lineage(mix), samples  # small, and read by several steps
@@ -429,7 +431,7 @@ def running_net_lines(t: Tables) -> DataFrame:
 
 @query
 def composition_samples(t: Tables) -> DataFrame:
-    return history.composition_samples(t.commits, 100).withColumn("sample_no", F.col("sample_no").cast("bigint"))
+    return history.composition_samples(t.commits).withColumn("sample_no", F.col("sample_no").cast("bigint"))
 
 
 @query
@@ -510,7 +512,7 @@ def issue_hits(t: Tables, k: int = rules.RULE_LIMIT) -> DataFrame:
 
 @query
 def rule_top_k(t: Tables) -> DataFrame:
-    return repo_hits(t, 20).select("rule_no", "rank", "full_name", "stars")
+    return repo_hits(t).select("rule_no", "rank", "full_name", "stars")
 
 
 @query
@@ -590,6 +592,11 @@ def merge_shards(t: Tables) -> DataFrame:
     return stored(merge.merge_shards(t.projects(), [t.projects("shard_1"), t.projects("shard_2")]))
 
 
+@query
+def merged_counts(t: Tables) -> DataFrame:
+    return merge.merged_counts(t.projects(), [t.projects("shard_1"), t.projects("shard_2")])
+
+
 @query
 def mark_history_attempt(t: Tables) -> DataFrame:
     tried = t.repos.where("k % 3 > 0").select(F.col("html_url").alias("repo_url"), (F.col("k") % 3 == 1).alias("ok"), F.lit("lost").alias("error"), F.lit(NOW).alias("attempted_at"))

@@ -75,16 +75,21 @@ def log_lines(logs: DataFrame) -> DataFrame:
     """The lines of each log with the number of the commit that they belong to (from 0; lines before the
     first header are dropped): repo, line_no, commit_seq, parts (of a header, else null), line.
 
-    A line is a header if its second NUL-separated part is a time. Lines are numbered by their place, so
-    the running count of headers depends on nothing else; it is taken within each repository.
+    ``logs``: repo, log and, where a log comes in parts (cut between lines), part, its number. A line is a header
+    if its second NUL-separated part is a time. Headers are counted within each part; the counts of a
+    repository's parts (one row each) are then carried over them, so that a long log is spread over many tasks.
     """
-    lines = logs.select("repo", F.posexplode(F.split("log", "\r?\n")).alias("line_no", "line")).where("line <> ''")
+    part = F.col("part").cast("bigint") if "part" in logs.columns else F.lit(0).cast("bigint")
+    lines = logs.select("repo", part.alias("part"), F.posexplode(F.split("log", "\r?\n")).alias("place", "line")).where("line <> ''")
+    lines = lines.withColumn("line_no", F.shiftleft("part", 32) + F.col("place"))
     parts = F.split("line", "\0", 4)
     header = F.coalesce((F.size(parts) >= 3) & _whole(F.element_at(parts, 2), "[+-]?").isNotNull(), F.lit(False))
     lines = lines.withColumns({"header": header, "parts": F.when(header, parts)})
-    so_far = Window.partitionBy("repo").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.withColumn("commit_seq", F.sum(F.col("header").cast("bigint")).over(so_far) - 1)
-    return numbered.where("commit_seq >= 0").drop("header")
+    so_far = Window.partitionBy("repo", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("repo").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = lines.groupBy("repo", "part").agg(F.count_if("header").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    numbered = lines.withColumn("inside", F.sum(F.col("header").cast("bigint")).over(so_far)).join(before.drop("n"), ["repo", "part"])
+    return numbered.withColumn("commit_seq", F.col("before") + F.col("inside") - 1).where("commit_seq >= 0").drop("header", "place", "inside", "before", "part")
 
 
 def commits_of(lines: DataFrame) -> DataFrame:
@@ -103,9 +108,10 @@ def changes_of(lines: DataFrame) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """repo (from the file's name) and log of landed log files, each read whole."""
+    """repo, log and part of landed log files ``<repo>.log`` or, for long logs, ``<repo>.log.<part>``, each read whole."""
     raw = spark.read.text(path, wholetext=True).withColumn("_f", F.input_file_name())
-    return raw.select(F.regexp_extract("_f", r"([^/]+?)(\.log)?$", 1).alias("repo"), F.col("value").alias("log"))
+    name = r"([^/]+?)(?:\.log(?:\.([0-9]+))?)?$"
+    return raw.select(F.regexp_extract("_f", name, 1).alias("repo"), F.coalesce(F.regexp_extract("_f", name, 2).try_cast("bigint"), F.lit(0)).alias("part"), F.col("value").alias("log"))
 
 
 def parse_exemplars(lines: DataFrame) -> DataFrame:

@@ -11,27 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..jobs import workflows
-from ..operators import merge
 from ..sources import readers
 
 
-def current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The current table below ``root``, or None before the first batch."""
-    pointer = f"{root}/current"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(pointer).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(pointer)):
-        return None
-    latest = spark.read.json(pointer, schema="batch bigint, path string").orderBy("batch", ascending=False).first()
-    return spark.read.parquet(latest.path) if latest else None
-
-
 def upsert_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     """Merge one micro-batch. A batch that is delivered again gives the same table."""
-    spark = batch.sparkSession
-    rows = merge.prefer_enriched(readers.projects_of(batch).selectExpr("*", "0 AS source_no")).drop("source_no")
-    table = current(spark, root)
-    path = workflows.store(rows if table is None else merge.merge_upsert_rules(table.select(*rows.columns), rows), f"{root}/tables")
-    spark.createDataFrame([(batch_id, path)], "batch bigint, path string").coalesce(1).write.mode("append").json(f"{root}/current")
+    workflows.upsert_projects(readers.projects_of(batch), root, batch_id)
 
 
 def stream_upserts(spark: SparkSession, landing: str, root: str, **trigger) -> StreamingQuery:

@@ -144,6 +144,16 @@ def test_log(spark):
     assert [(f.commit_seq, f.path, f.added, f.removed) for f in files] == [(0, "main.rs", 100, 0), (1, "logo.png", 0, 0), (1, "lib.py", 10, 5)]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 5])
+def test_a_log_in_parts_reads_like_the_whole(spark, size):
+    lines = [line for k in range(7) for line in [f"c{k}\0{1700000000 + k}\0s{k}\0", *(f"{j}\t0\tf{k}_{j}.rs" for j in range(k % 4))]]
+    cut = ["\n".join(lines[i : i + size]) for i in range(0, len(lines), size)]
+    whole = readers.log_lines(spark.createDataFrame([("r", "\n".join(lines))], "repo string, log string"))
+    parts = readers.log_lines(spark.createDataFrame([("r", n, text) for n, text in enumerate(cut)], "repo string, part int, log string"))
+    for rows in (lambda x: readers.commits_of(x).orderBy("commit_seq"), lambda x: readers.changes_of(x).orderBy("commit_seq", "file_seq").drop("file_seq")):
+        assert rows(whole).collect() == rows(parts).collect()
+
+
 def test_readers_of_files(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"full_name":"a/b","stargazers_count":5}\n{"full_name":"c/d","forks_count":null}\n')
     assert [(r.full_name, r.stars, r.forks) for r in readers.read_repo_listing(spark, str(tmp_path / "r.json")).orderBy("full_name").collect()] == [("a/b", 5, 0), ("c/d", 0, 0)]
@@ -157,7 +167,8 @@ def test_readers_of_files(spark, tmp_path):
     assert {(r.slug, r.label) for r in readers.read_origins(spark, str(tmp_path / "o.txt")).collect()} == {("a/b", "two | three")}
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "x.log").write_text("a\n")
-    assert [(r.repo, r.log) for r in readers.read_logs(spark, str(tmp_path / "logs")).collect()] == [("x", "a\n")]
+    (tmp_path / "logs" / "x.y.log.12").write_text("b\n")
+    assert sorted((r.repo, r.part, r.log) for r in readers.read_logs(spark, str(tmp_path / "logs")).collect()) == [("x", 0, "a\n"), ("x.y", 12, "b\n")]
 
 
 def test_stored_projects_of_any_age(spark, tmp_path):
@@ -307,6 +318,7 @@ def test_shards_prefer_the_furthest_and_then_the_earliest(spark):
     one_, two = projects(spark, [{"repo_url": "a", "stars": 2, "history_status": "ok"}, {"repo_url": "b", "stars": 2, "history_status": "ok", "history_attempted_at": "1"}]), projects(spark, [{"repo_url": "a", "stars": 3, "history_status": "ok"}, {"repo_url": "z", "stars": 3}])
     out = {r.repo_url: (r.stars, r.history_status, r.history_attempted_at) for r in merge.merge_shards(base, [one_, two]).collect()}
     assert out == {"a": (2, "ok", "9"), "b": (1, "ok", "1"), "z": (3, None, None)}
+    assert {r.source_no: r.merged for r in merge.merged_counts(base, [one_, two]).collect()} == {1: 1, 2: 0}
 
 
 def test_attempts_and_backlog(spark):
@@ -328,6 +340,10 @@ def test_listing(spark):
     assert listing.search_listing(rows, " GO ").count() == 5 and listing.search_listing(rows, " ").count() == 10
     lines = [r.value for r in listing.publish_listing(flagged).collect()]
     assert len(lines) == 9 and '"repo_url":"3"' in lines[0] and "ai_agents" not in lines[0]
+    import json
+
+    published = [json.loads(line) for line in lines]
+    assert all(r["description"] is None and r["unsafe_percentage"] is None and r["original_language"] in ("C", "Go") and "lines_added" not in r for r in published)
 
 
 def test_reclassify_drops_what_is_neither(spark):

@@ -1,3 +1,5 @@
+from langshift.jobs import workflows
+from langshift.sources import tables
 from langshift.streaming import upserts
 from tests.test_domain import projects
 
@@ -8,5 +10,16 @@ def test_landed_shards_become_the_table(spark, tmp_path):
     upserts.stream_upserts(spark, landing, root).awaitTermination()
     projects(spark, [{"repo_url": "a", "stars": 5, "first_detected": "2"}, {"repo_url": "a", "stars": 7, "history_status": "ok"}, {"repo_url": "c"}]).write.mode("append").parquet(landing)
     upserts.stream_upserts(spark, landing, root).awaitTermination()
-    table = {r.repo_url: (r.stars, r.history_status, r.first_detected) for r in upserts.current(spark, root).collect()}
+    table = {r.repo_url: (r.stars, r.history_status, r.first_detected) for r in tables.current(spark, root).collect()}
     assert table == {"a": (7, "ok", "1"), "b": (1, None, "f"), "c": (0, None, "f")}
+
+
+def test_batches_are_written_beside_the_table_and_old_versions_retired(spark, tmp_path):
+    root = f"{tmp_path}/root"
+    assert tables.current(spark, root) is None
+    for stars in (1, 2, 3):
+        workflows.upsert_projects(projects(spark, [{"repo_url": "a", "stars": stars, "first_detected": str(stars)}, {"repo_url": f"b{stars}"}]), root)
+    table = {r.repo_url: (r.stars, r.first_detected) for r in tables.current(spark, root).collect()}
+    assert table == {"a": (3, "1"), "b1": (0, "f"), "b2": (0, "f"), "b3": (0, "f")}
+    assert tables.retire(spark, root) == 1 and tables.current(spark, root).count() == 4
+    assert tables.retire(spark, root) == 0
