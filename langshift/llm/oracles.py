@@ -75,4 +75,47 @@ FROM docs LEFT JOIN sequences s USING (r) LEFT JOIN (SELECT r, rest AS rest, fou
 """
 
 
-ORACLES = {"op5_exact_dedup": EXACT_DEDUP, "op7_warc": WARC, "op10_licenses": licenses()}
+FILTER_AUDIT = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+split AS (SELECT doc_id, part, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words, min(doc_id) OVER (PARTITION BY t) AS first_id FROM texts),
+flags AS (
+  SELECT doc_id, part, len(words) < 50 AS a, 100 * len(list_distinct(words)) < 65 * len(words) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > first_id, false) AS e FROM split),
+said AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+docs AS (
+  SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM flags LEFT JOIN said USING (doc_id)),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT concat(p.x, q.x, r.x, s.x, t.x) AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+replayed AS (
+  SELECT part, filter_order, good, toxic, fails, coalesce(list_min(list_transform(list_filter(string_split(fails, ''), lambda f: f <> ''), lambda f: instr(filter_order, f))), 6) AS first_step FROM docs, orders),
+steps AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM replayed),
+counted AS (
+  SELECT part, filter_order, step::INTEGER AS step, filter_order[step] AS filter, count_if(first_step > step)::BIGINT AS kept, count_if(first_step = step)::BIGINT AS removed,
+         count_if(first_step < step AND contains(fails, filter_order[step]))::BIGINT AS redundant, count_if(fails = filter_order[step])::BIGINT AS unique_fails,
+         count_if(first_step = step AND good)::BIGINT AS good_lost, count_if(first_step = step AND toxic)::BIGINT AS toxic_lost
+  FROM steps GROUP BY ALL)
+SELECT * EXCLUDE (filter), (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM counted
+"""
+
+
+HARD_NEGATIVES = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+  FROM usable a JOIN usable c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM scored WHERE same) WHERE r <= 5),
+ranked AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+
+ORACLES = {"op5_exact_dedup": EXACT_DEDUP, "op7_warc": WARC, "op10_licenses": licenses(), "op12_hard_negatives": HARD_NEGATIVES, "op13_filter_audit": FILTER_AUDIT}
