@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, common, exact_dedup, filter_audit, hard_negatives, html_extract, langid, license_scan, packing, simhash, token_count, warc_zip
+from . import ann, bpe, common, exact_dedup, filter_audit, hard_negatives, html_extract, langid, license_scan, packing, quality, simhash, token_count, warc_zip
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +72,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
@@ -82,4 +86,4 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack, op2_language, op3_nearest, op4_extract, op5_exact_dedup, op6_bpe, op7_warc, op8_token_counts, op9_simhash, op10_licenses, op12_hard_negatives, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_pack, op2_language, op3_nearest, op4_extract, op5_exact_dedup, op6_bpe, op7_warc, op8_token_counts, op9_simhash, op10_licenses, op11_quality, op12_hard_negatives, op13_filter_audit)}
