@@ -185,7 +185,7 @@ def joined(candidates: DataFrame, anchors: DataFrame, by_bucket: bool, search: C
     spark = anchors.sparkSession
     bucket = F.col("bucket") if by_bucket else F.lit(0)
     key = ["dim", "cell", "bucket"]
-    candidates = candidates.withColumn("bucket", bucket).withColumn("ids", F.col("ids"))
+    candidates = candidates.withColumn("bucket", bucket)
     anchors = anchors.withColumnRenamed("home", "cell").withColumn("bucket", bucket)
     asked = anchors.groupBy(*key).agg(F.count(F.lit(1)).alias("a"))
     sizes = candidates.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).join(asked, key).collect()
@@ -227,9 +227,10 @@ def mine(
     scores come first, ties by the smaller id; fewer rows: all of them. ``label`` may replace ``label_col``.
 
     No part take rows with a null id, label or vector, with a null or non-finite component, or with a norm whose
-    square no long holds (2^62). Only vectors of one length are compared. Rows that repeat id, label and vector count once; rows of
-    one id with another vector or label are rows of their own, as candidates and anchors. Negative positive scores
-    have no negatives. Anchors without positives, or positives without negatives, give no rows. No rows: none out.
+    square is 2^62 or more. Only vectors of one length are compared. Rows that repeat id, label and vector count
+    once; rows of one id with another vector or label are rows of their own, as candidates and anchors. Positives
+    with a negative score have no negatives. Anchors without positives, or positives without negatives, give no
+    rows. No rows: none out. Other columns are not read.
     """
     label = F.col(label_col) if label is None else label
     spark, top, bottom = vectors.sparkSession, *least
@@ -284,8 +285,9 @@ def mine(
     def reaches(anchors: DataFrame, by_bucket: bool) -> dict[tuple[int, int, int], tuple[float, float]]:
         """Bounds of each cell from its anchors' ``need`` (the smallest product that still counts; null: any)."""
         far = F.sqrt(F.greatest(F.aggregate("v", F.lit(float(square)), lambda s, x: s + x.cast("double") * x.cast("double")) - 2.0 * F.col("need"), F.lit(0.0)))
+        far = F.when(F.col("need").isNull(), float("inf")).otherwise(far)
         group = F.col("bucket") if by_bucket else F.lit(0).alias("bucket")
-        bounds = anchors.groupBy("dim", "home", group).agg(F.max("away").alias("radius"), F.max(F.coalesce(far, F.lit(float("inf")))).alias("reach")).collect()
+        bounds = anchors.groupBy("dim", "home", group).agg(F.max("away").alias("radius"), F.max(far).alias("reach")).collect()
         return {(r.dim, r.home, r.bucket): (r.radius, r.reach) for r in bounds}
 
     same = ["anchor", "label", "v"]
