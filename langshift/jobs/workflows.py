@@ -149,9 +149,9 @@ def published(projects: DataFrame, exemplars: DataFrame, origins: DataFrame) ->
     return rows.orderBy(*listing.listing_order())
 
 
-def upsert_projects(batch: DataFrame, root: str, batch_no: int | None = None) -> str:
-    """Merge scored projects into the table below ``root`` and make the result current; returns its path. Of rows
-    with one repo_url the furthest counts."""
-    rows = merge.prefer_enriched(batch.withColumn("source_no", F.lit(0))).drop("source_no")
-    table = tables.current(batch.sparkSession, root)
-    return tables.replace(rows if table is None else merge.merge_upsert_rules(table.select(*rows.columns), rows), root, batch_no)
+def upsert_projects(batch: DataFrame, root: str, *, deletes: DataFrame | None = None, stream: tuple[str, int] | None = None, buckets: int = tables.BUCKETS) -> tables.Version:
+    """Merge scored projects into the table below ``root``, drop the keys in ``deletes`` (repo_url), and make the result
+    current; returns its version. Of rows with one repo_url the furthest counts, rows without one don't. ``stream``: see
+    ``tables.change``."""
+    rows = merge.prefer_enriched(batch.where("repo_url is not null").withColumn("source_no", F.lit(0))).drop("source_no")
+    return tables.change(rows, root, merge.merge_upsert_rules, merge.merge_sent_batch, deletes=deletes, stream=stream, buckets=buckets)

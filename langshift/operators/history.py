@@ -1,12 +1,19 @@
 """What a repository's commits say: language mix over time, transitions, and the work in between.
 
-Commits and file changes stay in long form, one row each. The running line counts partition by
-(repo, language), everything after the sampling is small: at most about twice the sample points for
+Commits and file changes stay in long form, one row each. The running line counts are a scan over ranges of
+(repo, language, commit), everything after the sampling is small: at most about twice the sample points for
 each repository and language.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +23,8 @@ from ..functions import numbers, paths, text
 
 ORDER = ["commit_seq", "file_seq"]
 
-#: Commits whose file changes one task sorts together.
-BLOCK_COMMITS = 4096
+#: Repositories whose sample steps are sent to every task at most.
+SENT_REPOS = 1_000_000
 
 TWO_DAYS = 48 * 3600
 
@@ -35,26 +42,102 @@ def with_language(changes: DataFrame) -> DataFrame:
     return changes.withColumn("lang", paths.language_from_path(F.col("path"))).where("lang is not null")
 
 
-def running_net_lines(changes: DataFrame, block: int = BLOCK_COMMITS) -> DataFrame:
+def segment_scan(delta: np.ndarray, new: np.ndarray, total: int, low: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of ``delta`` and their lowest values so far, both anew from each place where ``new`` holds; what comes
+    before the first goes on from ``total`` and ``low``."""
+    sums = np.cumsum(delta)
+    starts = np.flatnonzero(new)
+    segment = np.cumsum(new)
+    before = np.concatenate([[-total], sums[starts] - delta[starts]])
+    s = sums - before[segment]
+    # Each segment lies below all earlier ones by more than they spread, so that one running minimum serves all.
+    span = int(s.max()) - min(int(s.min()), low) + 1
+    if span * (int(segment[-1]) + 2) < 1 << 62:
+        shift = segment * span
+        lowest = np.minimum.accumulate(np.concatenate([[low], s - shift]))[1:] + shift
+    else:
+        parts = np.split(s, starts)
+        parts = [np.minimum.accumulate(p) if len(p) else p for p in parts]
+        parts[0] = np.minimum(parts[0], low)
+        lowest = np.concatenate(parts)
+    return s, lowest
+
+
+#: Above any sum: no low yet.
+NO_LOW = 1 << 60
+
+
+def running_net_lines(changes: DataFrame) -> DataFrame:
     """Net lines of each (repo, lang) after every file, never below zero: repo, lang, commit_seq,
     file_seq, net.
 
     A sum that is clamped at zero after each step is the plain running sum less its lowest value so far,
-    where that is negative. Both are prefixes of an associative operation, so a long history need not
-    pass through one task: sums and lows are taken within blocks of commits (one shuffle, one sort),
-    carried over the blocks of a repository (one row each), and added back by the same key.
+    where that is negative. Both are prefixes of an associative operation, so that a segmented scan does: the changes are
+    dealt and sorted once, by ranges of (repo, lang, commit, file), whatever share one repository has; each task
+    takes sums and lows along its own rows; and for each task a pair for its first and its last
+    (repo, lang) says what goes on in the next. Those pairs, two rows a task, are added up on the driver.
     """
-    key = ["repo", "lang", "block"]
-    rows = changes.withColumn("block", F.floor(F.col("commit_seq") / F.lit(block)))
-    inside = Window.partitionBy(*key).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("s", F.sum(F.col("added") - F.col("removed")).over(inside)).withColumn("low", F.min("s").over(inside))
-    earlier = Window.partitionBy("repo", "lang").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(*key).agg(F.sum(F.col("added") - F.col("removed")).alias("total"), F.min("s").alias("lowest"))
-    blocks = blocks.withColumn("base", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
-    blocks = blocks.withColumn("base_low", F.coalesce(F.min(F.col("base") + F.col("lowest")).over(earlier), F.lit(0)))
-    whole = rows.join(blocks.select(*key, "base", "base_low"), key)
-    low = F.least(F.lit(0), F.col("base_low"), F.col("base") + F.col("low"))
-    return whole.select("repo", "lang", *ORDER, (F.col("base") + F.col("s") - low).alias("net"))
+    spark = changes.sparkSession
+    kinds = {c: changes.schema[c].dataType.simpleString() for c in ("repo", "lang", *ORDER)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        names = ["repo", "lang", *ORDER, "s", "low", "task", "head", "lasts"]
+        key, total, low, head, first = None, 0, NO_LOW, True, None
+        empty = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            empty = batch.slice(0, 0)
+            repo, lang = batch.column(0), batch.column(1)
+            new = np.zeros(n, dtype=bool)
+            for column in (repo, lang):
+                same = pc.equal(column.slice(1), column.slice(0, n - 1))
+                null = pc.and_(pc.is_null(column.slice(1)), pc.is_null(column.slice(0, n - 1)))
+                new[1:] |= ~(np.asarray(pc.fill_null(same, False)) | np.asarray(null))
+            own = (repo[0].as_py(), lang[0].as_py())
+            if key is not None and own != key:
+                if head:
+                    first, head = (key, total, low), False
+                total, low = 0, NO_LOW
+            s, lowest = segment_scan(batch.column(4).to_numpy(), new, total, low)
+            heads = np.zeros(n, dtype=bool)
+            if head:
+                end = int(np.argmax(new)) if new.any() else n
+                heads[:end] = True
+                if end < n:
+                    first, head = (own, int(s[end - 1]), int(lowest[end - 1])), False
+            key, total, low = (repo[n - 1].as_py(), lang[n - 1].as_py()), int(s[-1]), int(lowest[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(s), pa.array(lowest), pa.array(np.full(n, task, np.int32)), pa.array(heads), pa.nulls(n, pa.bool_())], names)
+        if key is None:
+            return
+        ends = [(key, total, low)] if first is None else [first, (key, total, low)]
+        columns = [pa.array([e[0][0] for e in ends], empty.column(0).type), pa.array([e[0][1] for e in ends], empty.column(1).type), *(pa.nulls(len(ends), empty.column(k).type) for k in (2, 3))]
+        columns += [pa.array([e[k] for e in ends], pa.int64()) for k in (1, 2)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([task] * len(ends), pa.int32()), pa.array([True, False][: len(ends)]), pa.array([False, True][-len(ends) :])], names)
+
+    rows = changes.select("repo", "lang", *ORDER, (F.col("added") - F.col("removed")).cast("bigint").alias("delta"))
+    rows = rows.repartitionByRange("repo", "lang", *ORDER).sortWithinPartitions("repo", "lang", *ORDER)
+    fields = ", ".join(f"{c} {k}" for c, k in kinds.items())
+    scanned = shared.cut_lineage(rows.mapInArrow(run, f"{fields}, s bigint, low bigint, task int, head boolean, lasts boolean"))
+    ends: dict[int, dict[bool, tuple]] = {}
+    for r in scanned.where("lasts is not null").collect():  # two for each task at most
+        ends.setdefault(r.task, {})[r.lasts] = ((r.repo, r.lang), r.s, r.low)
+    carried, before = [], (None, 0, NO_LOW)
+    for task in sorted(ends):
+        last = ends[task][True]
+        first = ends[task].get(False, last)
+        if first[0] == before[0]:
+            carried.append((task, before[1], before[2]))
+        if False in ends[task] or last[0] != before[0]:
+            before = last
+        else:
+            before = (last[0], before[1] + last[1], min(before[2], before[1] + last[2]))
+    carry = F.broadcast(spark.createDataFrame(carried, "task int, base bigint, base_low bigint").withColumn("head", F.lit(True)))
+    base, base_low = F.coalesce("base", F.lit(0)), F.coalesce("base_low", F.lit(0))
+    net = base + F.col("s") - F.least(F.lit(0), base_low, base + F.col("low"))
+    return scanned.where("lasts is null").join(carry, ["task", "head"], "left").select("repo", "lang", *ORDER, net.alias("net"))
 
 
 def composition_samples(commits: DataFrame, points: int | Column = rules.SAMPLE_POINTS) -> DataFrame:
@@ -73,14 +156,21 @@ def composition_samples(commits: DataFrame, points: int | Column = rules.SAMPLE_
 def composition_asof(net: DataFrame, samples: DataFrame, commits: DataFrame) -> DataFrame:
     """repo, sample_no, commit_seq, lang, net: each language's last value at or before each sample.
 
-    Each change goes to the first sample at or after it (arithmetic on the step, no range join), the
-    last one of each bucket stays, and the values are carried forward over the samples of the
-    repository. The grid of samples and languages is bounded by the sample points.
+    Each change goes to the first sample at or after it (arithmetic on the step, no range join). The last value of each
+    bucket is taken where the change lies: the steps are sent to the changes (one row for each repository, if they are few
+    enough), and the changes come out of ``running_net_lines`` in order, so that a task is left with a row for each
+    bucket, and only those are shuffled to merge the buckets that tasks share. Then values are carried forward over
+    the samples of the repository. The grid of samples and languages is bounded by the sample points.
     """
-    shape = samples.groupBy("repo").agg(F.max("sample_no").alias("last_no"), F.max("commit_seq").alias("last_seq"), F.max(F.when(F.col("sample_no") == 1, F.col("commit_seq"))).alias("second"))
+    shape = samples.groupBy("repo").agg(F.max("sample_no").alias("last_no"), F.max(F.when(F.col("sample_no") == 1, F.col("commit_seq"))).alias("second"))
+    shape = shared.cut_lineage(shape)
+    sent = F.broadcast(shape) if shape.count() <= SENT_REPOS else shape.hint("merge")
     step = F.coalesce("second", F.lit(1))
-    placed = net.join(shape, "repo").withColumn("sample_no", F.least(F.ceil(F.col("commit_seq") / step), F.col("last_no")).cast("int"))
-    latest = placed.groupBy("repo", "lang", "sample_no").agg(F.max_by("net", F.struct(*ORDER)).alias("net"))
+    placed = net.join(sent, "repo").withColumn("sample_no", F.least(F.ceil(F.col("commit_seq") / step), F.col("last_no")).cast("int"))
+    # A number keeps the running maximum in place, where a struct would need another sort.
+    place = F.col("commit_seq").cast("decimal(18,0)") * F.lit(Decimal(10) ** 19) + F.col("file_seq").cast("decimal(19,0)")
+    latest = placed.groupBy("repo", "lang", "sample_no").agg(F.max_by("net", place).alias("net"))
+    latest = shared.cut_lineage(latest)  # small, and read twice
     grid = samples.join(latest.select("repo", "lang").distinct(), "repo")
     so_far = Window.partitionBy("repo", "lang").orderBy("sample_no").rowsBetween(Window.unboundedPreceding, 0)
     filled = grid.join(latest, ["repo", "lang", "sample_no"], "left").withColumn("net", F.coalesce(F.last("net", True).over(so_far), F.lit(0)))

@@ -20,12 +20,8 @@ KEPT_IF_NULL = [
 NEVER_CHANGED = ["first_detected"]
 
 
-def merge_upsert_rules(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """The table after the batch (one row for each repo_url) is written into it.
-
-    Batch rows replace stored ones, but for ``KEPT_IF_NULL``, ``NEVER_CHANGED`` and agents, which an
-    empty list doesn't replace. One full outer join by key; both sides may be bucketed by it."""
-    old, new = stored.alias("o"), batch.alias("n")
+def merged_columns(names: list[str]) -> list[Column]:
+    """The columns of a join of stored rows (alias o) and batch rows (alias n) by repo_url, either of which may be missing."""
     both = F.col("o.repo_url").isNotNull() & F.col("n.repo_url").isNotNull()
 
     def value(name: str) -> Column:
@@ -40,7 +36,25 @@ def merge_upsert_rules(stored: DataFrame, batch: DataFrame) -> DataFrame:
             out = F.when(F.col("n.repo_url").isNotNull(), n).otherwise(o)
         return out.alias(name)
 
-    return old.join(new, F.col("o.repo_url") == F.col("n.repo_url"), "full_outer").select(*map(value, stored.columns))
+    return list(map(value, names))
+
+
+def merge_upsert_rules(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """The table after the batch (one row for each repo_url) is written into it.
+
+    Batch rows replace stored ones, but for ``KEPT_IF_NULL``, ``NEVER_CHANGED`` and agents, which an
+    empty list doesn't replace. One full outer join by key; both sides may be bucketed by it."""
+    joined = stored.alias("o").join(batch.alias("n"), F.col("o.repo_url") == F.col("n.repo_url"), "full_outer")
+    return joined.select(*merged_columns(stored.columns))
+
+
+def merge_sent_batch(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """``merge_upsert_rules`` for a batch that is small enough to be sent to every task (the caller has checked that):
+    stored rows stay where they are. What is new is what no stored row has met; only keys are read for that."""
+    updated = stored.alias("o").join(F.broadcast(batch.alias("n")), F.col("o.repo_url") == F.col("n.repo_url"), "left").select(*merged_columns(stored.columns))
+    keys = batch.select("repo_url")
+    met = stored.select("repo_url").join(F.broadcast(keys), "repo_url", "left_semi")
+    return updated.unionByName(batch.select(*stored.columns).join(F.broadcast(met), "repo_url", "left_anti"))
 
 
 def preserve_first_seen(batch: DataFrame, stored: DataFrame) -> DataFrame:

@@ -12,11 +12,10 @@ from .adapters import Tables
 from .functions import numbers, paths, text, vectorized
 from .jobs import workflows
 from .operators import classify, discovery, history, listing, merge, scoring
-from .sources import readers
+from .sources import readers, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NOW = "2025-01-01"
-LOG_COMMITS = 256
 SHOWN = ["repo_url", "stars", "confidence", "project_kind", "original_language", "unsafe_percentage", "lines_added", "history_status", "history_attempted_at", "history_attempts", "first_detected", "last_seen", "transition_magnitude", "history_from_language"]
 
 
@@ -61,20 +60,21 @@ def read_languages(t: Tables) -> DataFrame:
     return readers.languages_of(maps)
 
 
-def logs(t: Tables) -> DataFrame:
-    """The log of each repository as the log command prints it, in parts of ``LOG_COMMITS`` commits."""
+def landed_logs(t: Tables) -> str:
+    """The log of each repository as the log command prints it, landed as text below ``repo=<name>``."""
     nul = F.lit("\0")
     heads = t.commits.select("repo", "commit_seq", F.lit(-1).cast("bigint").alias("f"), F.concat(F.lit("abc"), nul, F.col("ts"), nul, "subject", nul, F.array_join("coauthors", "\u0001")).alias("line"))
     number = F.when(F.col("added") % 50 == 0, F.lit("-")).otherwise(F.col("added").cast("string"))
     files = t.changes.select("repo", "commit_seq", F.col("file_seq").cast("bigint").alias("f"), F.concat(number, F.lit("\t"), F.col("removed"), F.lit("\t"), "path").alias("line"))
-    lines = F.sort_array(F.collect_list(F.struct("commit_seq", "f", "line")))
-    part = F.floor(F.col("commit_seq") / LOG_COMMITS).alias("part")
-    return heads.unionByName(files).groupBy("repo", part).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("log"))
+    path = shared.shared_dir(t.spark)
+    ordered = heads.unionByName(files).repartitionByRange("repo", "commit_seq", "f").sortWithinPartitions("repo", "commit_seq", "f")
+    ordered.select("repo", F.col("line").alias("value")).write.partitionBy("repo").text(path)
+    return path
 
 
 @query
 def parse_numstat_log(t: Tables) -> DataFrame:
-    lines = readers.log_lines(logs(t))
+    lines = shared.cut_lineage(readers.read_logs(t.spark, landed_logs(t)))  # read for commits and for changes
     sums = readers.changes_of(lines).groupBy("repo", "commit_seq").agg(F.count(F.lit(1)).alias("files"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.max("path").alias("last_path"))
     return readers.commits_of(lines).select("repo", "commit_seq", "ts", "subject", joined("coauthors").alias("coauthors")).join(sums, ["repo", "commit_seq"], "left")
 
@@ -98,7 +98,11 @@ def load_projects(t: Tables) -> DataFrame:
 
 @query
 def upsert_projects(t: Tables) -> DataFrame:
-    return stored(merge.merge_upsert_rules(t.projects(), t.projects("shard_2")))
+    """Two batches through the table on disk: the second changes what it names and leaves the rest."""
+    root = shared.shared_dir(t.spark)
+    for name in ("stored", "shard_2"):
+        workflows.upsert_projects(t.projects(name), root)
+    return stored(tables.current(t.spark, root))
 
 
 @query

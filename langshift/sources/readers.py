@@ -6,12 +6,21 @@ and a function on DataFrames that does the work, which jobs can apply to rows fr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import shared
 from ..functions import text
 
+#: Blocks of logs (about 128 MB each) whose counts are sent to every task at most.
+MOST_BLOCKS = 500_000
+
 REPO_LISTING = "full_name string, html_url string, description string, readme string, language string, stargazers_count bigint, forks_count bigint, open_issues_count bigint"
 ISSUE_LISTING = "title string, html_url string, repository_url string, pull_request string, state string"
 LANGUAGES = "full_name string, languages map<string, bigint>"
@@ -71,25 +80,88 @@ def _whole(token: Column, sign: str) -> Column:
     return F.when(token.rlike(rf"^{sign}[0-9]+$"), token.try_cast("bigint"))
 
 
-def log_lines(logs: DataFrame) -> DataFrame:
+BLOCK = ["repo", "part", "file", "start"]
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` with place (from 0) and inside (headers so far), both counted within each block.
+
+    The lines of a block follow each other in one task, as a file or a cell gives them, so this is a pass over the
+    tasks as they are: nothing is shuffled or sorted, and a batch is held at a time."""
+    fields = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in lines.columns)
+    names = [c for c in BLOCK if c in lines.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, place, inside = None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, dtype=bool)
+            keys = [batch.column(c) for c in names]
+            for key in keys:
+                same = pc.equal(key.slice(1), key.slice(0, batch.num_rows - 1))
+                new[1:] |= ~np.asarray(pc.fill_null(same, False))
+            first = tuple(k[0].as_py() for k in keys)
+            if first != last:
+                place = inside = 0
+            starts = np.flatnonzero(new)
+            at = np.arange(batch.num_rows)
+            since = np.maximum.accumulate(np.where(new, at, -place))
+            counts = np.cumsum(np.asarray(batch.column("header")).astype(np.int64))
+            before = np.concatenate([[-inside], counts[starts - 1]])[np.cumsum(new)]
+            places, headers = at - since, counts - before
+            last, place, inside = tuple(k[-1].as_py() for k in keys), int(places[-1]) + 1, int(headers[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places), pa.array(headers)], [*batch.schema.names, "place", "inside"])
+
+    return lines.mapInArrow(run, f"{fields}, place long, inside long")
+
+
+def lines_of(lines: DataFrame) -> DataFrame:
     """The lines of each log with the number of the commit that they belong to (from 0; lines before the
     first header are dropped): repo, line_no, commit_seq, parts (of a header, else null), line.
 
-    ``logs``: repo, log and, where a log comes in parts (cut between lines), part, its number. A line is a header
-    if its second NUL-separated part is a time. Headers are counted within each part; the counts of a
-    repository's parts (one row each) are then carried over them, so that a long log is spread over many tasks.
+    ``lines``: repo, part, file, start (which tell blocks apart and give their order) and line, block by block in the
+    order of the log. A line is a header if its second NUL-separated part is a time. Headers are counted for each
+    block, and the counts (one row for each) carried over a repository's blocks; a block never has to be held, so a single long log
+    is spread over many tasks.
     """
-    part = F.col("part").cast("bigint") if "part" in logs.columns else F.lit(0).cast("bigint")
-    lines = logs.select("repo", part.alias("part"), F.posexplode(F.split("log", "\r?\n")).alias("place", "line")).where("line <> ''")
-    lines = lines.withColumn("line_no", F.shiftleft("part", 32) + F.col("place"))
     parts = F.split("line", "\0", 4)
     header = F.coalesce((F.size(parts) >= 3) & _whole(F.element_at(parts, 2), "[+-]?").isNotNull(), F.lit(False))
-    lines = lines.withColumns({"header": header, "parts": F.when(header, parts)})
-    so_far = Window.partitionBy("repo", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("repo").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = lines.groupBy("repo", "part").agg(F.count_if("header").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    numbered = lines.withColumn("inside", F.sum(F.col("header").cast("bigint")).over(so_far)).join(before.drop("n"), ["repo", "part"])
-    return numbered.withColumn("commit_seq", F.col("before") + F.col("inside") - 1).where("commit_seq >= 0").drop("header", "place", "inside", "before", "part")
+    lines = lines.where("line <> ''").withColumn("header", header)
+    earlier = Window.partitionBy("repo").orderBy("part", "file", "start")
+    blocks = lines.groupBy(*BLOCK).agg(F.count_if("header").alias("n"))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    blocks = shared.cut_lineage(blocks.withColumn("block", F.row_number().over(earlier).cast("bigint")).drop("n"))
+    met = [F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}")) for c in BLOCK]
+    place = F.col("place")
+    if blocks.count() <= MOST_BLOCKS:
+        # Sent to the lines, so that only short keys go along with them.
+        joined = lines.alias("l").join(F.broadcast(blocks.alias("b")), met).select("l.repo", F.col("b.block").alias("part"), "b.before", "l.line", "l.header")
+        found, block = numbered(joined), F.col("part")
+    else:
+        found = numbered(lines).alias("l").join(blocks.alias("b"), met).select("l.*", "b.before", "b.block")
+        block = F.col("block")
+    found = found.withColumn("commit_seq", F.col("before") + F.col("inside") - 1).where("commit_seq >= 0")
+    return found.select("repo", (F.shiftleft(block, 40) + place).alias("line_no"), "commit_seq", F.when(F.col("header"), parts).alias("parts"), "line")
+
+
+def log_lines(logs: DataFrame) -> DataFrame:
+    """``lines_of`` logs that are cells: repo, log and, where a log comes in parts (cut between lines), part, its number."""
+    part = F.col("part").cast("bigint") if "part" in logs.columns else F.lit(0).cast("bigint")
+    return lines_of(logs.select("repo", part.alias("part"), F.lit("").alias("file"), F.lit(0).cast("bigint").alias("start"), F.explode(F.split("log", "\r?\n")).alias("line")))
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """``lines_of`` landed log files, read by blocks: ``<repo>.log``, for long logs also ``<repo>.log.<part>``, or
+    files in folders ``repo=<repo>`` in the order of their names. A file needn't be cut: each task reads the lines that begin in its block."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    own = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.regexp_replace("value", "\r$", "").alias("line")]
+    if "repo" in raw.columns:
+        return lines_of(raw.select(F.col("repo").cast("string").alias("repo"), F.lit(0).cast("bigint").alias("part"), *own))
+    name = r"([^/]+?)(?:\.log(?:\.([0-9]+))?)?$"
+    file = F.col("_metadata.file_name")
+    part = F.coalesce(F.regexp_extract(file, name, 2).try_cast("bigint"), F.lit(0).cast("bigint"))
+    return lines_of(raw.select(F.regexp_extract(file, name, 1).alias("repo"), part.alias("part"), *own))
 
 
 def commits_of(lines: DataFrame) -> DataFrame:
@@ -107,13 +179,6 @@ def changes_of(lines: DataFrame) -> DataFrame:
     return files.select("repo", "commit_seq", F.col("line_no").cast("bigint").alias("file_seq"), F.element_at("cols", 3).alias("path"), number[0].alias("added"), number[1].alias("removed"))
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """repo, log and part of landed log files ``<repo>.log`` or, for long logs, ``<repo>.log.<part>``, each read whole."""
-    raw = spark.read.text(path, wholetext=True).withColumn("_f", F.input_file_name())
-    name = r"([^/]+?)(?:\.log(?:\.([0-9]+))?)?$"
-    return raw.select(F.regexp_extract("_f", name, 1).alias("repo"), F.coalesce(F.regexp_extract("_f", name, 2).try_cast("bigint"), F.lit(0)).alias("part"), F.col("value").alias("log"))
-
-
 def parse_exemplars(lines: DataFrame) -> DataFrame:
     """slug, place from list lines (value, line_no): comments cut, blanks and later repeats dropped."""
     slug = text.trim_space(F.substring_index("value", "#", 1))
