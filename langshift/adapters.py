@@ -89,7 +89,7 @@ FROM {{orders}} JOIN ({REPOS}) r ON r.k = o_custkey
 COMMITS = f"""
 SELECT concat('org/repo', CAST(o_custkey % 25 AS STRING)) AS repo, row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY o_orderdate, o_orderkey) - 1 AS commit_seq,
        (year(o_orderdate) * 372 + month(o_orderdate) * 31 + day(o_orderdate)) * CAST(86400 AS BIGINT) AS ts, {pick("o_orderkey", SUBJECTS)} AS subject,
-       {pick("o_orderkey", TRAILERS)} AS trailer, o_orderkey, o_custkey % 25 AS repo_no, year(o_orderdate) AS y
+       {pick("o_orderkey", TRAILERS)} AS trailer, o_orderkey, o_custkey % 25 AS repo_no, year(o_orderdate) AS y, year(o_orderdate) = 1996 AND month(o_orderdate) = 6 AND day(o_orderdate) < 9 AS ported
 FROM {{orders}}
 """
 
@@ -97,8 +97,8 @@ CHANGES = f"""
 SELECT repo, commit_seq, row_number() OVER (PARTITION BY repo, commit_seq ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) - 1 AS file_seq,
        concat(CASE l_partkey % 19 WHEN 0 THEN 'lib/vendor/' WHEN 1 THEN 'Src/' ELSE 'src/' END, replace(p_name, ' ', '_'), CAST(l_partkey % 50 AS STRING),
               CASE WHEN l_partkey % 29 = 0 THEN '/Makefile' WHEN moved AND l_partkey % 5 < 4 THEN '.rs' ELSE concat('.', {pick("l_partkey", EXTENSIONS)}) END) AS path,
-       CAST(l_quantity * 10 AS BIGINT) AS added, CAST(CASE WHEN y >= 1995 AND repo_no % 3 < 2 AND NOT (moved AND l_partkey % 5 < 4) THEN l_quantity * 14 ELSE l_quantity * 2 END AS BIGINT) AS removed
-FROM (SELECT l.*, p.p_name, c.repo, c.commit_seq, c.y, c.repo_no, (c.repo_no % 3 = 0 AND c.y >= 1995 OR c.repo_no % 7 = 1) AS moved
+       CAST(l_quantity * CASE WHEN moved AND ported THEN 20000 ELSE 10 END AS BIGINT) AS added, CAST(CASE WHEN y >= 1995 AND repo_no % 3 < 2 AND NOT (moved AND l_partkey % 5 < 4) THEN l_quantity * 14 ELSE l_quantity * 2 END AS BIGINT) AS removed
+FROM (SELECT l.*, p.p_name, c.repo, c.commit_seq, c.y, c.repo_no, c.ported, (c.repo_no % 3 = 0 AND c.y >= 1995 OR c.repo_no % 7 = 1 OR c.ported AND c.repo_no % 5 = 2) AS moved
       FROM {{lineitem}} l JOIN ({COMMITS}) c ON l_orderkey = c.o_orderkey JOIN {{part}} p ON l_partkey = p_partkey) x
 """
 

@@ -5,8 +5,9 @@ Each takes and returns DataFrames. Tables are written by ``upsert_projects``, be
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import rules, shared
 from ..functions import numbers, text, vectorized
@@ -91,6 +92,53 @@ def reclassify(projects: DataFrame, origins: DataFrame) -> DataFrame:
     return merge.merge_upsert_rules(kept.select(*rescored.columns), rescored)
 
 
+def score_digest(projects: DataFrame, origins: DataFrame) -> DataFrame:
+    """repo_url and digest of all that a stored project's kind, origin and score follow from: its own columns, its curated
+    origin, and the rules."""
+    inputs = [c for c in candidates_of(projects).columns if not c.startswith("_")]
+    rows = candidates_of(projects).withColumn("_slug", text.normalize_slug(F.col("full_name")))
+    labels = origins.select(F.col("slug").alias("_slug"), F.col("label").alias("_label"))  # curated
+    rows = rows.join(F.broadcast(labels), "_slug", "left")
+    digest = F.sha2(F.to_json(F.struct(*inputs, "_label"), {"ignoreNullFields": "false"}), 256)
+    return rows.select(F.col("html_url").alias("repo_url"), F.concat(F.lit(rules.version() + "-"), digest).alias("digest"))
+
+
+def reclassify_stored(spark: SparkSession, root: str, origins: DataFrame) -> dict[str, int]:
+    """Judge the table below ``root`` anew where that can change anything, and commit the result: rewrites and
+    replacements are written over their old rows, the rest is deleted by key. Returns how many rows were scored and deleted.
+
+    The digest of what a row was scored from is kept in a table of its own (below ``root``/scored). Rows whose digest
+    is the same are left alone; a row whose own inputs the scoring changes (a displaced language taken from its history)
+    is scored again by the next run. The digests are committed last, so a job that ends before scores these rows again.
+    """
+    projects = tables.current(spark, root)
+    if projects is None:
+        return {"scored": 0, "deleted": 0}
+    marks = f"{root}/scored"
+    digests = score_digest(projects, origins)
+    known = tables.current(spark, marks, MARKS)
+    stale = digests if known is None else digests.join(known, ["repo_url", "digest"], "left_anti")
+    stale = shared.cut_lineage(stale)
+    n = stale.count()
+    if not n:
+        return {"scored": 0, "deleted": 0}
+    keys = stale.select("repo_url")
+    asked = projects.join(F.broadcast(keys) if n <= tables.SENT_ROWS else keys.hint("merge"), "repo_url", "left_semi")
+    rescored = shared.cut_lineage(rescore(candidates_of(asked), origins))
+    stays = F.col("project_kind").isin("rewrite", "replacement")
+    gone = shared.cut_lineage(rescored.where(~stays).select("repo_url"))
+    upsert_projects(rescored.where(stays), root, deletes=gone)
+    tables.change(stale, marks, newest, newest, deletes=gone)
+    return {"scored": n, "deleted": gone.count()}
+
+
+MARKS = StructType([StructField("repo_url", StringType()), StructField("digest", StringType())])
+
+
+def newest(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    return stored.join(rows.select("repo_url"), "repo_url", "left_anti").unionByName(rows)
+
+
 def with_unsafe_share(projects: DataFrame, reports: DataFrame | None) -> DataFrame:
     """Projects with ``_slug`` and ``_unsafe``: the share that a landed report (repo, report) gives to one that is
     unmeasured and mostly in the target language, else null. Of several reports, the one with the largest share."""

@@ -49,13 +49,6 @@ def search_listing(projects: DataFrame, query: str) -> DataFrame:
     return projects.where(F.contains(F.lower(F.concat_ws(" ", *parts)), F.lit(wanted)))
 
 
-def listing_page(projects: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One page (from 1) in the given order; pages before the first or after the last give those."""
-    total = projects.count()
-    page = min(max(page, 1), max(1, -(-total // size)))
-    return projects.orderBy(*order).offset((page - 1) * size).limit(size)
-
-
 def display_metrics(projects: DataFrame) -> DataFrame:
     """Whole percentages as shown: confidence, added and removed lines, agents' share, language shares."""
 
@@ -84,9 +77,9 @@ def display_metrics(projects: DataFrame) -> DataFrame:
 PRINTED_NULLS = ["description", "original_language", "unsafe_percentage"]
 
 
-def publish_listing(projects: DataFrame) -> DataFrame:
-    """Listing rows in order, each as a line of JSON in ``value``. Lists are left out where empty, and so are nulls
-    but those of ``PRINTED_NULLS``."""
-    nulls = [F.when(F.col(c).isNull(), F.lit(f'"{c}":null,')) for c in PRINTED_NULLS if c in projects.columns]
-    lists = {c: F.when(F.size(c) > 0, F.col(c)) for c in ("rewrite_prs", "ai_agents") if c in projects.columns}
-    return projects.orderBy(*listing_order()).withColumns(lists).select(F.concat(F.lit("{"), F.concat_ws("", *nulls), F.substring(F.to_json(F.struct(*projects.columns)), 2, 2**31 - 1)).alias("value"))
+def json_line(columns: list[str]) -> Column:
+    """A listing row of these columns as a line of JSON. Lists are left out where empty, and so are nulls but those of
+    ``PRINTED_NULLS``."""
+    nulls = [F.when(F.col(c).isNull(), F.lit(f'"{c}":null,')) for c in PRINTED_NULLS if c in columns]
+    values = [F.when(F.size(c) > 0, F.col(c)).alias(c) if c in ("rewrite_prs", "ai_agents") else F.col(c) for c in columns]
+    return F.concat(F.lit("{"), F.concat_ws("", *nulls), F.substring(F.to_json(F.struct(*values)), 2, 2**31 - 1))

@@ -296,11 +296,20 @@ sm AS (SELECT full_name, max(stars) AS stars, min_by(description, rule_no) FILTE
 oracle("collect_signals", SCANNED, "SELECT full_name, stars, description, html_url, array_to_string(list_transform(sig, lambda s: concat(s.p.kind, '=', s.detail)), ';') AS signals FROM sl JOIN sm USING (full_name)", *ALL_SIGNALS, ONCE)
 oracle("rank_candidates", SCANNED, "SELECT full_name, len(sig)::INTEGER AS n_signals, stars FROM sl JOIN sm USING (full_name) ORDER BY n_signals DESC, stars DESC, full_name LIMIT 500", *ALL_SIGNALS, ONCE)
 oracle("text_evidence", ["stored"], f"SELECT repo_url, {text_points(SIGNALS)} AS evidence FROM a_stored")
-oracle("project_row", ["stored", "origin_lines"], f"""SELECT split_part(full_name, '/', -1) AS name, repo_url, CASE WHEN lower(ol) NOT IN {names([*rules.NOISE_LANGUAGES, 'rust'])} THEN ol END AS original_language,
-{half_up('rust_percentage')} AS rust_percentage, {confidence('kind')} AS confidence, kind AS project_kind, origin AS named_origin, CASE WHEN strong THEN from_language END AS history_from_language,
-CASE WHEN strong THEN history_rust_before END AS history_rust_before, CASE WHEN total_commits_analyzed > 0 THEN total_commits_analyzed END AS total_commits_analyzed, sig[1].url AS source_url,
-len(list_filter(sig, lambda s: s.kind = 'pull-request' AND ({" + ".join(f"CASE WHEN {has_any('lower(' + title_of('s.detail') + ')', p)} THEN {n} ELSE 0 END" for n, p in rules.RELEVANCE)}) > 0))::INTEGER AS prs, '2025-01-01' AS first_detected
-FROM (SELECT *, coalesce(original_language, CASE WHEN strong THEN from_language END) AS ol FROM c5) p""", ORIGINS, CANDIDATES, _evidence())
+RELEVANT = "(" + " + ".join(f"CASE WHEN {has_any('lower(' + title_of('s.detail') + ')', p)} THEN {n} ELSE 0 END" for n, p in rules.RELEVANCE) + ") > 0"
+#: Stored projects have one pull request at most, so that their order needs no SQL.
+PR_TEXT = f"array_to_string(list_transform(list_filter(sig, lambda s: s.kind = 'pull-request' AND {RELEVANT}), lambda s: concat({title_of('s.detail')}, '=', s.url)), ';')"
+PROJECT_ROW = f"""pr AS (SELECT split_part(full_name, '/', -1) AS name, c.repo_url, c.description, c.stars, forks, open_issues, open_prs, CASE WHEN lower(ol) NOT IN {names([*rules.NOISE_LANGUAGES, 'rust'])} THEN ol END AS original_language,
+{half_up('c.rust_percentage')} AS rust_percentage, conf AS confidence, array_to_string(list_transform(sig, lambda s: concat(s.kind, '=', s.detail, '=', s.url)), ';') AS signals, {PR_TEXT} AS rewrite_prs, {PR_TEXT} AS rewrite_pr,
+NULL::DOUBLE AS unsafe_percentage, kind AS project_kind, origin AS named_origin, lines_added, lines_removed, rewrite_velocity, ai_assist_score, coalesce({AGENTS}, '') AS ai_agents, rewrite_duration_days, commit_count,
+CASE WHEN strong THEN from_language END AS history_from_language, CASE WHEN strong THEN c.history_rust_before END AS history_rust_before, CASE WHEN strong THEN c.history_rust_after END AS history_rust_after, c.magnitude AS transition_magnitude,
+CASE WHEN c.total_commits_analyzed > 0 THEN c.total_commits_analyzed END AS total_commits_analyzed, NULL::VARCHAR AS history_status, NULL::VARCHAR AS history_error, NULL::VARCHAR AS history_attempted_at, NULL::BIGINT AS history_attempts,
+coalesce(sig[1].url, c.repo_url) AS source_url, '2025-01-01' AS first_detected, '2025-01-01' AS last_seen
+FROM (SELECT *, coalesce(original_language, CASE WHEN strong THEN from_language END) AS ol, {confidence('kind')} AS conf FROM c5) c JOIN a_stored USING (repo_url))"""
+oracle("project_row", ["stored", "origin_lines"], "SELECT * FROM pr", ORIGINS, CANDIDATES, _evidence(), PROJECT_ROW)
+oracle("reclassify", ["stored", "origin_lines"], """SELECT pr.* REPLACE (s.unsafe_percentage AS unsafe_percentage, coalesce(pr.total_commits_analyzed, s.total_commits_analyzed) AS total_commits_analyzed, s.history_status AS history_status, s.history_error AS history_error,
+  s.history_attempted_at AS history_attempted_at, s.history_attempts AS history_attempts, s.first_detected AS first_detected, s.last_seen AS last_seen)
+FROM pr JOIN a_stored s USING (repo_url) WHERE pr.project_kind IN ('rewrite', 'replacement')""", ORIGINS, CANDIDATES, _evidence(), PROJECT_ROW)
 oracle("score_confidence", ["stored", "origin_lines"], f"SELECT full_name, kind3 AS kind, {confidence('kind3')} AS confidence FROM (SELECT *, CASE length(full_name) % 3 WHEN 0 THEN 'rewrite' WHEN 1 THEN 'replacement' ELSE 'neither' END AS kind3 FROM c5) p", ORIGINS, CANDIDATES, _evidence())
 oracle("select_migration_prs", SCANNED, f"""SELECT full_name, coalesce(urls, '') AS urls FROM sl LEFT JOIN (SELECT full_name, string_agg(url, ',' ORDER BY number, place) AS urls FROM (
   SELECT *, row_number() OVER (PARTITION BY full_name ORDER BY number, place) AS rn FROM (
@@ -433,3 +442,13 @@ oracle("listing_order", ["stored", "exemplar_lines", "origin_lines"], f"SELECT r
 SORTS = {"rewrites": "exemplar DESC, project_kind = 'rewrite' DESC, confidence DESC", "confidence": "exemplar DESC, confidence DESC", "stars": "stars DESC", "recent": "first_detected DESC"}
 oracle("listing_sorts", ["stored", "exemplar_lines"], " UNION ALL ".join(f"(SELECT '{n}' AS sort, repo_url FROM p WHERE {LISTED} ORDER BY {o}, {ORDER} LIMIT 36 OFFSET 36)" for n, o in SORTS.items()), EXEMPLARS, FLAGGED)
 oracle("listing_page", ["stored", "exemplar_lines"], f"SELECT repo_url FROM (SELECT *, row_number() OVER (ORDER BY {ORDER}) - 1 AS n, count(*) OVER () AS total FROM p WHERE {LISTED}) q WHERE n // 24 = (total - 1) // 24", EXEMPLARS, FLAGGED)
+
+#: Columns that a published line may lack, and when it has them; all others are always there.
+SOMETIMES = {c: f"{c} IS NOT NULL" for c in (
+    "named_origin", "lines_added", "lines_removed", "rewrite_velocity", "ai_assist_score", "rewrite_duration_days", "commit_count", "history_from_language", "history_rust_before", "history_rust_after",
+    "transition_magnitude", "total_commits_analyzed", "history_status", "history_error", "history_attempted_at", "history_attempts")}
+SOMETIMES |= {"rewrite_prs": "rewrite_pr_title IS NOT NULL", "rewrite_pr": "rewrite_pr_title IS NOT NULL", "ai_agents": f"coalesce({AGENTS}, '') <> ''"}
+ALWAYS = ["name", "repo_url", "description", "stars", "forks", "open_issues", "open_prs", "original_language", "rust_percentage", "confidence", "signals", "unsafe_percentage", "project_kind", "source_url", "first_detected", "last_seen", "exemplar"]
+KEYS = ", ".join([*map(quoted, ALWAYS), *(f"CASE WHEN {when} THEN {quoted(c)} END" for c, when in SOMETIMES.items())])
+oracle("publish_listing", ["stored", "exemplar_lines"], f"""SELECT row_number() OVER (ORDER BY {ORDER}) - 1 AS rank, array_to_string(list_sort(list_filter([{KEYS}], lambda k: k IS NOT NULL)), ',') AS keys,
+repo_url, description, confidence, stars, exemplar, unsafe_percentage, rewrite_pr_title AS pr_title, coalesce({AGENTS}, '') AS agents FROM p WHERE {LISTED}""", EXEMPLARS, FLAGGED)

@@ -12,7 +12,7 @@ from .adapters import Tables
 from .functions import numbers, paths, text, vectorized
 from .jobs import workflows
 from .operators import classify, discovery, history, listing, merge, scoring
-from .sources import readers, tables
+from .sources import published, readers, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 NOW = "2025-01-01"
@@ -32,6 +32,17 @@ def rounded(name: str, digits: int = 4) -> Column:
     return numbers.round_half_up(F.col(name), digits).alias(name)
 
 
+def flat(rows: DataFrame) -> DataFrame:
+    """All columns of stored projects, with lists as text."""
+    texts = {
+        "signals": joined(F.transform("signals", lambda s: F.concat_ws("=", s["kind"], s["detail"], s["url"])), ";"),
+        "rewrite_prs": joined(F.transform("rewrite_prs", lambda p: F.concat_ws("=", p["title"], p["url"])), ";"),
+        "rewrite_pr": F.concat_ws("=", F.col("rewrite_pr.title"), F.col("rewrite_pr.url")),
+        "ai_agents": joined("ai_agents"),
+    }
+    return rows.select(*(texts[c].alias(c) if c in texts else F.col(c) for c in readers.PROJECT))
+
+
 def stored(rows: DataFrame) -> DataFrame:
     return rows.select(*SHOWN, joined("ai_agents").alias("agents"))
 
@@ -107,7 +118,14 @@ def upsert_projects(t: Tables) -> DataFrame:
 
 @query
 def publish_listing(t: Tables) -> DataFrame:
-    return listing.publish_listing(merge.flag_exemplars(listing.listing_filter(t.projects()), t.exemplars))
+    """The published text, read back by rank: which keys each line has, and some of their values."""
+    root = shared.shared_dir(t.spark)
+    rows = listed(t)
+    published.publish(rows, listing.listing_order(), root, line=listing.json_line(rows.columns))
+    lines = published.lines(t.spark, root)
+    value = F.from_json("value", "repo_url string, description string, confidence double, stars bigint, exemplar boolean, unsafe_percentage double, rewrite_pr struct<title: string>, ai_agents array<string>").alias("x")
+    keys = joined(F.array_sort(F.json_object_keys("value")))
+    return lines.select("rank", keys.alias("keys"), value).select("rank", "keys", "x.repo_url", "x.description", "x.confidence", "x.stars", "x.exemplar", "x.unsafe_percentage", F.col("x.rewrite_pr.title").alias("pr_title"), joined("x.ai_agents").alias("agents"))
 
 
 @query
@@ -563,8 +581,7 @@ def source_link(t: Tables) -> DataFrame:
 @query
 def project_row(t: Tables) -> DataFrame:
     judged = classify.classify_kind(workflows.candidates_of(t.projects()), t.origins)
-    rows = scoring.project_row(judged, F.lit(NOW))
-    return rows.select("name", "repo_url", "original_language", "rust_percentage", "confidence", "project_kind", "named_origin", "history_from_language", "history_rust_before", "total_commits_analyzed", "source_url", F.size("rewrite_prs").alias("prs"), "first_detected")
+    return flat(scoring.project_row(judged, F.lit(NOW)))
 
 
 @query
@@ -609,7 +626,11 @@ def mark_history_attempt(t: Tables) -> DataFrame:
 
 @query
 def reclassify(t: Tables) -> DataFrame:
-    return stored(workflows.reclassify(t.projects(), t.origins))
+    """The table on disk after it is judged anew."""
+    root = shared.shared_dir(t.spark)
+    workflows.upsert_projects(t.projects(), root)
+    workflows.reclassify_stored(t.spark, root, t.origins)
+    return flat(tables.current(t.spark, root, t.projects().schema))
 
 
 def with_histories(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -656,18 +677,21 @@ def listing_order(t: Tables) -> DataFrame:
     return workflows.published(t.projects(), t.exemplars, t.origins).select("repo_url", "exemplar", "project_kind", "confidence", "stars", "named_origin")
 
 
-def sorted_by(t: Tables, order: str) -> DataFrame:
-    return listing.listing_page(listed(t), listing.listing_sorts(order), 2, 36).select(F.lit(order).alias("sort"), "repo_url")
+def served(t: Tables, order: str | None, page: int, size: int) -> DataFrame:
+    """A page of the listing, published in an order that a reader chose (or its own)."""
+    root, rows = shared.shared_dir(t.spark), listed(t)
+    published.publish(rows, listing.listing_sorts(order) if order else listing.listing_order(), root)
+    return published.page(t.spark, root, rows.schema, page, size)
 
 
 @query
 def listing_sorts(t: Tables) -> DataFrame:
     """The second page in each of the four orders."""
-    pages = [sorted_by(t, order) for order in ("rewrites", "confidence", "stars", "recent")]
+    pages = [served(t, order, 2, 36).select(F.lit(order).alias("sort"), "repo_url") for order in ("rewrites", "confidence", "stars", "recent")]
     return pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
 
 
 @query
 def listing_page(t: Tables) -> DataFrame:
     """The last page, asked for by a number that is too large."""
-    return listing.listing_page(listed(t), listing.listing_order(), 10**6, 24).select("repo_url")
+    return served(t, None, 10**6, 24).select("repo_url")

@@ -6,6 +6,7 @@ Fixed values: results depend on every entry and on the order of those tables who
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import sha256
 
 TARGET = "Rust"
 
@@ -213,3 +214,9 @@ MIN_DISPLACED = 12.0
 #: History: swing, share after, share before, rise, share of a dominant language, net lines, segment.
 MIN_MAGNITUDE, MIN_AFTER, MAX_BEFORE, MIN_RISE, MIN_DOMINANT, MIN_NET, SEGMENT = 25.0, 40.0, 35.0, 5.0, 15.0, 500, 0.2
 SAMPLE_POINTS, EXEMPLAR_SAMPLE_POINTS, MIN_POINTS = 400, 1200, 100
+
+
+def version() -> str:
+    """A digest of all tables and limits above: whatever was scored under another one has to be scored anew."""
+    tables = {k: v for k, v in globals().items() if k.isupper()}
+    return sha256(repr(sorted(tables.items())).encode()).hexdigest()[:16]

@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .. import shared
 
@@ -43,14 +44,15 @@ class Version:
     buckets: int
     folders: dict[int, str] = field(default_factory=dict)
     streams: dict[str, int] = field(default_factory=dict)
+    index: list[list[int]] = field(default_factory=list)  # of a publication: part, first rank, rows
 
     def text(self) -> str:
-        return json.dumps({"number": self.number, "buckets": self.buckets, "folders": {str(k): v for k, v in sorted(self.folders.items())}, "streams": self.streams})
+        return json.dumps({"number": self.number, "buckets": self.buckets, "folders": {str(k): v for k, v in sorted(self.folders.items())}, "streams": self.streams, "index": self.index})
 
     @classmethod
     def of(cls, text: str) -> Version:
         x = json.loads(text)
-        return cls(x["number"], x["buckets"], {int(k): v for k, v in x["folders"].items()}, x["streams"])
+        return cls(x["number"], x["buckets"], {int(k): v for k, v in x["folders"].items()}, x["streams"], x["index"])
 
 
 def _path(spark: SparkSession, path: str):
@@ -170,7 +172,7 @@ def change(
     rows.withColumn("_gone", F.lit(False)).write.parquet(path)
     if deletes is not None:
         deletes.select("repo_url", F.lit(True).alias("_gone")).distinct().write.mode("append").parquet(path)
-    changes = spark.read.schema(schema.add("_gone", "boolean") if "_gone" not in schema.names else schema).parquet(path)
+    changes = spark.read.schema(StructType([*schema.fields, StructField("_gone", BooleanType())])).parquet(path)
     new, gone = changes.where("not _gone").drop("_gone"), changes.where("_gone").select("repo_url")
     sent = small(spark, changes, path)
     for attempt in range(ATTEMPTS):

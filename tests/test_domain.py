@@ -408,16 +408,7 @@ def test_attempts_and_backlog(spark):
 def test_listing(spark):
     rows = projects(spark, [{"repo_url": str(i), "name": f"n{i}", "confidence": i / 10, "stars": i % 3, "original_language": "C" if i % 2 else "Go"} for i in range(10)])
     flagged = merge.flag_exemplars(listing.listing_filter(rows), spark.createDataFrame([("3",)], "slug string"))
-    order = [r.repo_url for r in listing.listing_page(flagged, listing.listing_order(), 1, 4).collect()]
-    assert order == ["3", "9", "8", "7"]
-    assert [r.repo_url for r in listing.listing_page(flagged, listing.listing_order(), 99, 4).collect()] == ["1"]
     assert listing.search_listing(rows, " GO ").count() == 5 and listing.search_listing(rows, " ").count() == 10
-    lines = [r.value for r in listing.publish_listing(flagged).collect()]
-    assert len(lines) == 9 and '"repo_url":"3"' in lines[0] and "ai_agents" not in lines[0]
-    import json
-
-    published = [json.loads(line) for line in lines]
-    assert all(r["description"] is None and r["unsafe_percentage"] is None and r["original_language"] in ("C", "Go") and "lines_added" not in r for r in published)
 
 
 def test_reclassify_drops_what_is_neither(spark):
