@@ -48,12 +48,51 @@ def with_history(rows: DataFrame, analysis: DataFrame | None) -> DataFrame:
     return joined.withColumn("ai_agents", F.coalesce("ai_agents", F.array().cast("array<string>")))
 
 
-def scan(repos: DataFrame, issues: DataFrame, languages: DataFrame, exemplars: DataFrame, origins: DataFrame, now: str, analysis: DataFrame | None = None, limit: int = rules.CANDIDATE_LIMIT) -> DataFrame:
-    """Listings to scored projects of at least ``MIN_CONFIDENCE``."""
+def histories(found: DataFrame, commits: DataFrame, changes: DataFrame, points: int = rules.SAMPLE_POINTS) -> DataFrame:
+    """The histories of candidates (full_name; a bounded number), as ``repo``. ``commits`` and ``changes`` carry the
+    repository's slug as ``repo``; they are cut to the candidates before anything is dealt or sorted."""
+    names = shared.cut_lineage(found.select("full_name", text.normalize_slug(F.col("full_name")).alias("repo")))
+    slugs = F.broadcast(names.select("repo").distinct())
+    analysis = history.analyse(commits.join(slugs, "repo", "left_semi"), changes.join(slugs, "repo", "left_semi"), points)
+    return analysis.join(F.broadcast(names), "repo").drop("repo").withColumnRenamed("full_name", "repo")
+
+
+def scan(
+    repos: DataFrame, issues: DataFrame, languages: DataFrame, exemplars: DataFrame, origins: DataFrame, now: str, *,
+    commits: DataFrame | None = None, changes: DataFrame | None = None, stored: DataFrame | None = None, limit: int = rules.CANDIDATE_LIMIT,
+) -> DataFrame:
+    """Listings to scored projects of at least ``MIN_CONFIDENCE``; with ``commits`` and ``changes`` (by slug, as ``repo``) the
+    candidates' histories count as well. Projects that ``stored`` has keep the time they were first seen."""
     found = shared.cut_lineage(candidates(repos, issues, exemplars, limit))
     rows = enriched(found, repos, issues, languages)
+    analysis = histories(found, commits, changes) if commits is not None and changes is not None else None
+    judged = classify.classify_kind(with_history(rows, analysis), origins)
+    out = scoring.min_confidence_filter(scoring.project_row(judged, F.lit(now)))
+    return out if stored is None else merge.preserve_first_seen(out, stored)
+
+
+def scan_exemplars(
+    exemplars: DataFrame, stored: DataFrame | None, repos: DataFrame, issues: DataFrame, languages: DataFrame, origins: DataFrame, now: str, *,
+    commits: DataFrame | None = None, changes: DataFrame | None = None, force: bool = False,
+) -> DataFrame:
+    """Scored projects of the curated list (slug), whatever their confidence, to be written by ``upsert_projects``.
+
+    Exemplars whose history is done in ``stored`` are left out unless ``force``; those that the listings don't know are as
+    well. Their histories, where there are any, are sampled more finely than others', and such projects are marked as done. Slugs
+    are in lower case, so listings meet them without regard to case. Everything is cut to the list first.
+    """
+    asked = exemplars.select("slug") if force or stored is None else merge.pending_exemplars(exemplars.select("slug"), stored)
+    url = F.concat(F.lit("https://github.com/"), "slug")
+    signal = F.struct(F.lit("exemplar").alias("kind"), F.lit(discovery.EXEMPLAR_DETAIL).alias("detail"), url.alias("url"))
+    found = shared.cut_lineage(asked.distinct().select(F.col("slug").alias("full_name"), url.alias("html_url"), F.lit(None).cast("string").alias("description"), F.lit(0).cast("bigint").alias("stars"), F.array(signal).alias("signals")))
+    facts = [rows.withColumn("full_name", F.lower("full_name")) for rows in (repos, issues, languages)]
+    rows = enriched(found, *facts)
+    analysis = histories(found, commits, changes, rules.EXEMPLAR_SAMPLE_POINTS) if commits is not None and changes is not None else None
     judged = classify.classify_kind(with_history(rows, analysis), origins)
-    return scoring.min_confidence_filter(scoring.project_row(judged, F.lit(now)))
+    out = scoring.project_row(judged, F.lit(now))
+    done = F.col("total_commits_analyzed").isNotNull()
+    out = out.withColumns({"history_status": F.when(done, "ok"), "history_attempted_at": F.when(done, F.lit(now)), "history_attempts": F.when(done, F.lit(0).cast("bigint"))})
+    return out if stored is None else merge.preserve_first_seen(out, stored)
 
 
 def candidates_of(projects: DataFrame) -> DataFrame:

@@ -15,6 +15,9 @@ from ..functions import numbers, paths, text
 
 SIGNAL = ["full_name", "rule_no", "rank", "kind", "detail", "url"]
 
+#: Fixed value: what the signal of a curated project says.
+EXEMPLAR_DETAIL = "curated exemplar rewrite (priority target)"
+
 
 def _matches(conditions: list[Column], labels: list[str], first_no: int) -> Column:
     cases = [F.when(c, F.struct(F.lit(n + first_no).alias("rule_no"), F.lit(label).alias("label"))) for n, (c, label) in enumerate(zip(conditions, labels, strict=True))]
@@ -80,7 +83,7 @@ def union_signals(repo_hits: DataFrame, issue_hits: DataFrame, exemplars: DataFr
     page = F.concat(F.lit("https://github.com/"), F.col("slug"))
     seeds = exemplars.select(
         F.col("slug").alias("full_name"), F.lit(-1).alias("rule_no"), F.lit(1).alias("rank"), F.lit("exemplar").alias("kind"),
-        F.lit("curated exemplar rewrite (priority target)").alias("detail"), page.alias("url"), F.lit(0).cast("bigint").alias("stars"), none.alias("description"), page.alias("html_url"),
+        F.lit(EXEMPLAR_DETAIL).alias("detail"), page.alias("url"), F.lit(0).cast("bigint").alias("stars"), none.alias("description"), page.alias("html_url"),
     )
     return repo.unionByName(issue).unionByName(seeds)
 

@@ -156,11 +156,12 @@ ORIGINS = f"""o AS (SELECT slug, max_by(label, line_no) AS label FROM (
 GENERIC = quoted(any_of(rules.GENERIC_CONTAINED) + "|" + "|".join(f"^{s}" for s in rules.GENERIC_STARTS))
 CANDIDATES = f"""c0 AS (SELECT {strip("regexp_replace(repo_url, '^https://github.com/', '')")} AS full_name, {slug_of("repo_url")} AS key_slug, repo_url, description, stars, {SIGNALS} AS sig, rust_percentage, original_language,
     (original_language IS NULL OR rust_percentage >= 50) AS is_primary, history_from_language AS from_language, transition_magnitude AS magnitude, history_rust_before, history_rust_after, total_commits_analyzed, first_detected,
-    (coalesce(transition_magnitude, 0) >= 25 AND coalesce(history_rust_after, 0) >= 40 AND history_from_language IS NOT NULL AND coalesce(history_rust_before, 100) <= 35) AS strong FROM a_stored),
-c1 AS (SELECT c0.*, lower(concat(coalesce(description, ''), array_to_string(list_transform(sig, lambda s: concat(' ', s.detail)), ''))) AS body, {slug('full_name')} AS slug, lower(description) AS ld, label,
+    (coalesce(transition_magnitude, 0) >= 25 AND coalesce(history_rust_after, 0) >= 40 AND history_from_language IS NOT NULL AND coalesce(history_rust_before, 100) <= 35) AS strong FROM a_stored),"""
+ORIGINATED = f"""c1 AS (SELECT c0.*, lower(concat(coalesce(description, ''), array_to_string(list_transform(sig, lambda s: concat(' ', s.detail)), ''))) AS body, {slug('full_name')} AS slug, lower(description) AS ld, label,
     list_filter(list_transform(sig, lambda s: lower(s.detail)), lambda d: NOT regexp_matches(d, {GENERIC})) AS told FROM c0 LEFT JOIN o ON key_slug = o.slug),
 c2 AS (SELECT *, {tokens('slug')} AS own, {tokens("split_part(full_name, '/', 1)")} AS owners,
     coalesce(label, {origin_in('ld')}, {subject_in('ld')}, list_filter(list_transform(told, lambda d: coalesce({origin_in('d')}, {subject_in('d')})), lambda n: n IS NOT NULL)[1]) AS origin FROM c1)"""
+CANDIDATES += "\n" + ORIGINATED
 
 
 def _evidence() -> str:
@@ -452,3 +453,71 @@ ALWAYS = ["name", "repo_url", "description", "stars", "forks", "open_issues", "o
 KEYS = ", ".join([*map(quoted, ALWAYS), *(f"CASE WHEN {when} THEN {quoted(c)} END" for c, when in SOMETIMES.items())])
 oracle("publish_listing", ["stored", "exemplar_lines"], f"""SELECT row_number() OVER (ORDER BY {ORDER}) - 1 AS rank, array_to_string(list_sort(list_filter([{KEYS}], lambda k: k IS NOT NULL)), ',') AS keys,
 repo_url, description, confidence, stars, exemplar, unsafe_percentage, rewrite_pr_title AS pr_title, coalesce({AGENTS}, '') AS agents FROM p WHERE {LISTED}""", EXEMPLARS, FLAGGED)
+
+
+def history_analysis(points: int = rules.SAMPLE_POINTS) -> str:
+    """Every repository's history, from the queries of its parts."""
+    parts = {n: ORACLES[n].replace(f"// {rules.SAMPLE_POINTS}", f"// {points}") for n in ("language_transition", "window_totals", "ai_assist_score", "ai_agents")}
+    return f"""SELECT t.*, w.lines_added, w.lines_removed, w.commit_count, w.velocity, w.days, s.score, coalesce(g.agents, '') AS agents FROM ({parts["language_transition"]}) t
+LEFT JOIN ({parts["window_totals"]}) w ON w.repo = t.repo LEFT JOIN ({parts["ai_assist_score"]}) s ON s.repo = t.repo LEFT JOIN ({parts["ai_agents"]}) g ON g.repo = t.repo"""
+
+
+ORACLES["history_analysis"] = history_analysis()
+
+
+def scanned(found: str, repos: str, issues: str, languages: str, analysis: str | None) -> tuple[str, ...]:
+    """CTEs up to c5 for candidates: ``found`` (full_name, html_url, description, stars, sig), with facts and histories."""
+    known = "r.full_name IS NOT NULL"
+    bare = "(f.stars = 0 AND f.description IS NULL)"
+    history = analysis or "SELECT NULL::VARCHAR AS repo, NULL::VARCHAR AS from_language, NULL::DOUBLE AS rust_before, NULL::DOUBLE AS rust_after, NULL::DOUBLE AS magnitude, NULL::BIGINT AS total_commits, NULL::BOOLEAN AS strong, NULL::BIGINT AS lines_added, NULL::BIGINT AS lines_removed, NULL::BIGINT AS commit_count, NULL::DOUBLE AS velocity, NULL::BIGINT AS days, NULL::DOUBLE AS score, NULL::VARCHAR AS agents"
+    return (
+        f"fo AS ({found})",
+        f"""mx AS (SELECT full_name, CASE WHEN total > 0 THEN t / total::DOUBLE * 100.0::DOUBLE ELSE 0 END AS rust_percentage, CASE WHEN displaced.bytes / total::DOUBLE * 100 >= 12 THEN displaced.lang END AS original_language, first.lang = 'Rust' AS rust_is_primary
+FROM (SELECT full_name, sum(bytes) AS total, sum(CASE WHEN lang = 'Rust' THEN bytes ELSE 0 END) AS t, max({{'bytes': bytes, 'lang': lang}}) FILTER (WHERE lower(lang) NOT IN {names([*rules.NOISE_LANGUAGES, 'rust'])}) AS displaced, min({{'b': -bytes, 'lang': lang}}) AS first FROM ({languages}) l GROUP BY full_name) s)""",
+        f"ha AS MATERIALIZED ({history})",
+        f"hm AS (SELECT {slug_of('full_name')} AS own_slug, ha.* FROM a_repos JOIN ha ON ha.repo = concat('org/repo', k::VARCHAR) WHERE k < 25)",
+        f"""c0 AS (SELECT f.full_name, {slug_of("f.full_name")} AS key_slug, CASE WHEN {bare} AND {known} THEN r.html_url WHEN f.html_url = '' THEN concat('https://github.com/', f.full_name) ELSE f.html_url END AS repo_url,
+  CASE WHEN {bare} AND {known} THEN r.description ELSE f.description END AS description, greatest(f.stars, coalesce(r.stars, 0)) AS stars, coalesce(r.forks, 0) AS forks, greatest(coalesce(r.open_issues, 0) - coalesce(n, 0), 0) AS open_issues, coalesce(n, 0) AS open_prs, sig,
+  coalesce(mx.rust_percentage, 0) AS rust_percentage, mx.original_language, coalesce(rust_is_primary, false) AS is_primary, h.from_language, h.magnitude, h.rust_before AS history_rust_before, h.rust_after AS history_rust_after, h.total_commits AS total_commits_analyzed, coalesce(h.strong, false) AS strong,
+  h.lines_added, h.lines_removed, h.velocity AS rewrite_velocity, h.score AS ai_assist_score, coalesce(h.agents, '') AS ai_agents, h.days AS rewrite_duration_days, h.commit_count
+FROM fo f LEFT JOIN ({repos}) r ON r.full_name = f.full_name LEFT JOIN (SELECT full_name, count(*) AS n FROM ({issues}) i WHERE kind = 'pull-request' AND state = 'open' GROUP BY full_name) q ON q.full_name = f.full_name
+LEFT JOIN mx ON mx.full_name = f.full_name LEFT JOIN hm h ON h.own_slug = {slug_of("f.full_name")} WHERE {known} OR NOT {bare})""",
+        ORIGINATED,
+        _evidence(),
+    )
+
+
+FOUND = "SELECT full_name, html_url, description, stars, list_transform(sig, lambda s: {'kind': s.p.kind, 'detail': s.detail, 'url': s.url}) AS sig FROM sl JOIN sm USING (full_name) ORDER BY len(sig) DESC, stars DESC, full_name LIMIT 500"
+FACTS = ("SELECT * FROM a_repos", "SELECT * FROM i", "SELECT * FROM a_languages")
+ORIGINAL = f"CASE WHEN lower(coalesce(original_language, CASE WHEN strong THEN from_language END)) NOT IN {names([*rules.NOISE_LANGUAGES, 'rust'])} THEN coalesce(original_language, CASE WHEN strong THEN from_language END) END"
+SCANS = ["repos", "issues", "languages", "exemplar_lines", "origin_lines"]
+oracle("scan", SCANS, f"""SELECT * FROM (SELECT split_part(full_name, '/', -1) AS name, repo_url, stars, open_issues, open_prs, {ORIGINAL} AS original_language, {half_up('rust_percentage')} AS rust_percentage, {confidence('kind')} AS confidence, kind AS project_kind, origin AS named_origin,
+len(sig)::INTEGER AS n_signals FROM c5) z WHERE confidence >= 0.15::DOUBLE""", *ALL_SIGNALS, ONCE, ORIGINS, *scanned(FOUND, *FACTS, None))
+
+BY_KIND = [f"list_filter(sig, lambda s: s.kind = '{kind}')[1].url" for kind in ("repo-search", "pull-request", "issue")]
+
+
+def project_of(prs: str, done: bool) -> str:
+    """All columns of a stored project from c5 of a scan."""
+    strong = {c: f"CASE WHEN strong THEN {x} END AS {c}" for c, x in (("history_from_language", "from_language"), ("history_rust_before", "history_rust_before"), ("history_rust_after", "history_rust_after"))}
+    ok = "total_commits_analyzed > 0"
+    status = (f"CASE WHEN {ok} THEN 'ok' END", f"CASE WHEN {ok} THEN '2025-01-01' END", f"CASE WHEN {ok} THEN 0::BIGINT END") if done else ("NULL::VARCHAR", "NULL::VARCHAR", "NULL::BIGINT")
+    return f"""SELECT split_part(full_name, '/', -1) AS name, z.repo_url, z.description, z.stars, z.forks, z.open_issues, z.open_prs, {ORIGINAL} AS original_language, {half_up('rust_percentage')} AS rust_percentage, conf AS confidence,
+array_to_string(list_transform(sig, lambda s: concat(s.kind, '=', s.detail, '=', s.url)), ';') AS signals, coalesce(prs, '') AS rewrite_prs, coalesce(string_split(prs, ';')[1], '') AS rewrite_pr, NULL::DOUBLE AS unsafe_percentage, kind AS project_kind, origin AS named_origin,
+lines_added, lines_removed, rewrite_velocity, ai_assist_score, ai_agents, rewrite_duration_days, commit_count, {", ".join(strong.values())}, magnitude AS transition_magnitude, CASE WHEN {ok} THEN total_commits_analyzed END AS total_commits_analyzed,
+{status[0]} AS history_status, NULL::VARCHAR AS history_error, {status[1]} AS history_attempted_at, {status[2]} AS history_attempts, coalesce({", ".join(BY_KIND)}, sig[1].url, z.repo_url) AS source_url, coalesce(s.first_detected, '2025-01-01') AS first_detected, '2025-01-01' AS last_seen
+FROM (SELECT *, {confidence('kind')} AS conf FROM c5) z LEFT JOIN (SELECT repo_url, first_detected FROM a_stored) s ON s.repo_url = z.repo_url LEFT JOIN ({prs}) p USING (full_name)"""
+
+
+PRS = f"""SELECT full_name, string_agg(concat(title, '=', url), ';' ORDER BY number, place) AS prs FROM (
+  SELECT *, row_number() OVER (PARTITION BY full_name ORDER BY number, place) AS rn FROM (
+    SELECT full_name, url, min(number) AS number, min(place) AS place, arg_min(title, {{'n': number, 'p': place}}) AS title FROM (
+      SELECT full_name, s.url AS url, {title_of('s.detail')} AS title, coalesce(try_cast(regexp_extract(s.url, '/pull/([0-9]+)$', 1) AS BIGINT), 9223372036854775807) AS number, place
+      FROM (SELECT full_name, unnest(sig) AS s, generate_subscripts(sig, 1) AS place FROM fo) u WHERE s.kind = 'pull-request' AND {RELEVANT}) v
+    GROUP BY full_name, url) w) x WHERE rn <= 5 GROUP BY full_name"""
+HISTORIES = [*SCANS, "stored", "commits", "changes"]
+oracle("scan_with_histories", HISTORIES, project_of(PRS, False) + " WHERE conf >= 0.15::DOUBLE", *ALL_SIGNALS, ONCE, ORIGINS, *scanned(FOUND, *FACTS, history_analysis()))
+LOWER = tuple(f"SELECT * REPLACE (lower(full_name) AS full_name) FROM ({f}) w" for f in FACTS)
+PENDING_EXEMPLARS = f"""SELECT slug AS full_name, concat('https://github.com/', slug) AS html_url, NULL::VARCHAR AS description, 0::BIGINT AS stars, [{{'kind': 'exemplar', 'detail': 'curated exemplar rewrite (priority target)', 'url': concat('https://github.com/', slug)}}] AS sig
+FROM x WHERE slug NOT IN (SELECT {slug_of('repo_url')} FROM a_stored WHERE history_status = 'ok')"""
+oracle("scan_exemplars", HISTORIES, project_of("SELECT NULL::VARCHAR AS full_name, NULL::VARCHAR AS prs", True), ISSUES, EXEMPLARS, ORIGINS, *scanned(PENDING_EXEMPLARS, *LOWER, history_analysis(rules.EXEMPLAR_SAMPLE_POINTS)))

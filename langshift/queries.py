@@ -590,6 +590,18 @@ def scan(t: Tables) -> DataFrame:
     return rows.select("name", "repo_url", "stars", "open_issues", "open_prs", "original_language", "rust_percentage", "confidence", "project_kind", "named_origin", F.size("signals").alias("n_signals"))
 
 
+@query
+def scan_with_histories(t: Tables) -> DataFrame:
+    projects, commits, changes = with_histories(t)
+    return flat(workflows.scan(t.repos, t.issues, t.languages, t.exemplars, t.origins, NOW, commits=commits, changes=changes, stored=projects))
+
+
+@query
+def scan_exemplars(t: Tables) -> DataFrame:
+    projects, commits, changes = with_histories(t)
+    return flat(workflows.scan_exemplars(t.exemplars, projects, t.repos, t.issues, t.languages, t.origins, NOW, commits=commits, changes=changes))
+
+
 # Keeping the table
 
 

@@ -11,7 +11,7 @@ from langshift.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: Queries without SQL: their parts have it, and they are held against inline tables.
-WITHOUT = {"scan", "backfill", "history_analysis"}
+WITHOUT = {"backfill"}
 
 
 @pytest.fixture(scope="module")
