@@ -40,6 +40,42 @@ def test_exact_duplicates(spark):
     assert exact_dedup.deduplicate(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_a_whole_table_goes_through_the_index_in_batches(spark, batches, monkeypatch):
+    rng = random.Random(4)
+    texts = [(rng.randint(-50, 400), rng.choice(["a", "A", "b", "C c", None, "", f"own {k}"])) for k in range(300)] + [(None, "a"), (None, "lone"), (None, "lone")]
+    sizes = []
+    add = exact_dedup.add_digests
+    monkeypatch.setattr(exact_dedup, "add_digests", lambda digests, index, *rest: sizes.append(index.read().count()) or add(digests, index, *rest))
+    whole = exact_dedup.deduplicate_whole(documents(spark, texts), batches=batches)
+    order = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, whole.collect()), key=order) == sorted(map(tuple, exact_dedup.deduplicate(documents(spark, texts)).collect()), key=order)
+    # Every batch but the first meets an index that has something to hold it against.
+    assert len(sizes) == batches and sizes[0] == 0 and all(sizes[1:])
+    assert exact_dedup.deduplicate_whole(documents(spark, []), batches=batches).count() == 0
+
+
+def test_a_batch_needs_a_name_and_an_index_is_compacted(spark, tmp_path):
+    table = "digests_to_compact"
+    for name in (table, f"{table}_aside", f"{table}_compact"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    index = exact_dedup.DigestIndex.open(spark, table, buckets=2, location=f"{tmp_path}/index")
+    for n in range(4):
+        exact_dedup.add_batch(documents(spark, [(10 * n + k, f"{n} {k}") for k in range(8)]), index, f"b{n}", f"{tmp_path}/{n}")
+    for call in (exact_dedup.deduplicate, exact_dedup.keep_one):
+        with pytest.raises(ValueError, match="name"):
+            call(documents(spark, [(1, "x")]), index=index)
+    before = sorted(map(str, index.read().collect()))
+    assert len(index.read().inputFiles()) > 4
+    index.compact(f"{tmp_path}/compacted")
+    assert sorted(map(str, index.read().collect())) == before and len(index.read().inputFiles()) == 2 and index.buckets == 2
+    assert [r.kept for r in exact_dedup.add_batch(documents(spark, [(99, "0 0"), (98, "new")]), index, "b9", f"{tmp_path}/9").orderBy("doc_id").collect()] == [True, False]
+    # A compaction that ended between its two renames is undone by the next open.
+    spark.sql(f"ALTER TABLE {table} RENAME TO {table}_aside")
+    assert exact_dedup.DigestIndex.open(spark, table).read().count() == 33
+    index.drop()
+
+
 def test_index_outlives_batches(spark, tmp_path):
     table = "digests_of_a_test"
     spark.sql(f"DROP TABLE IF EXISTS {table}")
