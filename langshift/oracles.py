@@ -335,8 +335,8 @@ oracle("backlog_pending", ["stored", "exemplar_lines"], f"SELECT repo_url, {PEND
 oracle("star_cap_filter", ["stored"], "SELECT repo_url, stars FROM a_stored WHERE stars < 500")
 FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(html_url, ''), lambda c: ascii(c)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
 oracle("shard_filter", ["repos"], f"SELECT html_url FROM a_repos WHERE {FNV} % 5 = 2")
-BARE = """b AS (SELECT full_name, '' AS html_url, CASE WHEN k % 2 = 0 THEN description END AS description, CASE WHEN k % 4 < 2 THEN stars ELSE 0 END AS stars FROM a_repos WHERE k % 3 > 0
-UNION ALL SELECT concat(full_name, '-gone'), '', CASE WHEN k % 2 = 0 THEN 'kept' END, 0 FROM a_repos WHERE k % 5 = 0)"""
+BARE = """b AS (SELECT full_name, '' AS html_url, CASE WHEN k % 2 = 0 THEN description END AS description, CASE WHEN k % 4 < 2 THEN stars ELSE 0 END AS stars FROM a_repos
+UNION ALL SELECT concat(full_name, '-gone'), '', CASE WHEN k % 2 = 0 THEN 'kept' END, 0 FROM a_repos)"""
 oracle("enrich_metadata", ["repos"], """SELECT b.full_name, CASE WHEN b.stars = 0 AND b.description IS NULL THEN r.html_url ELSE b.html_url END AS html_url, CASE WHEN b.stars = 0 AND b.description IS NULL THEN r.description ELSE b.description END AS description,
 greatest(b.stars, coalesce(r.stars, 0)) AS stars, coalesce(forks, 0) AS forks, coalesce(open_issues, 0) AS open_issues FROM b LEFT JOIN a_repos r ON r.full_name = b.full_name WHERE r.full_name IS NOT NULL OR b.stars > 0 OR b.description IS NOT NULL""", BARE)
 oracle("open_pr_counts", ["repos", "issues"], """SELECT full_name, coalesce(n, 0) AS open_prs, greatest(open_issues - coalesce(n, 0), 0) AS open_issues FROM a_repos
@@ -475,7 +475,7 @@ def scanned(found: str, repos: str, issues: str, languages: str, analysis: str |
         f"""mx AS (SELECT full_name, CASE WHEN total > 0 THEN t / total::DOUBLE * 100.0::DOUBLE ELSE 0 END AS rust_percentage, CASE WHEN displaced.bytes / total::DOUBLE * 100 >= 12 THEN displaced.lang END AS original_language, first.lang = 'Rust' AS rust_is_primary
 FROM (SELECT full_name, sum(bytes) AS total, sum(CASE WHEN lang = 'Rust' THEN bytes ELSE 0 END) AS t, max({{'bytes': bytes, 'lang': lang}}) FILTER (WHERE lower(lang) NOT IN {names([*rules.NOISE_LANGUAGES, 'rust'])}) AS displaced, min({{'b': -bytes, 'lang': lang}}) AS first FROM ({languages}) l GROUP BY full_name) s)""",
         f"ha AS MATERIALIZED ({history})",
-        f"hm AS (SELECT {slug_of('full_name')} AS own_slug, ha.* FROM a_repos JOIN ha ON ha.repo = concat('org/repo', k::VARCHAR) WHERE k < 25)",
+        f"hm AS (SELECT {slug_of('full_name')} AS own_slug, ha.* FROM a_repos JOIN ha ON ha.repo = concat('org/repo', k::VARCHAR))",
         f"""c0 AS (SELECT f.full_name, {slug_of("f.full_name")} AS key_slug, CASE WHEN {bare} AND {known} THEN r.html_url WHEN f.html_url = '' THEN concat('https://github.com/', f.full_name) ELSE f.html_url END AS repo_url,
   CASE WHEN {bare} AND {known} THEN r.description ELSE f.description END AS description, greatest(f.stars, coalesce(r.stars, 0)) AS stars, coalesce(r.forks, 0) AS forks, greatest(coalesce(r.open_issues, 0) - coalesce(n, 0), 0) AS open_issues, coalesce(n, 0) AS open_prs, sig,
   coalesce(mx.rust_percentage, 0) AS rust_percentage, mx.original_language, coalesce(rust_is_primary, false) AS is_primary, h.from_language, h.magnitude, h.rust_before AS history_rust_before, h.rust_after AS history_rust_after, h.total_commits AS total_commits_analyzed, coalesce(h.strong, false) AS strong,

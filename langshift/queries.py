@@ -380,9 +380,10 @@ def scanned(t: Tables) -> DataFrame:
 
 
 def bare_candidates(t: Tables) -> DataFrame:
-    """A candidate for each name that an issue or the exemplar list brings, with and without facts."""
-    known = t.repos.where("k % 3 > 0").select("full_name", F.when(F.col("k") % 2 == 0, F.col("description")).alias("description"), F.when(F.col("k") % 4 < 2, F.col("stars")).otherwise(0).alias("stars"))
-    lost = t.repos.where("k % 5 = 0").select(F.concat("full_name", F.lit("-gone")).alias("full_name"), F.when(F.col("k") % 2 == 0, F.lit("kept")).alias("description"), F.lit(0).cast("bigint").alias("stars"))
+    """Two candidates for each repository: one that the listings know, with some facts of its own or none, and one
+    that they don't."""
+    known = t.repos.select("full_name", F.when(F.col("k") % 2 == 0, F.col("description")).alias("description"), F.when(F.col("k") % 4 < 2, F.col("stars")).otherwise(0).alias("stars"))
+    lost = t.repos.select(F.concat("full_name", F.lit("-gone")).alias("full_name"), F.when(F.col("k") % 2 == 0, F.lit("kept")).alias("description"), F.lit(0).cast("bigint").alias("stars"))
     return known.unionByName(lost).withColumn("html_url", F.lit("")).select("full_name", "html_url", "description", "stars")
 
 
@@ -632,7 +633,9 @@ def merged_counts(t: Tables) -> DataFrame:
 
 @query
 def mark_history_attempt(t: Tables) -> DataFrame:
-    tried = t.repos.where("k % 3 > 0").select(F.col("html_url").alias("repo_url"), (F.col("k") % 3 == 1).alias("ok"), F.lit("lost").alias("error"), F.lit(NOW).alias("attempted_at"))
+    # An attempt for each repository; a third are for others, so that their projects stay untried.
+    url = F.when(F.col("k") % 3 > 0, F.col("html_url")).otherwise(F.concat("html_url", F.lit("/moved")))
+    tried = t.repos.select(url.alias("repo_url"), (F.col("k") % 3 == 1).alias("ok"), F.lit("lost").alias("error"), F.lit(NOW).alias("attempted_at"))
     return merge.mark_history_attempt(t.projects(), tried).select("repo_url", "history_status", "history_error", "history_attempted_at", "history_attempts")
 
 
@@ -647,7 +650,8 @@ def reclassify(t: Tables) -> DataFrame:
 
 def with_histories(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Projects for the repositories that have commits, and those commits under the projects' slugs."""
-    names = t.repos.where("k < 25").select(F.concat(F.lit("org/repo"), "k").alias("repo"), text.normalize_slug(F.col("full_name")).alias("slug"))
+    named = t.repos.select(F.concat(F.lit("org/repo"), "k").alias("repo"), text.normalize_slug(F.col("full_name")).alias("slug"))
+    names = named.join(F.broadcast(t.commits.select("repo").distinct()), "repo", "left_semi")  # 25 stand-in histories
 
     def renamed(rows: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(names), "repo").drop("repo").withColumnRenamed("slug", "repo")
