@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null and empty text, and text without words: fingerprint zero, linked like any other. A null id
     never is a component_id unless all ids of the component are null. Repeated rows count as copies.
-    No rows: none out. Other columns are not read.
+    A text of any length is read whole, as one row of its task. No rows: none out. Other columns are not read.
     """
     marks = common.cut_lineage(fingerprints(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words))
     nodes = common.cut_lineage(marks.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies")))
