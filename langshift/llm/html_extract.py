@@ -4,24 +4,31 @@ A page is read as a sequence of words and tags. Words add to the score, tags sub
 weights are log odds of being inside the main text, learned from labelled pages: of a word by the
 element that it stands in, of a tag by its name. One linear scan finds the contiguous region of the
 largest sum. What the region holds of elements that are never main text (menus, forms, adverts and so
-on, by element or by class) is left out.
+on, by element or by class) is left out. A class alone doesn't remove what holds most of the page: such
+marks are held against the words that stand outside of them.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Comments, declarations, tags.
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+#: Comments, declarations, tags. A quoted value ends where its quote closes and a blank, ``>`` or ``/>`` follows. A quote
+#: without such an end belongs to no value: the tag ends at the next tag or ``>``, or with the line.
+MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)
+    ((?:[^>"'] | "[^"]*"(?=\s|/?>) | '[^']*'(?=\s|/?>) | "[^"<>\n]*(?:"|(?=[<>])) | '[^'<>\n]*(?:'|(?=[<>])) | ["'])*?)
+    (?:> | (?=<[/!A-Za-z]) | "(?![^"]*"(?:\s|/?>))[^"<>\n]*\n | '(?![^']*'(?:\s|/?>))[^'<>\n]*\n | \Z)""",
+    re.S | re.X,
+)
 LABELS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
@@ -55,10 +62,18 @@ NEUTRAL = frozenset(
     "wrap wrapper".split()
 )
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+(?:x\d+)?|[^\W\d_]+")
-#: These are never left out by a label; the first of ``HOLDERS`` on a page, or a form's first heading, keeps what holds it.
+#: These are never left out by a label, but for articles that are marked as ``REMARKS``. The first of ``HOLDERS`` on a page,
+#: such articles apart, keeps what holds it.
 KEPT = frozenset("html body main article".split())
-HOLDERS = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
-HEADING = re.compile(r"<h1(?=[\s/>])", re.I)
+HOLDERS = frozenset("article main".split())
+
+#: Labels of what readers say, and labels that tell where a text stands, not what it is.
+REMARKS = frozenset("comment comments disqus replies reply".split())
+PLACES = frozenset("sidebar widget".split())
+
+#: A paragraph has so many words. A marked element without the page's first heading holds most of the page if it has so
+#: many times the words that stand outside of marked elements, and so many paragraphs.
+PARAGRAPH, OUTWEIGHS, PARAGRAPHS = 10, 4, 3
 
 #: Raw elements that run to the page's end if nothing closes them. The others end at their own tag.
 TO_THE_END = frozenset("script style textarea title iframe noscript".split())
@@ -80,6 +95,7 @@ class Token:
     never: bool = False
     main: bool = False
     text: str = ""
+    mark: int = -1  # the innermost marked element around it
 
 
 @dataclass
@@ -110,13 +126,31 @@ def hidden(attributes: str) -> bool:
     return bool(HIDDEN.search(QUOTED.sub('""', attributes)) or NOT_SHOWN.search(attributes))
 
 
+@dataclass
+class Mark:
+    """An element whose labels (or whose name, for forms) say that it is no main text."""
+
+    parent: int
+    form: bool
+    remark: bool
+    place: bool
+    article: bool
+    within: bool  # inside the page's first article or main
+    falls: bool = False
+    heading: bool = False
+    own: int = 0
+    words: int = 0
+    paragraphs: int = 0
+
+
 @dataclass
 class Element:
     name: str
     key: str
     never: bool
     main: bool
-    start: int
+    mark: int = -1
+    within: bool = False
 
 
 class Open:
@@ -155,57 +189,52 @@ class Open:
                 pass
 
 
-def ancestors(page: str, position: int | None) -> frozenset[int]:
-    """Where the tags of the elements begin that are open at ``position``."""
-    if position is None:
-        return frozenset()
-    opened = Open()
-    for _ in tokens(page, opened, position):
-        pass
-    return frozenset(e.start for e in opened.stack)
+def tokens(page: str) -> list[Token]:
+    """The page's words and tags. ``key`` of words: the nearest block element and its labels."""
+    sequence, marks, first = read(page)
+    gone = standing(sequence, marks, first)
+    for token in sequence:
+        token.never = token.never or token.mark >= 0 and gone[token.mark]
+    return sequence
 
 
-def tokens(page: str, opened: Open | None = None, stop: int | None = None) -> Iterator[Token]:
-    """The page's words and tags, up to the tag at ``stop``. ``key`` of words: the nearest block element
-    and its labels. One pass; what marks elements may take a second one up to the first article."""
-    opened = Open() if opened is None else opened
+def read(page: str) -> tuple[list[Token], list[Mark], bool]:
+    """The page's words and tags in one pass, the marked elements, and whether there is a first article
+    or main. ``never`` here: by element name or hidden, whatever the marks say."""
+    opened, found, marks = Open(), [], []
     block = position = 0
     unclosed: set[str] = set()
-    kept: dict[str, frozenset[int]] = {}
+    first = False
+    headings: dict[str, int] = {}
 
     def top() -> Element:
-        return opened.stack[-1] if opened.stack else Element("", "", False, False, 0)
+        return opened.stack[-1] if opened.stack else Element("", "", False, False)
 
-    def text(raw: str) -> Token:
-        plain = html.unescape(raw)
-        return Token(top().key, plain.split(), block, top().never, top().main, plain)
+    def text(raw: str) -> None:
+        plain, around = html.unescape(raw), top()
+        found.append(Token(around.key, plain.split(), block, around.never, around.main, plain, around.mark))
 
-    def shielded(name: str, start: int) -> bool:
-        """Whether a marked element holds the page's first article, or a form its first heading."""
-        if stop is not None:
-            return True
-        if not kept:
-            kept["article"], kept["form"] = (ancestors(page, m.start() if m else None) for m in (HOLDERS.search(page), HEADING.search(page)))
-        return start in kept["article"] or name == "form" and start in kept["form"]
+    def up(mark: int, what: str) -> None:
+        while mark >= 0 and not getattr(marks[mark], what):
+            setattr(marks[mark], what, True)
+            mark = marks[mark].parent
 
     while position < len(page):
         m = MARKUP.search(page, position)
         if m is None:
-            yield text(page[position:])
-            return
-        if stop is not None and m.start() >= stop:
-            return
+            text(page[position:])
+            break
         if m.start() > position:
-            yield text(page[position : m.start()])
+            text(page[position : m.start()])
         position = m.end()
         if m[2] is None:
             continue
         name = m[2].lower()
         if m[1]:
-            never = top().never
+            around = top()
             opened.close(name)
             block += name in BLOCK
-            yield Token(f"/{name}", None, block, never)
+            found.append(Token(f"/{name}", None, block, around.never, mark=around.mark))
             continue
         if name in CLOSES_P:
             opened.close_within(("p",))
@@ -215,12 +244,18 @@ def tokens(page: str, opened: Open | None = None, stop: int | None = None) -> It
         labels = label_words(m[3]) if "=" in m[3] else set()
         around = top()
         inside = around.main or opened.count["article"] or opened.count["main"]
-        never = around.never
-        if not never:
-            marked = bool(labels) and name not in KEPT or name == "form"
-            unseen = name in NEVER - {"form"} or (name == "header" and not inside) or bool(m[3] and hidden(m[3]) and name not in KEPT)
-            never = unseen or marked and not shielded(name, m.start())
-        yield Token(name, None, block, never)
+        never = around.never or name in NEVER - {"form"} or (name == "header" and not inside) or bool(m[3] and name not in KEPT and hidden(m[3]))
+        mark, within = around.mark, around.within
+        remark = bool(labels & REMARKS)
+        if not never and (name == "form" or labels and name not in KEPT or name == "article" and remark):
+            marks.append(Mark(mark, name == "form", remark, bool(labels) and labels <= PLACES, name == "article", within))
+            mark = len(marks) - 1
+        elif not never and name in HOLDERS and not first:
+            first = within = True
+            up(mark, "falls")
+        if not never and name in ("h1", "h2", "h3"):
+            headings.setdefault(name, mark)
+        found.append(Token(name, None, block, never, mark=mark))
         if name in RAW:
             if name in ("svg", "math") and m[0].endswith("/>"):
                 continue
@@ -231,10 +266,72 @@ def tokens(page: str, opened: Open | None = None, stop: int | None = None) -> It
             continue
         if name in VOID:
             if name == "br":
-                yield Token("", [], block, never, around.main, " ")
+                found.append(Token("", [], block, never, around.main, " ", mark))
             continue
         key = " ".join([name, *sorted(labels)]) if name in BLOCK or labels else around.key
-        opened.push(Element(name, key, never, around.main or name == "article", m.start()))
+        opened.push(Element(name, key, never, around.main or name == "article" and not remark, mark, within))
+    if headings:
+        title = min(headings)
+        up(headings[title], "heading")
+        if title == "h1":
+            for mark in marks:
+                mark.falls |= mark.form and mark.heading
+                mark.remark &= not mark.heading
+    return found, marks, first
+
+
+def standing(sequence: list[Token], marks: list[Mark], first: bool) -> list[bool]:
+    """For each mark, whether its element is left out. A mark falls if its element holds the first article
+    or main, or most of what the page shows: more words than stand outside of all marks if it has the
+    page's first heading too, else several times as many. Where there is an article or main, only marks
+    inside it can fall. Marks of readers' remarks fall if they hold an h1, or for an article without which the page
+    were empty. What falls counts as outside for the rest, which go from the heading and the largest on."""
+    outside, long = 0, Counter()
+    for token in sequence:
+        if token.words and not token.never:
+            if token.mark < 0:
+                outside += len(token.words)
+            else:
+                marks[token.mark].own += len(token.words)
+                long[token.mark, token.block] += len(token.words)
+    for (mark, _), n in long.items():
+        marks[mark].paragraphs += n >= PARAGRAPH
+    inside: dict[int, list[int]] = {}
+    for i in range(len(marks) - 1, -1, -1):
+        mark = marks[i]
+        mark.words += mark.own
+        if mark.parent >= 0:
+            marks[mark.parent].words += mark.words
+            marks[mark.parent].paragraphs += mark.paragraphs
+        inside.setdefault(mark.parent, []).append(i)
+
+    def outweighs(mark: Mark) -> bool:
+        if mark.remark:
+            return mark.article and not outside
+        if first and not mark.within:
+            return False
+        if mark.heading:
+            return mark.words > outside
+        return mark.words > OUTWEIGHS * outside and (mark.paragraphs >= PARAGRAPHS or mark.place and not outside)
+
+    waiting: list[tuple[bool, bool, int, int]] = []
+
+    def wait(parent: int) -> None:
+        for i in inside.get(parent, ()):
+            heapq.heappush(waiting, (not marks[i].falls, not marks[i].heading, -marks[i].words, i))
+
+    fallen = set()
+    wait(-1)
+    while waiting:
+        i = heapq.heappop(waiting)[-1]
+        if marks[i].falls or outweighs(marks[i]):
+            fallen.add(i)
+            outside += marks[i].own
+            wait(i)
+    gone: list[bool] = []
+    for i, mark in enumerate(marks):
+        gone.append(i not in fallen or mark.parent >= 0 and gone[mark.parent])
+    return gone
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -251,7 +348,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str, weights: Weights) -> str:
     """The main text: its blocks in page order, joined by line ends."""
-    sequence = list(tokens(page))
+    sequence = tokens(page)
     start, end = best_region([weights.of(t) for t in sequence])
     blocks: dict[int, list[str]] = {}
     for token in sequence[start:end]:
@@ -313,6 +410,7 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 
     Character references are decoded, white space inside a block becomes one blank, blocks are joined
     by one line end. Null or empty html, and pages without a region of positive score: empty text, 0.
+    A page whose only text lies in elements named like sidebars, widgets or notices keeps it (see ``standing``).
     Null and repeated ids are carried along; no rows: none out. Other columns are not read. Pages are
     read in place, each as a whole, without a shuffle.
     """
