@@ -44,6 +44,31 @@ TEXTS = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDEndorse",
     "this source code form is subject to the terms of the mozilla public license v": "MPLHead2",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCGrant",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BSDAsIs",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "BSDLiable",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "GPLTerms",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPLHead3Plus",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "LGPLTerms",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPLHead3Plus",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "AGPLTerms",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPLHead3Plus",
+    "either version 2 of the license or at your option any later version": "Later2",
+    "either version 2 1 of the license or at your option any later version": "Later21",
+    "either version 3 of the license or at your option any later version": "Later3",
+    "version 2 of the license": "Only2",
+    "version 2 1 of the license": "Only21",
+    "version 3 of the license": "Only3",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCGrant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0BSDGrant",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZlibGrant",
+    "this software is provided as is without any express or implied warranty": "ZlibAsIs",
+    "this is free and unencumbered software released into the public domain": "UnlicenseGrant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "BSLGrant",
+    "the accompanying program is provided under the terms of this eclipse public license agreement": "EPLGrant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at": "EPL2Head",
+    "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law": "CC0Deed",
+    "you just do what the fuck you want to": "WTFPLGrant",
+    "0 you just do what the fuck you want to": "WTFPLGrant",
     "all rights reserved": "AllRights",
 }
 
@@ -62,7 +87,31 @@ TEXT_RULES = [
     ("GPL-3.0-or-later", ["GPLHead3Plus"]),
     ("GPL-2.0-or-later", ["GPLHead2Plus"]),
     ("MPL-2.0", ["MPLHead2"]),
+    ("LGPL-3.0-or-later", ["LGPLHead3Plus"]),
+    ("AGPL-3.0-or-later", ["AGPLHead3Plus"]),
+    ("GPL-2.0-or-later", ["GPLTerms", "Later2"]),
+    ("GPL-3.0-or-later", ["GPLTerms", "Later3"]),
+    ("GPL-2.0-only", ["GPLTerms", "Only2"]),
+    ("GPL-3.0-only", ["GPLTerms", "Only3"]),
+    ("LGPL-2.1-or-later", ["LGPLTerms", "Later21"]),
+    ("LGPL-3.0-or-later", ["LGPLTerms", "Later3"]),
+    ("LGPL-2.1-only", ["LGPLTerms", "Only21"]),
+    ("LGPL-3.0-only", ["LGPLTerms", "Only3"]),
+    ("AGPL-3.0-or-later", ["AGPLTerms", "Later3"]),
+    ("AGPL-3.0-only", ["AGPLTerms", "Only3"]),
+    ("Zlib", ["ZlibAsIs", "ZlibGrant"]),
+    ("Zlib", ["ZlibGrant"]),
+    ("0BSD", ["0BSDGrant"]),
+    ("Unlicense", ["UnlicenseGrant"]),
+    ("BSL-1.0", ["BSLGrant"]),
+    ("EPL-1.0", ["EPL10Ref", "EPLGrant"]),
+    ("EPL-2.0", ["EPL20Ref", "EPLGrant"]),
+    ("EPL-2.0", ["EPL2Head"]),
+    ("CC0-1.0", ["CC0Deed"]),
+    ("WTFPL", ["WTFPLGrant"]),
+    ("BSD-3-Clause", ["BSDEndorse", "BSDAsIs", "BSDLiable"]),
 ]
+#: These hold only where no other licence was found.
 LAST_RULES = [("Proprietary", ["AllRights"])]
 
 #: How licences are called, as SPDX identifier and names (normalised).
@@ -78,6 +127,41 @@ NAMES = {
     "Zlib": ["the zlib license"],
     "Unlicense": ["the unlicense"],
     "CC0-1.0": ["cc0 1 0", "cc0", "the creative commons zero v1 0 universal license"],
+    "0BSD": ["the zero clause bsd license", "the bsd zero clause license"],
+    "MIT-0": ["the mit no attribution license"],
+    "Apache-1.1": ["the apache license version 1 1"],
+    "MPL-1.1": ["the mozilla public license version 1 1"],
+    "EPL-1.0": ["the eclipse public license version 1 0", "epl 1 0"],
+    "CDDL-1.0": ["the common development and distribution license version 1 0"],
+    "EUPL-1.2": ["the european union public licence version 1 2"],
+    "Artistic-2.0": ["the artistic license 2 0"],
+    "OFL-1.1": ["the sil open font license version 1 1"],
+    "MS-PL": ["the microsoft public license"],
+    "NCSA": ["the university of illinois ncsa open source license"],
+    "PostgreSQL": ["the postgresql license"],
+    "WTFPL": ["the wtfpl"],
+}
+
+#: Lines by which a licence text begins.
+TITLES = {
+    "MIT": ["mit license", "mit licence", "the mit license", "the mit license mit", "the mit licence", "license mit"],
+    "Apache-2.0": ["apache license version 2 0 january 2004", "apache license version 2 0", "license apache 2 0"],
+    "BSD-2-Clause": ["bsd 2 clause license", "the 2 clause bsd license", "license bsd 2 clause"],
+    "BSD-3-Clause": ["bsd 3 clause license", "the 3 clause bsd license", "license bsd 3 clause"],
+    "ISC": ["isc license", "the isc license", "isc license isc", "license isc"],
+    "MPL-2.0": ["mozilla public license version 2 0", "license mpl 2 0"],
+    "BSL-1.0": ["boost software license version 1 0 august 17th 2003", "boost software license version 1 0"],
+    "EPL-2.0": ["eclipse public license v 2 0"],
+    "EPL-1.0": ["eclipse public license v 1 0"],
+    "CC0-1.0": ["creative commons legal code cc0 1 0 universal", "cc0 1 0 universal", "creative commons cc0 1 0 universal"],
+    "Zlib": ["zlib license", "the zlib license"],
+    "Artistic-2.0": ["the artistic license 2 0"],
+    "OFL-1.1": ["sil open font license version 1 1 26 february 2007"],
+    "GPL-2.0-only": ["gnu general public license version 2 june 1991"],
+    "GPL-3.0-only": ["gnu general public license version 3 29 june 2007"],
+    "LGPL-2.1-only": ["gnu lesser general public license version 2 1 february 1999"],
+    "LGPL-3.0-only": ["gnu lesser general public license version 3 29 june 2007"],
+    "AGPL-3.0-only": ["gnu affero general public license version 3 19 november 2007"],
 }
 
 #: The families whose names follow one pattern.
@@ -88,6 +172,7 @@ CREATIVE = {"BY": "attribution", "BY-SA": "attribution sharealike", "BY-NC": "at
 #: How a text says what it is licensed under.
 SUBJECTS = ["", "this file is ", "this software is ", "this program is ", "this project is ", "this work is ", "this code is "]
 VERBS = ["licensed under", "released under", "distributed under", "available under"]
+BOTH = ["licensed under", "dual licensed under", "licensed under either", "licensed under either of"]
 
 
 def normal(text: str) -> str:
@@ -110,24 +195,43 @@ def licence_names() -> dict[str, list[str]]:
     return found
 
 
+#: The beginning of a line of an SPDX identifier, and the identifier of sentences that name two licences to choose from.
+SPDX_LINE = "spdx license identifier "
+DUAL = "MITApacheRef"
+
+
+def reference(licence: str) -> str:
+    return licence.replace("-", "").replace(".", "") + "Ref"
+
+
 def references() -> dict[str, str]:
     """Each sentence that only names a licence, with the identifier of that licence."""
     found = {}
     for licence, names in licence_names().items():
-        own = licence.replace("-", "").replace(".", "") + "Ref"
+        own = reference(licence)
         for name in names:
             found |= {f"{subject}{verb} {name}": own for subject in SUBJECTS for verb in VERBS}
-        found[f"spdx license identifier {normal(licence)}"] = own
+        found[f"{SPDX_LINE}{normal(licence)}"] = own
+        if licence.endswith("-only"):  # the identifiers of before 2018
+            found[f"{SPDX_LINE}{normal(licence.removesuffix('-only'))}"] = own
+    for licence, titles in TITLES.items():
+        found |= dict.fromkeys(titles, reference(licence))
+    names = licence_names()
+    for one in [*names["MIT"], "mit license"]:
+        for other in [*names["Apache-2.0"], "apache license version 2 0"]:
+            for pair in (f"{one} {{}} {other}", f"{other} {{}} {one}"):
+                found |= {f"{subject}{verb} {pair.format(join)}": DUAL for subject in SUBJECTS for verb in BOTH for join in ("and", "or")}
     return found
 
 
 #: Known sentences with their identifiers, and the rules in order.
 SENTENCES = TEXTS | references()
-RULES = [*TEXT_RULES, *((licence, [licence.replace("-", "").replace(".", "") + "Ref"]) for licence in licence_names()), *LAST_RULES]
+RULES = [*TEXT_RULES, ("MIT OR Apache-2.0", [DUAL]), *((licence, [reference(licence)]) for licence in licence_names()), *LAST_RULES]
 
 #: A piece of text ends at an end mark before white space (of ASCII), or at a line without letters and digits.
 #: The colon of an SPDX line is none.
 ENDS = r"[.!?:;][ \t\r\f\n]+|\n[^a-zA-Z0-9\n]*\n"
+ASIDE = r"[(](see|full text in|cf) [^()]*[)]"
 SPDX, SPDX_OPEN = r"(?i)(spdx-licen[cs]e-identifier):", "$1 "
 
 #: A piece without any known sentence counts as licence talk if it has one of these words, each of which
@@ -145,6 +249,7 @@ class Tables:
 
     sentences: dict[str, str] = field(default_factory=lambda: SENTENCES)
     rules: Iterable[tuple[str, list[str]]] = field(default_factory=lambda: RULES)
+    last: frozenset[str] = frozenset(licence for licence, _ in LAST_RULES)
 
     @classmethod
     def of(cls, sentences: DataFrame, rules: DataFrame) -> Tables:
@@ -207,7 +312,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tab
     without any known sentence) for each document.
 
     The tables are literals of the plan: one scan, no shuffle, no Python. Null and empty text: no
-    identifiers, no licences. A text of any length is one array of its pieces that have a hint. Null and
+    identifiers, no licences. Licences of ``tables.last`` are left out beside others. An SPDX line counts as one
+    line for each identifier of its expression (OR, AND, brackets; ``+`` is or-later; what follows WITH is no licence);
+    "(see LICENSE)" and the like are skipped. A text of any length is one array of its pieces that have a hint. Null and
     repeated ids are carried along; no rows: none out. Other columns are not read.
     """
     tables = tables or Tables()
@@ -223,7 +330,18 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tab
         return found
 
     def lines(piece: Column) -> Column:
-        return F.filter(F.transform(F.split(piece, "\n"), normalise), lambda line: line != "")
+        return F.filter(F.flatten(F.transform(F.split(piece, "\n"), own_lines)), lambda line: line != "")
+
+    def own_lines(line: Column) -> Column:
+        spdx = normalise(F.regexp_replace(line, r"([0-9])\+", "$1 or later"))
+        return F.when(F.contains(line, F.lit("spdx")) & F.contains(spdx, F.lit(SPDX_LINE)), members(spdx)).otherwise(F.array(normalise(F.regexp_replace(line, ASIDE, " "))))
+
+    def members(line: Column) -> Column:
+        """An SPDX line for each identifier of its expression."""
+        kept = F.replace(line, F.lit(" or later"), F.lit(" orlater"))
+        for word in (" or ", " and "):
+            kept = F.replace(kept, F.lit(word), F.lit("|" + SPDX_LINE))
+        return F.transform(F.split(kept, r"\|"), lambda one: F.regexp_replace(F.replace(one, F.lit(" orlater"), F.lit(" or later")), " with .*$", ""))
 
     def runs(own: Column) -> Column:
         """(first line, last line) of the longest run of each line that reads like a known sentence."""
@@ -265,4 +383,6 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tab
     start = F.struct(F.concat_ws("", F.transform("sentence_ids", lambda i: F.concat(F.lit(","), i, F.lit(",")))).alias("left"), F.array().cast("array<string>").alias("found"))
     docs = docs.withColumn("_end", F.when(F.size("sentence_ids") > 0, F.aggregate(ordered, start, apply)).otherwise(start))
     rest = F.filter(F.split(F.translate("_end.left", "|", ","), ","), lambda i: i != "")
-    return docs.select(id_col, "sentence_ids", F.array_distinct("_end.found").alias("licenses"), rest.alias("unmatched"), "unknown_sentences")
+    own = F.filter("_end.found", lambda licence: ~licence.isin(sorted(tables.last)) if tables.last else F.lit(True))
+    licenses = F.array_distinct(F.when(F.size(own) > 0, own).otherwise(F.col("_end.found")))
+    return docs.select(id_col, "sentence_ids", licenses.alias("licenses"), rest.alias("unmatched"), "unknown_sentences")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import ENDS, LICENCE_WORDS, SPDX, Tables, sequence_text
+from .license_scan import ASIDE, ENDS, LICENCE_WORDS, SPDX, SPDX_LINE, Tables, sequence_text
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -44,11 +44,17 @@ def licenses() -> str:
     ordered = ", ".join(f"({n}, '{licence}', '{sequence_text(ids)}')" for n, (licence, ids) in enumerate(tables.rules))
     most = max(len(s.split()) for s in sentences)
     normal = "trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g'))"
+    last = ", ".join(f"'{licence}'" for licence in sorted(tables.last))
+    spdx = normal.format("regexp_replace(x, '([0-9])\\+', '\\1 or later', 'g')")
+    members = f"string_split(replace(replace(replace({spdx}, ' or later', ' orlater'), ' or ', '|{SPDX_LINE}'), ' and ', '|{SPDX_LINE}'), '|')"
+    one = "regexp_replace(replace(y, ' orlater', ' or later'), ' with .*$', '')"
+    aside = normal.format(f"regexp_replace(x, '{ASIDE}', ' ', 'g')")
+    lines = f"CASE WHEN contains(x, 'spdx') AND contains({spdx}, '{SPDX_LINE}') THEN list_transform({members}, lambda y: {one}) ELSE [{aside}] END"
     return f"""
 WITH RECURSIVE known(sentence, identifier) AS (VALUES {known}), rules(n, licence, run) AS (VALUES {ordered}),
 docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '{SPDX}', '\\1 ', 'g') AS body FROM documents),
 pieces AS MATERIALIZED (
-  SELECT r, p, list_filter(list_transform(string_split(piece, chr(10)), lambda x: {normal.format("x")}), lambda x: x <> '') AS own
+  SELECT r, p, list_filter(flatten(list_transform(string_split(piece, chr(10)), lambda x: {lines})), lambda x: x <> '') AS own
   FROM (SELECT r, unnest(cut) AS piece, generate_subscripts(cut, 1) AS p FROM (SELECT r, regexp_split_to_array(body, '{ENDS}') AS cut FROM docs))),
 firsts AS (SELECT r, p, own, unnest(range(1, len(own) + 1)) AS i FROM pieces),
 runs AS (SELECT r, p, own, i, unnest(range(i, least(len(own), i + {most} - 1) + 1)) AS j FROM firsts),
@@ -63,7 +69,7 @@ steps AS (
   SELECT r, 0 AS n, rest, '' AS found FROM sequences
   UNION ALL
   SELECT r, steps.n + 1, replace(rest, run, '|'), CASE WHEN contains(rest, run) THEN found || licence || ',' ELSE found END FROM steps JOIN rules ON rules.n = steps.n),
-ends AS (SELECT r, rest, list_filter(string_split(found, ','), lambda x: x <> '') AS found FROM steps WHERE n = {len(tables.rules)}),
+ends AS (SELECT r, rest, list_filter(string_split(found, ','), lambda x: x <> '') AS every, list_filter(every, lambda x: x NOT IN ({last})) AS own, CASE WHEN len(own) > 0 THEN own ELSE every END AS found FROM steps WHERE n = {len(tables.rules)}),
 talk AS (
   SELECT r, count(*) AS unknown FROM pieces
   WHERE regexp_matches(array_to_string(own, ' '), '{LICENCE_WORDS}') AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.r = pieces.r AND k.p = pieces.p) GROUP BY r)
