@@ -38,13 +38,13 @@ BLOCK, CHUNK = 8192, 20_000
 #: Vectors over which the planes are fitted, at most.
 SAMPLE = 4096
 
-#: Up to so many entries, a search visits all of them.
-WHOLE = 1000
+#: Entries, counted in each tree, to which a query ascends at least: all of 64 entries in 8 trees.
+LEAST = 512
 
 
 def candidates_wanted(n: int) -> int:
     """Entries, counted in each tree, to which a query ascends: in proportion to n ** 0.82."""
-    return max(WHOLE, math.ceil(2.3 * n**0.82))
+    return max(LEAST, math.ceil(2.3 * n**0.82))
 
 
 def usable(vector: Column) -> Column:
@@ -104,7 +104,16 @@ def chosen_cells(margins: np.ndarray, counts: np.ndarray, wanted: int) -> tuple[
 
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(np.float64)
+    return scaled(flat.reshape(len(column), -1).astype(np.float64))
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """``vectors``, those whose squares could leave the range of doubles times a power of two, which changes no cosine."""
+    largest = np.abs(vectors).max(axis=1, initial=0.0)
+    far = (largest > 1e100) | (largest < 1e-100)
+    if far.any():
+        vectors[far] = np.ldexp(vectors[far], -np.frexp(largest[far])[1][:, None])
+    return vectors
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -131,8 +140,8 @@ def nearest(
     ``k``: all of them. No rows: none out. Other columns are not read.
 
     A query goes up until its cells hold ``wanted(n)`` of the ``n`` entries, counted in each tree, which keeps
-    recall at 0.9 or more even on data without low-dimensional structure and grows slower than ``n``. Up
-    to ``WHOLE`` entries, all are scored. Vectors of each length are searched by a plan of their own.
+    recall at 0.9 or more even on data without low-dimensional structure and grows slower than ``n``.
+    Components of any finite size take part. Vectors of each length are searched by a plan of their own.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
@@ -154,11 +163,11 @@ def nearest(
 def _nearest(entries: DataFrame, asked: DataFrame, n: int, k: int, trees: int, seed: int, wanted, schema: str) -> DataFrame:
     spark = entries.sparkSession
     sample = np.array([r[0] for r in entries.orderBy("entry").limit(SAMPLE).select("v").collect()], dtype=np.float64)
-    planes, offsets = fit_planes(unit(sample), trees, seed)
+    planes, offsets = fit_planes(unit(scaled(sample)), trees, seed)
     id_type = asked.schema["query_id"].dataType.simpleString()
     array = "array<float>" if "float" in entries.schema["v"].dataType.simpleString() else "array<double>"
     asked = asked.select(F.col("v").cast(array), "query_id")
-    depth = 0 if n <= WHOLE else max(0, min(CELL_BITS, n.bit_length()))
+    depth = min(CELL_BITS, n.bit_length()) if n > k + 1 else 0
     first = min(depth, (n // BLOCK).bit_length())
 
     def strings(batches):

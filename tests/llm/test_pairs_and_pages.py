@@ -308,6 +308,22 @@ def test_few_vectors_are_all_found(spark, n):
     assert len(out) == n * min(5, n - 1)
 
 
+@pytest.mark.parametrize("n, size", [(40, 1.0), (300, 1.0), (700, 1.0), (300, 1e200), (300, 1e-200)])
+def test_small_tables_and_components_of_any_size(spark, n, size):
+    """Data without any structure, searched alike at every size; squares may leave the range of doubles."""
+    x = np.random.default_rng(n).standard_normal((n, 48)) * size
+    out = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>"), F.col("vec_id") % 5 == 0).toPandas()
+    unit = x / size / np.linalg.norm(x / size, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, n, 5):
+        score = unit @ unit[q]
+        score[q] = -9
+        got = out[out["query_id"] == q].sort_values("rank")
+        assert len(got) == 5 and np.allclose(got["score"], score[got["vec_id"]], atol=1e-12)
+        hits += len(set(got["vec_id"]) & set(np.argsort(-score)[:5].tolist()))
+    assert hits >= 0.9 * n
+
+
 PAGE = """<!DOCTYPE html><html><head><title>A title here</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
 <header><h2>Site name and motto</h2></header><nav><ul><li><a href="/a">Menu one</a></li><li><a href=/b>Menu two</a></li></ul></nav><!-- ad -->
 <div class="ad">Buy this thing now</div><article><h1>The   headline &amp; more</h1><p><b>First paragraph of the text with many words in it.<br><p>Second &eacute;l&#233;ment
