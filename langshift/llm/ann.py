@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by cosine with a hash-prefix forest.
 
-Each of ``trees`` trees gives every vector a long string of sign bits and keeps the vectors as an array
-sorted by it. A query descends to the vectors that share the longest prefix with its own string and
-ascends, in all trees at once, to vectors with less and less in common, until enough candidates are
-found; these are scored exactly. The way up goes by what a differing bit costs: bits that the query
-itself hardly decides (its distance to their plane is small) are given up first. So the prefixes that
-a query visits vary in number and place with the query and the density around it.
-
-On Spark one narrow aggregation counts the entries of all cells (prefixes of ``CELL_BITS`` bits, a
-bounded number). Each query takes the cells of the smallest cost, over all trees, until they hold
-``wanted(n)`` entries. The sorted arrays are cut into blocks; a block is read once for each chunk of the
-queries that visit it, finds their cells by bisection and scores them by products. Blocks that hold many
-entries are salted, blocks with many visitors repeated, so that no group outgrows a task.
+Each of ``trees`` trees gives every vector a string of 48 sign bits and keeps the vectors as an array
+sorted by it. A vector's label in a tree is the shortest prefix of its string that few others share, as
+short or as long as the density around it asks for, up to all bits. A query descends to its longest
+prefix match in each array and ascends from there, in all trees at once, to labels with less and less in
+common, until enough candidates are found; these are scored exactly. The way up goes by what a differing
+bit costs: bits that the query itself hardly decides (its distance to their plane is small) are given up
+first, so the branches off its path are met in the order of their cost, whatever tree they stand in.
+
+On Spark, narrow aggregations count prefixes, longer ones only below prefixes that too many entries share.
+Their leaves, a table whose size is bounded whatever n is, go to every task. The sorted arrays are
+cut into blocks between leaves; a block is read once for each chunk of the queries that visit it, finds
+their leaves by bisection and scores them by products. Blocks that hold many entries are salted, blocks
+with many visitors repeated, so that no group outgrows a task.
 
 Equal vectors are one entry with its smallest ids, which keeps large groups of copies in one row and
 ties exact.
@@ -29,8 +30,14 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Bits of a tree's strings, and of the cells that are counted at most.
-BITS, CELL_BITS = 48, 14
+#: Bits of a tree's strings.
+BITS = 48
+
+#: Entries that share a label at least before a longer prefix parts them, and labels of all trees at most, about.
+LEAF, LEAVES = 3, 1 << 19
+
+#: Prefixes that one aggregation counts at most, as a power of two.
+COUNTED = 20
 
 #: Entries of a block, about, and queries that one copy of it serves, about.
 BLOCK, CHUNK = 8192, 20_000
@@ -43,8 +50,8 @@ LEAST = 512
 
 
 def candidates_wanted(n: int) -> int:
-    """Entries, counted in each tree, to which a query ascends: in proportion to n ** 0.82."""
-    return max(LEAST, math.ceil(2.3 * n**0.82))
+    """Entries, counted in each tree, to which a query ascends: in proportion to n ** 0.75."""
+    return max(LEAST, math.ceil(4.2 * n**0.75))
 
 
 def usable(vector: Column) -> Column:
@@ -73,33 +80,101 @@ def hash_strings(margins: np.ndarray, trees: int) -> np.ndarray:
     return bits.astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
-def cell_costs(margins: np.ndarray, depth: int) -> np.ndarray:
-    """Cost of each cell of each tree (trees x 2 ** depth) for a query's distances to the planes (trees x
-    bits): the sum of their squares over the bits in which the cell differs."""
-    cost = np.zeros((len(margins), 1), dtype=np.float32)
-    for bit in range(depth):
-        one = margins[:, bit] > 0
-        w = (margins[:, bit] ** 2).astype(np.float32)
-        step = np.stack([np.where(one, w, 0), np.where(one, 0, w)], axis=1)
-        cost = (cost[:, :, None] + step[:, None, :]).reshape(len(margins), -1)
-    return cost
-
-
-def chosen_cells(margins: np.ndarray, counts: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tree, cell) of the cells to which a query ascends, over all trees at once in order of their cost,
-    until they hold ``wanted`` entries; cells of equal cost go together. ``counts``: trees x cells."""
-    held = np.flatnonzero(counts)
-    cost, sizes = cell_costs(margins, counts.shape[1].bit_length() - 1).ravel()[held], counts.ravel()[held]
-    some = max(64, 2 * wanted * len(held) // int(sizes.sum()))
-    while True:  # the cheapest cells are enough, mostly twice as many as would be of average size
-        near = np.argpartition(cost, some)[:some] if some < len(held) else np.arange(len(held))
-        order = near[np.argsort(cost[near])]
-        total = np.cumsum(sizes[order])
-        if total[-1] >= wanted or len(order) == len(held):
+def labels(starts: np.ndarray, sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, lengths, sizes) of one tree's leaves, sorted: the shortest prefixes that at most ``limit`` entries
+    share, or all bits. Given are counted prefixes by their smallest string, each with its ``sizes``."""
+    out = []
+    for length in range(BITS + 1):
+        prefix, own = np.unique(starts >> BITS - length, return_inverse=True)
+        total = np.bincount(own, weights=sizes, minlength=len(prefix)).astype(np.int64)
+        leaf = (total <= limit) | (length == BITS)
+        out.append((prefix[leaf] << BITS - length, np.full(int(leaf.sum()), length), total[leaf]))
+        starts, sizes = starts[~leaf[own]], sizes[~leaf[own]]
+        if not len(starts):
+            break
+    found = [np.concatenate(column) for column in zip(*out, strict=True)]
+    order = np.argsort(found[0])
+    return found[0][order], found[1][order], found[2][order]
+
+
+class Forest:
+    """The leaves of all trees: smallest string, length, size, tree and block of each, sorted within trees."""
+
+    def __init__(self, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]], block: int):
+        self.starts = [starts for starts, _, _ in trees]
+        self.first = np.cumsum([0, *map(len, self.starts)])
+        lengths, self.sizes = (np.concatenate([t[i] for t in trees]) for i in (1, 2))
+        self.tree = np.repeat(np.arange(len(trees)), np.diff(self.first))
+        # Leaves whose entries begin in the same stretch of ``block`` entries of a tree share a block.
+        inside = np.concatenate([(np.cumsum(size) - size) // block for _, _, size in trees])
+        self.block = np.cumsum(np.r_[0, (np.diff(inside) != 0) | (np.diff(self.tree) != 0)])
+        # For each byte of a string the leaves that reach it, and the node of a binary tree over its bits where they end.
+        self.nodes = []
+        for byte in range(BITS // 8):
+            at = np.flatnonzero(lengths > 8 * byte)
+            bits = np.minimum(lengths[at] - 8 * byte, 8)
+            value = np.concatenate(self.starts)[at] >> BITS - 8 * byte - 8 & 255
+            self.nodes.append((at, (1 << bits) | value >> 8 - bits))
+
+    def leaves_of(self, strings: np.ndarray) -> np.ndarray:
+        """The leaf of each string (rows x trees): the longest prefix match, found by bisection."""
+        return np.stack([self.first[t] + np.searchsorted(s, strings[:, t], side="right") - 1 for t, s in enumerate(self.starts)], axis=1)
+
+    def costs(self, margins: np.ndarray) -> np.ndarray:
+        """Cost of each leaf for a query's distances to the planes (trees x bits): the sum of their squares
+        over the bits of the leaf's prefix in which the query differs."""
+        w, one = np.float32(margins**2), margins > 0
+        steps = np.stack([np.where(one, w, 0), np.where(one, 0, w)], axis=2).reshape(len(margins), BITS // 8, 8, 2)
+        table = np.zeros((len(margins), BITS // 8, 512), dtype=np.float32)
+        for bit in range(8):
+            below = table[:, :, 1 << bit : 2 << bit, None] + steps[:, :, bit, None, :]
+            table[:, :, 2 << bit : 4 << bit] = below.reshape(len(margins), BITS // 8, -1)
+        cost = np.zeros(len(self.tree), dtype=np.float32)
+        for byte, (at, node) in enumerate(self.nodes):
+            cost[at] += table[self.tree[at], byte, node]
+        return cost
+
+    def ascend(self, margins: np.ndarray, wanted: int) -> np.ndarray:
+        """The leaves to which a query ascends, over all trees at once in order of their cost, until they hold
+        ``wanted`` entries; leaves of equal cost go together."""
+        cost, sizes = self.costs(margins), self.sizes
+        some = max(64, 2 * wanted * len(cost) // max(1, int(sizes.sum())))
+        while True:  # the cheapest leaves are enough, mostly twice as many as would be of average size
+            near = np.argpartition(cost, some)[:some] if some < len(cost) else np.arange(len(cost))
+            order = near[np.argsort(cost[near])]
+            total = np.cumsum(sizes[order])
+            if total[-1] >= wanted or len(order) == len(cost):
+                break
+            some *= 2
+        return np.flatnonzero(cost <= cost[order[min(int(np.searchsorted(total, wanted)), len(order) - 1)]])
+
+
+def counted_forest(strings: DataFrame, n: int, trees: int) -> Forest:
+    """The forest over ``strings`` (tree, hash; n rows for each tree). A first aggregation counts prefixes of about
+    as many bits as ``n`` has, the next ones longer prefixes below those that more than the limit share. What
+    comes back is bounded by ``COUNTED`` and ``LEAVES``, whatever ``n`` is."""
+    limit = max(LEAF, -(-n * trees // LEAVES))
+    depth = min(n.bit_length() + 2, COUNTED - (trees - 1).bit_length())
+    parts, below = [], strings
+    while True:
+        start = F.shiftleft(F.shiftright("hash", BITS - depth), BITS - depth).alias("start")
+        table = below.groupBy("tree", start).agg(F.count(F.lit(1)).alias("size")).toArrow()
+        tree, start, size = (table.column(c).to_numpy() for c in ("tree", "start", "size"))
+        heavy = (size > limit) & (depth < BITS)
+        parts.append((tree[~heavy], start[~heavy], size[~heavy]))
+        if not heavy.any():
             break
-        some *= 2
-    last = cost[order[min(int(np.searchsorted(total, wanted)), len(order) - 1)]]
-    return np.divmod(held[cost <= last], counts.shape[1])
+        shared = strings.sparkSession.createDataFrame(pa.table({"tree": tree[heavy].astype(np.int32), "start": start[heavy]}))
+        own = F.shiftleft(F.shiftright("hash", BITS - depth), BITS - depth)
+        below = strings.withColumn("start", own).join(F.broadcast(shared), ["tree", "start"], "left_semi")  # at most LEAVES rows
+        depth = min(BITS, depth + max(1, COUNTED - int(heavy.sum()).bit_length()))
+    tree, start, size = (np.concatenate(column) for column in zip(*parts, strict=True))
+    return Forest([labels(start[tree == t], size[tree == t], limit) for t in range(trees)], max(BLOCK, n >> 14))
+
+
+def listed(rows: np.ndarray) -> pa.Array:
+    """A list of each row's numbers."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.reshape(-1)))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -139,7 +214,7 @@ def nearest(
     several vectors is several candidates under one id, of which the best counts. Fewer candidates than
     ``k``: all of them. No rows: none out. Other columns are not read.
 
-    A query goes up until its cells hold ``wanted(n)`` of the ``n`` entries, counted in each tree, which keeps
+    A query goes up until its leaves hold ``wanted(n)`` of the ``n`` entries, counted in each tree, which keeps
     recall at 0.9 or more even on data without low-dimensional structure and grows slower than ``n``.
     Components of any finite size take part. Vectors of each length are searched by a plan of their own.
     """
@@ -167,50 +242,52 @@ def _nearest(entries: DataFrame, asked: DataFrame, n: int, k: int, trees: int, s
     id_type = asked.schema["query_id"].dataType.simpleString()
     array = "array<float>" if "float" in entries.schema["v"].dataType.simpleString() else "array<double>"
     asked = asked.select(F.col("v").cast(array), "query_id")
-    depth = min(CELL_BITS, n.bit_length()) if n > k + 1 else 0
-    first = min(depth, (n // BLOCK).bit_length())
+
+    def margins_of(column: pa.Array) -> np.ndarray:
+        return unit(matrix(column)) @ planes - offsets
 
     def strings(batches):
         for batch in batches:
             if batch.num_rows:
-                found = hash_strings(unit(matrix(batch.column(0))) @ planes - offsets, trees)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, trees), pa.int32()), pa.array(found.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, flat], [*batch.schema.names, "strings"])
+                yield pa.RecordBatch.from_arrays([listed(hash_strings(margins_of(batch.column(0)), trees))], ["strings"])
+
+    hashed = common.cut_lineage(entries.select(F.col("v").cast(array)).mapInArrow(strings, "strings array<long>"))
+    forest = counted_forest(hashed.select(F.posexplode("strings").alias("tree", "hash")), n, trees)
+    sent = spark.sparkContext.broadcast(forest)
 
-    entries = entries.select(F.col("v").cast(array), "ids", "entry").mapInArrow(strings, f"v {array}, ids array<{id_type}>, entry long, strings array<long>")
-    spread = entries.select("v", "ids", "entry", F.posexplode("strings").alias("tree", "hash"))
+    def leaves(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = sent.value.leaves_of(hash_strings(margins_of(batch.column(0)), trees))
+                yield pa.RecordBatch.from_arrays([*batch.columns, listed(found), listed(sent.value.block[found])], [*batch.schema.names, "leaves", "blocks"])
 
-    # How many entries each cell holds: a bounded table, whatever n is.
-    counts = np.zeros((trees, 1 << depth), dtype=np.int64)
-    for tree, cell, c in spread.groupBy("tree", F.shiftright("hash", BITS - depth).alias("cell")).agg(F.count(F.lit(1))).collect():
-        counts[tree, cell] = c
-    per_block = counts.reshape(trees, 1 << first, -1).sum(axis=2)
+    entries = entries.select(F.col("v").cast(array), "ids", "entry").mapInArrow(leaves, f"v {array}, ids array<{id_type}>, entry long, leaves array<long>, blocks array<long>")
+    spread = entries.select("v", "ids", "entry", F.explode(F.arrays_zip("leaves", "blocks")).alias("at")).select("v", "ids", "entry", F.col("at.leaves").alias("leaf"), F.col("at.blocks").alias("block"))
 
     def visits(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            margins = (unit(matrix(batch.column(0))) @ planes - offsets).reshape(-1, trees, BITS)
-            rows, tree, block, cells = [], [], [], []
-            for row, own in enumerate(margins):
-                t, c = chosen_cells(own, counts, wanted(n))
-                at = np.flatnonzero(np.r_[True, np.diff(t << first | c >> depth - first) != 0])
+            rows, block, visited = [], [], []
+            for row, own in enumerate(margins_of(batch.column(0)).reshape(-1, trees, BITS)):
+                found = sent.value.ascend(own, wanted(n))
+                blocks = sent.value.block[found]
+                at = np.flatnonzero(np.r_[True, np.diff(blocks) != 0])
                 rows += [row] * len(at)
-                tree += t[at].tolist()
-                block += (c[at] >> depth - first).tolist()
-                cells += np.split(c, at[1:])
+                block += blocks[at].tolist()
+                visited += np.split(found.astype(np.int32), at[1:])
             picked = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(tree, pa.int32()), pa.array(block, pa.int64()), pa.array(cells, pa.list_(pa.int64()))], ["v", "query_id", "tree", "block", "cells"])
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(block, pa.int64()), pa.array(visited, pa.list_(pa.int32()))], ["v", "query_id", "block", "visited"])
 
-    visits = common.cut_lineage(asked.mapInArrow(visits, f"v {array}, query_id {id_type}, tree int, block long, cells array<long>"))
-    visited = visits.groupBy("tree", "block").count().collect()  # at most as many as there are cells
-    sized = [(t, b, math.ceil(int(per_block[t, b]) / BLOCK), math.ceil(c / CHUNK)) for t, b, c in visited]
-    blocks = F.broadcast(spark.createDataFrame(sized, "tree int, block long, salts int, chunks int"))
+    visits = common.cut_lineage(asked.mapInArrow(visits, f"v {array}, query_id {id_type}, block long, visited array<int>"))
+    per_block = np.bincount(forest.block, weights=forest.sizes)
+    visitors = visits.groupBy("block").count().collect()  # at most 2 ** 14 for each tree and one for each BLOCK entries
+    sized = [(b, math.ceil(int(per_block[b]) / BLOCK), math.ceil(c / CHUNK)) for b, c in visitors]
+    blocks = F.broadcast(spark.createDataFrame(sized, "block long, salts int, chunks int"))
 
-    in_block = spread.withColumn("block", F.shiftright("hash", BITS - first)).join(blocks, ["tree", "block"])
-    in_block = in_block.select("tree", "block", F.pmod("entry", "salts").cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "hash", "v", "ids", F.lit(None).cast(id_type).alias("query_id"), F.lit(None).cast("array<long>").alias("cells"))
+    in_block = spread.join(blocks, "block").select("block", F.pmod("entry", "salts").cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "leaf", "v", "ids", F.lit(None).cast(id_type).alias("query_id"), F.lit(None).cast("array<int>").alias("visited"))
     chunk = F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int").alias("chunk")
-    asking = visits.join(blocks, ["tree", "block"]).select("tree", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), chunk, F.lit(None).cast("long").alias("hash"), "v", F.lit(None).cast(f"array<{id_type}>").alias("ids"), "query_id", "cells")
+    asking = visits.join(blocks, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), chunk, F.lit(None).cast("long").alias("leaf"), "v", F.lit(None).cast(f"array<{id_type}>").alias("ids"), "query_id", "visited")
 
     def search(table: pa.Table) -> pa.Table:
         query = np.array(table.column("query_id").is_valid())
@@ -220,14 +297,14 @@ def _nearest(entries: DataFrame, asked: DataFrame, n: int, k: int, trees: int, s
         x = matrix(table.column("v").combine_chunks())
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
         entry = np.flatnonzero(~query)
-        hashes = table.column("hash").take(pa.array(entry)).to_numpy()
-        order = np.argsort(hashes, kind="stable")
-        entry, cell = entry[order], hashes[order] >> BITS - depth
+        leaf = table.column("leaf").take(pa.array(entry)).to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        entry, leaf = entry[order], leaf[order]
         points, lengths, ids = x[entry], norm[entry], table.column("ids")
-        keys, wanted_cells, out = table.column("query_id"), table.column("cells"), []
+        keys, visited, out = table.column("query_id"), table.column("visited"), []
         for q in np.flatnonzero(query).tolist():
-            own_cells = wanted_cells[q].values.to_numpy()
-            low, high = np.searchsorted(cell, own_cells), np.searchsorted(cell, own_cells, side="right")
+            own_leaves = visited[q].values.to_numpy()
+            low, high = np.searchsorted(leaf, own_leaves), np.searchsorted(leaf, own_leaves, side="right")
             sizes = high - low
             at = np.repeat(low - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
             if not len(at):
@@ -246,7 +323,7 @@ def _nearest(entries: DataFrame, asked: DataFrame, n: int, k: int, trees: int, s
         columns = list(zip(*out, strict=True)) if out else [(), (), ()]
         return pa.table({name: pa.array(c, empty.schema.field(name).type) for name, c in zip(empty.schema.names, columns, strict=True)})
 
-    found = in_block.unionByName(asking).groupBy("tree", "block", "salt", "chunk").applyInArrow(search, f"query_id {id_type}, vec_id {id_type}, score double")
+    found = in_block.unionByName(asking).groupBy("block", "salt", "chunk").applyInArrow(search, f"query_id {id_type}, vec_id {id_type}, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -261,19 +261,59 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(vectors.where("false"), F.lit(True)).count() == 0
 
 
-def test_cells_in_order_of_their_cost():
+def forest_by_hand(strings, limit):
+    """(tree, prefix as text) -> size of the shortest prefixes that at most ``limit`` strings share, or all bits."""
+    out = {}
+    for tree in range(strings.shape[1]):
+        texts = [format(int(v), f"0{ann.BITS}b") for v in strings[:, tree]]
+        shared = {}
+        for text in texts:
+            for length in range(ann.BITS + 1):
+                shared[text[:length]] = shared.get(text[:length], 0) + 1
+        for text in texts:
+            length = next((i for i in range(ann.BITS) if shared[text[:i]] <= limit), ann.BITS)
+            out[tree, text[:length]] = shared[text[:length]]
+    return out
+
+
+def some_strings(rng, n, trees):
+    """Strings of any density: some spread, some that share long prefixes, some equal."""
+    strings = rng.integers(0, 1 << ann.BITS, (n, trees))
+    strings[n // 2 :] = strings[0] ^ rng.integers(0, 64, (n - n // 2, trees))
+    strings[-n // 5 :] = strings[-1]
+    return strings
+
+
+def text_of(forest, leaf):
+    bits = format(int(forest.starts[forest.tree[leaf]][leaf - forest.first[forest.tree[leaf]]]), f"0{ann.BITS}b")
+    length = sum(int(node[at == leaf][0]).bit_length() - 1 for at, node in forest.nodes if (at == leaf).any())
+    return bits[:length]
+
+
+def test_leaves_are_the_shortest_prefixes_that_few_share(spark, monkeypatch):
+    """Counted in several rounds, longer prefixes below crowded ones alone."""
+    for counted in (20, 6):
+        monkeypatch.setattr(ann, "COUNTED", counted)
+        strings = some_strings(np.random.default_rng(counted), 200, 3)
+        table = spark.createDataFrame([(t, int(v)) for t in range(3) for v in strings[:, t]], "tree int, hash long")
+        forest = ann.counted_forest(table, 200, 3)
+        assert {(int(t), text_of(forest, i)): int(forest.sizes[i]) for i, t in enumerate(forest.tree)} == forest_by_hand(strings, ann.LEAF)
+        for row, found in zip(strings, forest.leaves_of(strings), strict=True):
+            assert all(format(int(v), f"0{ann.BITS}b").startswith(text_of(forest, leaf)) and forest.tree[leaf] == t for t, (v, leaf) in enumerate(zip(row, found, strict=True)))
+
+
+def test_ascent_in_order_of_what_differing_bits_cost():
     rng = np.random.default_rng(1)
     for wanted in (1, 40, 300, 10_000):
-        margins, counts = rng.standard_normal((3, ann.BITS)), rng.integers(0, 4, (3, 64))
-        cost = np.array([[sum(m[b] ** 2 for b in range(6) if (c >> 5 - b & 1) != (m[b] > 0)) for c in range(64)] for m in margins])
-        assert np.allclose(ann.cell_costs(margins, 6), cost, rtol=1e-5)
-        tree, cell = ann.chosen_cells(margins, counts, wanted)
-        chosen = np.zeros_like(counts, dtype=bool)
-        chosen[tree, cell] = True
-        assert counts[chosen].sum() >= min(wanted, counts.sum())
-        held = counts > 0
-        if (held & ~chosen).any():
-            assert cost[chosen].max() <= cost[held & ~chosen].min() and counts[chosen & (cost < cost[chosen].max() - 1e-5)].sum() < wanted
+        strings, margins = some_strings(rng, 150, 3), rng.standard_normal((3, ann.BITS))
+        forest = ann.Forest([ann.labels(*np.unique(strings[:, t], return_counts=True), 3) for t in range(3)], 20)
+        own = [(margins[t], text_of(forest, i)) for i, t in enumerate(forest.tree)]
+        cost = np.array([sum(m[b] ** 2 for b, bit in enumerate(prefix) if (bit == "1") != (m[b] > 0)) for m, prefix in own])
+        assert np.allclose(forest.costs(margins), cost, rtol=1e-4, atol=1e-5)
+        chosen = np.isin(np.arange(len(cost)), forest.ascend(margins, wanted))
+        assert forest.sizes[chosen].sum() >= min(wanted, forest.sizes.sum())
+        if not chosen.all():
+            assert cost[chosen].max() <= cost[~chosen].min() + 1e-4 and forest.sizes[chosen & (cost < cost[chosen].max() - 1e-3)].sum() < wanted
 
 
 def test_nearest_where_the_forest_prunes(spark, monkeypatch):
