@@ -51,7 +51,7 @@ LEAST = 512
 
 def candidates_wanted(n: int) -> int:
     """Entries, counted in each tree, to which a query ascends: in proportion to n ** 0.75."""
-    return max(LEAST, math.ceil(4.2 * n**0.75))
+    return max(LEAST, math.ceil(4.5 * n**0.75))
 
 
 def usable(vector: Column) -> Column:
