@@ -224,10 +224,12 @@ def nearest(
     order = Window.partitionBy("v").orderBy("id")
     small = rows.select("id", "v").withColumn("_n", F.dense_rank().over(order)).where(F.col("_n") <= k + 1)
     entries = small.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    asked = rows.where("q").select(F.col("id").alias("query_id"), "v").distinct()
     schema = f"query_id {rows.schema['id'].dataType.simpleString()}, rank int, vec_id {rows.schema['id'].dataType.simpleString()}, score double"
     entries = common.cut_lineage(entries.withColumn("dim", F.size("v")).withColumn("entry", F.xxhash64("v")))
     dims = [(r[0], r[1]) for r in entries.groupBy("dim").count().collect()]
+    # A stated number of tasks, which isn't made smaller for few bytes: a query's way up is work, however small its row.
+    tasks = max(spark.sparkContext.defaultParallelism, sum(n for _, n in dims) >> 20)
+    asked = rows.where("q").select(F.col("id").alias("query_id"), "v").repartition(tasks, "query_id", "v").distinct()
     out = spark.createDataFrame([], schema)
     for dim, n in sorted(dims):
         of_dim = entries.where(F.col("dim") == dim)
