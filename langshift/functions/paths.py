@@ -25,7 +25,7 @@ def language_from_path(path: Column) -> Column:
     def lookup(table: dict[str, str], key: Column) -> Column:
         return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
 
-    named = F.when(extension == file, lookup(rules.FILE_NAMES, file)).otherwise(lookup(rules.extension_language(), extension))
+    named = F.when(extension == file, lookup(rules.FILE_NAMES, file)).otherwise(lookup(rules.EXTENSIONS, extension))
     return F.when(~is_ignored_path(path), named)
 
 

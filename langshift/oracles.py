@@ -141,7 +141,7 @@ def language(path: str = "path") -> str:
     file = f"split_part({path}, '/', -1)"
     ext = f"split_part({file}, '.', -1)"
     bare = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in rules.FILE_NAMES.items())
-    table = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in rules.extension_language().items())
+    table = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in rules.EXTENSIONS.items())
     return f"CASE WHEN regexp_matches(lower({path}), {IGNORED}) THEN NULL WHEN {ext} = {file} THEN CASE {file} {bare} END ELSE CASE {ext} {table} END END"
 
 

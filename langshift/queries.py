@@ -429,7 +429,7 @@ def pending_exemplars(t: Tables) -> DataFrame:
 
 @query
 def path_language_join(t: Tables) -> DataFrame:
-    table = t.spark.createDataFrame(list(rules.extension_language().items()), "ext string, lang string")
+    table = t.spark.createDataFrame(list(rules.EXTENSIONS.items()), "ext string, lang string")
     rows = history.path_language_join(t.changes, table)
     return rows.groupBy("repo", "lang").agg(F.count(F.lit(1)).alias("files"), F.sum("added").alias("added"))
 

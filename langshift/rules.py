@@ -126,21 +126,42 @@ IGNORED_SUFFIXES = [
 IGNORED_FOLDERS = ["/vendor/", "/node_modules/"]
 IGNORED_FILES = ["cargo.lock", "package-lock.json", "go.sum"]
 
-#: Extensions by language, and file names without one.
+#: Language by extension, and by the name of files without one.
 EXTENSIONS = {
-    "Rust": "rs", "C": "c h", "C++": "cc cpp cxx hpp hh hxx", "Python": "py pyi pyx", "JavaScript": "js mjs cjs",
-    "TypeScript": "ts tsx", "Go": "go", "Java": "java", "Kotlin": "kt kts", "Swift": "swift", "Ruby": "rb", "PHP": "php",
-    "C#": "cs", "Scala": "scala sc", "Haskell": "hs", "Lua": "lua", "Zig": "zig", "Nim": "nim", "Elixir": "ex exs",
-    "Erlang": "erl hrl", "Clojure": "clj cljs", "OCaml": "ml mli", "F#": "fs fsi fsx", "R": "r", "Shell": "sh bash zsh",
-    "Perl": "pl pm", "Dart": "dart", "Verilog": "v sv", "Assembly": "asm s", "Objective-C": "m mm",
+    "rs": "Rust",
+    "c": "C", "h": "C",
+    "cc": "C++", "cpp": "C++", "cxx": "C++", "hpp": "C++", "hh": "C++", "hxx": "C++",
+    "py": "Python", "pyi": "Python", "pyx": "Python",
+    "js": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript",
+    "ts": "TypeScript", "tsx": "TypeScript",
+    "go": "Go",
+    "java": "Java",
+    "kt": "Kotlin", "kts": "Kotlin",
+    "swift": "Swift",
+    "rb": "Ruby",
+    "php": "PHP",
+    "cs": "C#",
+    "scala": "Scala", "sc": "Scala",
+    "hs": "Haskell",
+    "lua": "Lua",
+    "zig": "Zig",
+    "nim": "Nim",
+    "ex": "Elixir", "exs": "Elixir",
+    "erl": "Erlang", "hrl": "Erlang",
+    "clj": "Clojure", "cljs": "Clojure",
+    "ml": "OCaml", "mli": "OCaml",
+    "fs": "F#", "fsi": "F#", "fsx": "F#",
+    "r": "R",
+    "sh": "Shell", "bash": "Shell", "zsh": "Shell",
+    "pl": "Perl", "pm": "Perl",
+    "dart": "Dart",
+    "v": "Verilog", "sv": "Verilog",
+    "asm": "Assembly", "s": "Assembly",
+    "m": "Objective-C", "mm": "Objective-C",
 }
 FILE_NAMES = {"Makefile": "Makefile", "GNUmakefile": "Makefile", "Dockerfile": "Dockerfile"}
 
 
-def extension_language() -> dict[str, str]:
-    return {ext: language for language, exts in EXTENSIONS.items() for ext in exts.split()}
-
-
 @dataclass(frozen=True)
 class Rule:
     """A search: all ``phrases`` in the searched text, the language, more than ``stars``."""
@@ -153,34 +174,31 @@ class Rule:
     readme: bool = False
 
 
-def _in_rust(label: str, *phrases: str, stars: int | None = None) -> Rule:
-    return Rule(label, phrases, TARGET, stars)
-
-
-def _from(language: str) -> Rule:
-    return _in_rust(f"repo describes a from-{language}-to-Rust migration", f"from {language.lower()}", "to rust")
-
-
-def _readme(verb: str, stars: int) -> Rule:
-    return Rule(f'README/description mentions "{verb} Rust"', (f"{verb} rust",), None, stars, None, True)
-
-
 #: Searches over repositories, in order.
 REPO_RULES = [
-    *(_in_rust(f'repo mentions "{verb} Rust"', f"{verb} rust") for verb in ("rewritten in", "rewrite in", "rewriting in", "migrated to", "migrating to")),
-    _in_rust("repo describes a rewrite of a named project", "rewrite of"),
-    _in_rust("repo describes a reimplementation of a named project", "reimplementation of", "rust"),
-    _in_rust('repo mentions "reimplementation in Rust"', "reimplementation in rust"),
-    *map(_from, ("Go", "TypeScript", "JavaScript", "Python", "C++", "Java")),
-    _in_rust("repo describes a port to Rust", "port of", "in rust"),
-    _in_rust('repo mentions a "Rust port of" a named project', "rust port of"),
-    _in_rust("repo references oxidizing/porting to Rust", "oxidize", "rewrite"),
-    _in_rust("repo is a drop-in replacement written in Rust", "drop-in replacement"),
-    _in_rust("repo positions itself as an alternative (Rust)", "alternative to", stars=50),
-    _readme("rewritten in", 100),
-    _readme("rewriting in", 50),
-    _readme("migrating to", 50),
-    _readme("porting to", 50),
+    Rule('repo mentions "rewritten in Rust"', ("rewritten in rust",), language="Rust"),
+    Rule('repo mentions "rewrite in Rust"', ("rewrite in rust",), language="Rust"),
+    Rule('repo mentions "rewriting in Rust"', ("rewriting in rust",), language="Rust"),
+    Rule('repo mentions "migrated to Rust"', ("migrated to rust",), language="Rust"),
+    Rule('repo mentions "migrating to Rust"', ("migrating to rust",), language="Rust"),
+    Rule("repo describes a rewrite of a named project", ("rewrite of",), language="Rust"),
+    Rule("repo describes a reimplementation of a named project", ("reimplementation of", "rust"), language="Rust"),
+    Rule('repo mentions "reimplementation in Rust"', ("reimplementation in rust",), language="Rust"),
+    Rule("repo describes a from-Go-to-Rust migration", ("from go", "to rust"), language="Rust"),
+    Rule("repo describes a from-TypeScript-to-Rust migration", ("from typescript", "to rust"), language="Rust"),
+    Rule("repo describes a from-JavaScript-to-Rust migration", ("from javascript", "to rust"), language="Rust"),
+    Rule("repo describes a from-Python-to-Rust migration", ("from python", "to rust"), language="Rust"),
+    Rule("repo describes a from-C++-to-Rust migration", ("from c++", "to rust"), language="Rust"),
+    Rule("repo describes a from-Java-to-Rust migration", ("from java", "to rust"), language="Rust"),
+    Rule("repo describes a port to Rust", ("port of", "in rust"), language="Rust"),
+    Rule('repo mentions a "Rust port of" a named project', ("rust port of",), language="Rust"),
+    Rule("repo references oxidizing/porting to Rust", ("oxidize", "rewrite"), language="Rust"),
+    Rule("repo is a drop-in replacement written in Rust", ("drop-in replacement",), language="Rust"),
+    Rule("repo positions itself as an alternative (Rust)", ("alternative to",), language="Rust", stars=50),
+    Rule('README/description mentions "rewritten in Rust"', ("rewritten in rust",), stars=100, readme=True),
+    Rule('README/description mentions "rewriting in Rust"', ("rewriting in rust",), stars=50, readme=True),
+    Rule('README/description mentions "migrating to Rust"', ("migrating to rust",), stars=50, readme=True),
+    Rule('README/description mentions "porting to Rust"', ("porting to rust",), stars=50, readme=True),
 ]
 
 #: Searches over titles of issues and pull requests, in order.
