@@ -27,7 +27,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates, the document with the smallest id: five-word shingles, similarity 0.8."""
+    """Of near-duplicates, the document with the smallest id: SimHash fingerprints that meet in covering tables, links
+    checked by five-word shingles and similarity 0.8; what differs in more bits is found by prefix filtering."""
     common.small_batches(spark)
     return shingles.keep_one(docs)
 

@@ -1,7 +1,12 @@
-"""Near-duplicates by the similarity of shingle sets, found through prefix filtering.
+"""Near-duplicates by the similarity of shingle sets, found through SimHash with covering hashing.
 
-The similarity of two texts is the Jaccard index of their sets of word shingles. All sets are put in one
-order of shingles. Two sets that are similar enough share a shingle among the first
+The similarity of two texts is the Jaccard index of their sets of word shingles. Fingerprints of the sets
+(``simhash``: a bit is 1 if set in over half of a set's hashes) meet in the covering tables of ``RADIUS``, so that no two
+within that many bits are missed, and the texts that meet are linked where their sets are similar enough.
+
+Fingerprints of similar sets can differ in more bits (some ten at a Jaccard index of 0.8), and a covering family of that
+radius would have thousands of tables. Prefix filtering is the exact way for these, between the components that the
+fingerprints leave: no similar pair is missed. All sets are put in one order of shingles. Two sets that are similar enough share a shingle among the first
 ``n - ceil(similarity * n) + 1`` of each, whatever the order is, so that the texts that share a shingle
 of these prefixes hold every pair, and none is missed. The order has shingles last that many texts of a
 sample have; that only decides how many pairs are compared. Each pair that is linked has been compared
@@ -39,6 +44,10 @@ BLOCK = 2048
 #: No partner: larger than any fp.
 NONE = np.iinfo(np.int64).max
 
+#: Bits in which the fingerprints of texts that meet in the covering tables differ at most. It decides who finds a
+#: link, never whether it is found.
+RADIUS = 4
+
 #: Bits of the map of the documents whose sets are compared.
 SLOTS = 1 << 22
 
@@ -91,8 +100,8 @@ def overlap_bound(a: bytes, b: bytes) -> int | None:
 
 
 def prefixes(docs: DataFrame, last: np.ndarray, similarity: Fraction, *, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """``id_col``, fp (a hash of the whole shingle set), n (its size), prefix (packed, in the order with
-    the shingles of ``last`` at the end) and counts (its histogram) of each text."""
+    """``id_col``, fp (a hash of the whole shingle set), code (its SimHash fingerprint), n (its size), prefix (packed, in
+    the order with the shingles of ``last`` at the end) and counts (its histogram) of each text."""
     id_type = docs.schema[id_col].dataType.simpleString()
     top, bottom = similarity.numerator, similarity.denominator
 
@@ -100,20 +109,43 @@ def prefixes(docs: DataFrame, last: np.ndarray, similarity: Fraction, *, id_col:
         import xxhash
 
         for batch in batches:
-            fps, sizes, packed, counts = [], [], [], []
+            fps, codes, sizes, packed, counts = [], [], [], [], []
             for text in batch.column(1):
                 own = shingle_set(text.as_py() or "", shingle_words)
                 n = len(own)
                 late = np.isin(own, last)
                 keep = n - -(-top * n // bottom) + 1 if n else 0
                 fps.append(xxhash.xxh64_intdigest(own.tobytes()))
+                codes.append(simhash.majority(own))
                 sizes.append(n)
                 packed.append(np.concatenate([own[~late], own[late]])[:keep].tobytes())
                 counts.append(histogram(own))
-            columns = [batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "fp", "n", "prefix", "counts"])
+            hashes = [pa.array(np.array(h, dtype=np.uint64).view(np.int64)) for h in (fps, codes)]
+            columns = [batch.column(0), *hashes, pa.array(sizes, pa.int64()), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "fp", "code", "n", "prefix", "counts"])
+
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, fp long, code long, n long, prefix binary, counts binary")
+
+
+def covered_pairs(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """src, dst: texts (fp; ``rows`` has one row for each, with code) whose fingerprints differ in at most ``radius`` bits.
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, fp long, n long, prefix binary, counts binary")
+    Links of the covering tables, which connect all fingerprints within the radius, as pairs of the fingerprints' smallest
+    texts; and each text of a fingerprint with the smallest one."""
+    codes = common.cut_lineage(rows.groupBy("code").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("texts")))
+    edges = simhash.near_edges(codes.select(F.col("code").alias("fp")), radius).distinct()
+    ends = [codes.select(F.col("code").alias(end), F.col("first").alias(f"{end}_fp")).hint("merge") for end in ("src", "dst")]
+    between = edges.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_fp").alias("a"), F.col("dst_fp").alias("b"))
+    shared = common.attach_group(rows.select("fp", "code"), codes.where("texts > 1"), "code", "texts", rows.count())
+    pairs = between.unionByName(shared.where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b")))
+    return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose texts lie in different components."""
+    for end in ("src", "dst"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    return pairs.where(F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst")).select("src", "dst")
 
 
 def entries(sets: DataFrame) -> DataFrame:
@@ -386,26 +418,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = common.cut_lineage(marks.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count(F.lit(1)).alias("copies")))
     # One row for each set: that of its first document.
     firsts = nodes.select(F.struct(F.col("first_id").alias("id"), "fp").alias("first"))
-    rows = marks.select("fp", "n", "prefix", "counts", F.struct(F.col(id_col).alias("id"), "fp").alias("own"))
+    rows = marks.select("fp", "code", "n", "prefix", "counts", F.struct(F.col(id_col).alias("id"), "fp").alias("own"))
     rows = rows.join(firsts.hint("merge"), F.col("own") == F.col("first"), "left_semi")
+    light = common.cut_lineage(rows.select("fp", "code", "n", "counts"))
+    counts = light.select("fp", "n", "counts")  # read by five steps
+    covered = common.cut_lineage(possible(covered_pairs(light.select("fp", "code")), counts, similarity))
     met = common.cut_lineage(meetings(entries(rows), similarity))
     crowds = met.where("shingle is not null").select("shingle", F.col("src").alias("fp"))
-    counts = common.cut_lineage(rows.select("fp", "n", "counts"))  # read by four steps
     met_pairs = common.cut_lineage(met.where("shingle is null").select("src", "dst").distinct())
     pairs = common.cut_lineage(possible(met_pairs, counts, similarity))
-    asked = pairs.select(F.col("src").alias("fp")).unionByName(pairs.select(F.col("dst").alias("fp"))).unionByName(crowds.select("fp")).distinct()
+    ends = [rows.select(F.col(end).alias("fp")) for rows in (covered, pairs) for end in ("src", "dst")]
+    asked = ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).unionByName(crowds.select("fp")).distinct()
     wanted = nodes.join(asked, "fp", "left_semi").select(F.col("first_id").alias(id_col))
     sets = common.cut_lineage(wanted_sets(docs, wanted, **own))
+    links = common.cut_lineage(checked(covered, sets, similarity))
+    pairs = common.cut_lineage(apart(pairs, simhash.components(nodes, links)))
     first = common.cut_lineage(first_partners(pairs))
-    links = common.cut_lineage(checked(first, sets, similarity))
+    links = common.cut_lineage(links.unionByName(checked(first, sets, similarity)))
     roots = simhash.components(nodes, links)
-    apart = pairs.join(first, ["src", "dst"], "left_anti")
-    for end in ("src", "dst"):
-        apart = apart.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-    apart = apart.where(F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst")).select("src", "dst")
+    rest = apart(pairs.join(first, ["src", "dst"], "left_anti"), roots)
     # Crowds whose texts lie in several components: again each text with its first partner before the rest.
     worth = common.cut_lineage(worth_comparing(mixed(crowds, roots), counts, similarity))
-    second = worth.select(F.least("fp", "partner").alias("src"), F.greatest("fp", "partner").alias("dst")).unionByName(apart).distinct().join(first, ["src", "dst"], "left_anti")
+    second = worth.select(F.least("fp", "partner").alias("src"), F.greatest("fp", "partner").alias("dst")).unionByName(rest).distinct().join(first, ["src", "dst"], "left_anti")
     second = common.cut_lineage(second)
     links = common.cut_lineage(links.unionByName(checked(second, sets, similarity)))
     roots = simhash.components(nodes, links)

@@ -43,6 +43,15 @@ def fingerprint(text: str, shingle_words: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes that are held already: a bit is 1 if set in over half of them."""
+    counts = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), 65536):
+        part = hashes[k : k + 65536].astype(">u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4) -> DataFrame:
     """``id_col`` and fp (the 64 bits as a signed long) of each whole text; no words: 0."""
     id_type = docs.schema[id_col].dataType.simpleString()

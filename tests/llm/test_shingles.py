@@ -97,3 +97,24 @@ def test_pipeline_stage_takes_five_words_and_similarity(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, "")
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(expected.values())
+
+
+def test_pipeline_stage_links_through_the_covering_tables(spark, monkeypatch):
+    """Without the prefix filter, whatever lies within the radius is linked, and nothing that isn't similar."""
+    texts = made(random.Random(6))
+    near = {i: simhash.majority(shingles.shingle_set(t or "", 5)) for i, t in texts}
+    none = "src long, dst long, shingle long"
+    monkeypatch.setattr(shingles, "meetings", lambda rows, similarity: rows.sparkSession.createDataFrame([], none))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, "").collect()}
+    whole = brute_components(texts)
+    sets = {i: set(shingles.shingle_set(t or "", 5).tolist()) for i, t in texts}
+    links = [(i, j) for i in sets for j in sets if i < j and (near[i] ^ near[j]).bit_count() <= shingles.RADIUS and sets[i] != sets[j] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    assert links and set(whole.values()) <= kept and not {j for i, j in links if near[i] == near[j]} & kept
+    copies = sum(i != next(j for j in sets if sets[j] == sets[i]) for i in sets)
+    assert len(kept) < len(texts) - copies
+
+
+def test_fingerprints_of_sets_are_those_of_texts():
+    for text in ("", "one", "a b c d e f g", " ".join(f"w{k}" for k in range(900))):
+        assert simhash.majority(shingles.shingle_set(text, 5)) == simhash.fingerprint(text, 5)
