@@ -25,11 +25,11 @@ PART_ROWS = 10_000
 PLACE_BITS = 33
 
 
-def publish(rows: DataFrame, order: list[Column], root: str, *, line: Column | None = None, part_rows: int = PART_ROWS) -> tables.Version:
+def publish(rows: DataFrame, order: list[Column], root: str, *, line: Column | None = None, part_rows: int = PART_ROWS, written: bool = False) -> tables.Version:
     """Write ``rows`` in ``order`` (which must leave no equals) below ``root`` and make them the current publication.
-    ``line`` is a row's text (a string column), for the text parts."""
+    ``line`` is a row's text (a string column), for the text parts. ``written``: the rows are read from files as they are."""
     spark = rows.sparkSession
-    rows = shared.cut_lineage(rows)  # counted, sampled for the ranges, and dealt
+    rows = rows if written else shared.cut_lineage(rows)  # counted, sampled for the ranges, and dealt
     parts = max(1, -(-rows.count() // part_rows))
     ranged = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     # Sorted by part as well, which is one number in each task, so that the writer has nothing to sort anew.
